@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,7 @@ from .common import pick, slices, texts
 #: White space of Unicode, stated as fixed values.
 _WS = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PIECES = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
+_ENDS = re.compile(r".*[A-Za-zÀ-ÖØ-öø-ÿ][.,;!?]", re.S).fullmatch
 AGREE = 2
 
 
@@ -56,12 +58,13 @@ def byte_table() -> dict[str, int]:
 class Codec:
     """Encoder and decoder for one tokenizer file, with a bounded piece table.
 
-    ``table`` bounds the number of remembered pieces; a full table is emptied.
+    ``table`` bounds the number of remembered pieces: a full table becomes the
+    older one, whose pieces move back when they are met, and the older one goes.
     """
 
-    def __init__(self, path: str, leaf: int = 2048, table: int = 400_000):
+    def __init__(self, path: str, leaf: int = 2048, table: int = 500_000):
         self.tok = load_tokenizer(path)
-        self.leaf, self.limit, self.known = leaf, table, {}
+        self.leaf, self.limit, self.known, self.older = leaf, table, {}, {}
         alphabet = byte_table()
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.bytes_of: dict[int, bytes] = {}
@@ -113,11 +116,27 @@ class Codec:
             grow *= 2
 
     def learn(self, pieces: set[str]) -> None:
+        """Put pieces of at most ``leaf`` characters into the young table."""
         if len(self.known) + len(pieces) > self.limit:
-            self.known.clear()
-        short = [p for p in pieces if len(p) <= self.leaf]
-        for p, ids in zip(short, self.encode_plain(short)):
-            self.known[p] = np.asarray(ids, "<i4").tobytes()
+            self.older, self.known = self.known, {}
+        fresh, ends = set(), []
+        for p in pieces:
+            if len(p) > self.leaf:
+                continue
+            if (ids := self.older.get(p)) is not None:
+                self.known[p] = ids
+            elif _ENDS(p):  # the pre-tokenizer cuts between a letter and these marks
+                ends.append(p)
+                for q in (p[:-1], p[-1]):
+                    if q not in self.known:
+                        fresh.add(q)
+            else:
+                fresh.add(p)
+        fresh = list(fresh)
+        for p, ids in zip(fresh, self.encode_plain(fresh)):
+            self.known[p] = struct.pack(f"<{len(ids)}i", *ids)
+        for p in ends:
+            self.known[p] = self.known[p[:-1]] + self.known[p[-1]]
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, equal to those of the tokenizers library."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh_dir, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,8 +28,30 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import assess
+
+    return assess(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_failed_lines", "lost_chars"
+    )
+
+
+def op4_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sstable import read_shards, write_shards
+
+    shards = write_shards(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), fresh_dir(spark, "tokens"), end_id=2)
+    return read_shards(spark, shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import mark_revisits, read_archives, write_archives
+
+    places = write_archives(mark_revisits(table(spark, sf_dir, "pages")), fresh_dir(spark, "warc"))
+    return read_archives(spark, places, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_bpe": op8_bpe}
+    return {"op2_quality": op2_quality, "op4_sstable": op4_sstable, "op8_bpe": op8_bpe, "op9_warc": op9_warc}
 
 
 def oracle_sql() -> dict[str, str]:
