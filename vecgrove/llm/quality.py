@@ -16,6 +16,8 @@ from .common import WORD_GAP, pick
 GAP = f"[{WORD_GAP}]+"
 #: Fixed values of the rules.
 END_MARKS = r"""[.!?…。！？:;]["'”’»)\]]*\s*$"""
+#: A line of so many words with a sentence end inside is prose, whatever its end.
+INNER_END, PROSE_WORDS = r"""[.!?]["'”’»)\]]*\s""", 12
 SYMBOLS = "[#*$%&|<>]"
 SHOUTS = r"!!"
 MENU = r"(?i)^\W*(home|menu|login|log in|sign in|sign up|register|next|previous|back to top|click here|read more|share|tweet|skip to content)\b[^.]{0,40}$"
@@ -84,7 +86,7 @@ def line_verdict(line: Column) -> Column:
         F.when(~line.rlike(f"[^{WORD_GAP}]"), F.lit(None).cast("string"))
         .when(line.rlike(BOILERPLATE), F.lit("boilerplate"))
         .when((F.size(F.split(line, r"\|")) > 3) | line.rlike(MENU), F.lit("navigation"))
-        .when(~line.rlike(END_MARKS), F.lit("punctuation"))
+        .when(~line.rlike(END_MARKS) & ((n_words < PROSE_WORDS) | ~line.rlike(INNER_END)), F.lit("punctuation"))
         .when(symbols * 4 > n_words, F.lit("punctuation"))
         .when((F.size(F.split(line, SHOUTS)) - 1) * 4 > n_words, F.lit("punctuation"))
     )

@@ -28,6 +28,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("cleaned", 256).alias("kept_sha256"), "longest_run")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import assess
 
@@ -51,7 +57,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op4_sstable": op4_sstable, "op8_bpe": op8_bpe, "op9_warc": op9_warc}
+    return {"op1_line_dedup": op1_line_dedup, "op2_quality": op2_quality, "op4_sstable": op4_sstable, "op8_bpe": op8_bpe, "op9_warc": op9_warc}
 
 
 def oracle_sql() -> dict[str, str]:
