@@ -17,6 +17,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .recompression import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_decode
 
@@ -57,7 +63,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_quality": op2_quality, "op4_sstable": op4_sstable, "op8_bpe": op8_bpe, "op9_warc": op9_warc}
+    return {"op1_line_dedup": op1_line_dedup, "op2_quality": op2_quality, "op4_sstable": op4_sstable, "op7_recompression": op7_recompression, "op8_bpe": op8_bpe, "op9_warc": op9_warc}
 
 
 def oracle_sql() -> dict[str, str]:
