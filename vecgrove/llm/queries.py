@@ -62,8 +62,16 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, places, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import held_out, score, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.filter(~held_out(F.col("doc_id"))), fresh_dir(spark, "lm"))
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_quality": op2_quality, "op4_sstable": op4_sstable, "op7_recompression": op7_recompression, "op8_bpe": op8_bpe, "op9_warc": op9_warc}
+    return {"op1_line_dedup": op1_line_dedup, "op2_quality": op2_quality, "op4_sstable": op4_sstable, "op7_recompression": op7_recompression, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_kneser_ney": op10_kneser_ney}
 
 
 def oracle_sql() -> dict[str, str]:
