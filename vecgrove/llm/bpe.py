@@ -16,6 +16,7 @@ with a side in its outer tokens, so are the pairs across its edges.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -30,8 +31,13 @@ from .common import pick, slices, texts
 
 #: White space of Unicode, stated as fixed values.
 _WS = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_WORDS = re.compile(f"[^{_WS}]+")
 _PIECES = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
+#: One pre-token for sure, and not changed by NFC: an optional space and letters of Latin-1.
+_PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_LATIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]+").fullmatch
 _ENDS = re.compile(r".*[A-Za-zÀ-ÖØ-öø-ÿ][.,;!?]", re.S).fullmatch
+_PACKERS = [struct.Struct(f"<{n}i").pack for n in range(16)]
 AGREE = 2
 
 
@@ -55,6 +61,9 @@ def byte_table() -> dict[str, int]:
     return table
 
 
+_SPELL = {b: c for c, b in byte_table().items()}
+
+
 class Codec:
     """Encoder and decoder for one tokenizer file, with a bounded piece table.
 
@@ -62,10 +71,15 @@ class Codec:
     older one, whose pieces move back when they are met, and the older one goes.
     """
 
-    def __init__(self, path: str, leaf: int = 2048, table: int = 500_000):
+    def __init__(self, path: str, leaf: int = 2048, table: int = 400_000):
         self.tok = load_tokenizer(path)
         self.leaf, self.limit, self.known, self.older = leaf, table, {}, {}
-        alphabet = byte_table()
+        alphabet, config = byte_table(), json.loads(self.tok.to_str())
+        self.folds = "Lowercase" in json.dumps(config["normalizer"])
+        #: The model alone, for pieces that are one normalised pre-token.
+        self.bare = type(self.tok).from_str(json.dumps(config | {"normalizer": None, "pre_tokenizer": None, "post_processor": None}))
+        gone = self.tok.encode(" a b", add_special_tokens=False).ids == [i for x in "ab" for i in self.tok.encode(x, add_special_tokens=False).ids]
+        self.cut = (_WORDS if gone else _PIECES).findall
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.bytes_of: dict[int, bytes] = {}
         for token, i in self.tok.get_vocab(with_added_tokens=False).items():
@@ -119,28 +133,57 @@ class Codec:
         """Put pieces of at most ``leaf`` characters into the young table."""
         if len(self.known) + len(pieces) > self.limit:
             self.older, self.known = self.known, {}
-        fresh, ends = set(), []
+        known, older = self.known, self.older
+        plain, other, whole = {}, set(), []
+        folds, leaf, n_older = self.folds, self.leaf, len(older)
         for p in pieces:
-            if len(p) > self.leaf:
+            if n_older and (ids := older.get(p)) is not None:
+                known[p] = ids
+                continue
+            if p.isascii() and (core := p[:-1] if p[-1] in ".,;!?" else p).isalpha() and len(p) <= leaf:  # the common case
+                x = core.lower() if folds else core
+                if x not in known:
+                    plain[x] = None
+                if x is not p:
+                    if core is p:
+                        whole.append((p, (x,)))
+                    else:
+                        whole.append((p, (x, p[-1])))
+                        if p[-1] not in known:
+                            other.add(p[-1])
+                continue
+            if len(p) > leaf:
                 continue
-            if (ids := self.older.get(p)) is not None:
-                self.known[p] = ids
-            elif _ENDS(p):  # the pre-tokenizer cuts between a letter and these marks
-                ends.append(p)
-                for q in (p[:-1], p[-1]):
-                    if q not in self.known:
-                        fresh.add(q)
-            else:
-                fresh.add(p)
-        fresh = list(fresh)
-        for p, ids in zip(fresh, self.encode_plain(fresh)):
-            self.known[p] = struct.pack(f"<{len(ids)}i", *ids)
-        for p in ends:
-            self.known[p] = self.known[p[:-1]] + self.known[p[-1]]
+            q = p.lower() if self.folds and _LATIN(p) else p
+            parts = (q,)
+            if _ENDS(q):  # the pre-tokenizer cuts between a letter and these marks
+                parts = (q[:-1], q[-1])
+            if q[0] == "\n" and _PLAIN(parts[0][1:]):  # and after a line feed that precedes a letter
+                parts = ("\n", parts[0][1:], *parts[1:])
+            for x in parts:
+                if x not in known:
+                    if (ids := older.get(x)) is not None:
+                        known[x] = ids
+                    elif _PLAIN(x):
+                        plain[x] = None
+                    else:
+                        other.add(x)
+            if parts[0] is not p:
+                whole.append((p, parts))
+        other = list(other)
+        todo = [(other, self.encode_plain(other))]
+        if plain:
+            spelt = [x if x.isascii() and x[0] != " " else x.encode().decode("latin-1").translate(_SPELL) for x in plain]
+            todo.append((plain, [e.ids for e in self.bare.encode_batch_fast(spelt, add_special_tokens=False)]))
+        for keys, found in todo:
+            for x, ids in zip(keys, found):
+                known[x] = _PACKERS[len(ids)](*ids) if len(ids) < 16 else struct.pack(f"<{len(ids)}i", *ids)
+        for p, parts in whole:
+            known[p] = b"".join([known[x] for x in parts])
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, equal to those of the tokenizers library."""
-        pieces = _PIECES.findall(text)
+        pieces = self.cut(text)
         got = list(map(self.known.get, pieces))
         if None in got:
             miss = [k for k, g in enumerate(got) if g is None]
@@ -157,6 +200,17 @@ class Codec:
         return b"".join(map(get, ids)).decode("utf-8", "replace")
 
 
+_CODECS: dict[tuple[str, int], Codec] = {}
+
+
+def codec(path: str, leaf: int = 2048) -> Codec:
+    """The codec of this worker process: tasks that run in it one after the
+    other share the tokenizer and its piece tables."""
+    if (path, leaf) not in _CODECS:
+        _CODECS[path, leaf] = Codec(path, leaf)
+    return _CODECS[path, leaf]
+
+
 def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = 2048) -> DataFrame:
     """One row per input row: ``doc_id``, ``ids`` array<int>, ``decoded`` string
     (the decoding of those very ids).
@@ -168,10 +222,10 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, leaf)
-        table = np.array([codec.bytes_of.get(i, b"") for i in range(max(codec.bytes_of) + 1)], dtype=object)
+        mine = codec(path, leaf)
+        table = np.array([mine.bytes_of.get(i, b"") for i in range(max(mine.bytes_of) + 1)], dtype=object)
         for batch in slices(batches, "text", 2_000_000):
-            ids = [codec.encode(t) for t in texts(batch, "text")]
+            ids = [mine.encode(t) for t in texts(batch, "text")]
             ends = np.cumsum([0, *map(len, ids)])
             flat = np.concatenate(ids) if ids else np.empty(0, "<i4")
             yield pa.RecordBatch.from_arrays(

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Codec
+from .bpe import codec
 from .common import filesystem, pick, slices, texts
 
 MAGIC = b"VGSSTv01"
@@ -198,16 +198,16 @@ def write_shards(df: DataFrame, tokenizer: str, out_dir: str, end_id: int = 2, i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, out, first = Codec(tokenizer, leaf=1 << 30), None, None
+        mine, out, first = codec(tokenizer, 1 << 30), None, None
         end = np.array([end_id], "<i4")
-        width = 2 if max(end_id, codec.tok.get_vocab_size()) <= 1 << 16 else 4
+        width = 2 if max(end_id, mine.tok.get_vocab_size()) <= 1 << 16 else 4
         for batch in slices(batches, "text", 2_000_000):
             names, ties = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             if out is None:
                 first = (names[0], ties[0])
                 out = Writer(f"{out_dir}/shard-{uuid.uuid4().hex}.sst", width)
             for name, text in zip(names, texts(batch, "text")):
-                out.add(name, np.concatenate([codec.encode(text), end]))
+                out.add(name, np.concatenate([mine.encode(text), end]))
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"url": [out.url], "first_id": pa.array([first[0]], pa.int64()), "tie": pa.array([first[1]], pa.int64()), "docs": [len(out.keys)], "ids": [out.n_ids]})
