@@ -48,6 +48,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op4_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sstable import read_shards, write_shards
 
@@ -71,7 +77,7 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_quality": op2_quality, "op4_sstable": op4_sstable, "op7_recompression": op7_recompression, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_kneser_ney": op10_kneser_ney}
+    return {"op1_line_dedup": op1_line_dedup, "op2_quality": op2_quality, "op3_jaccard_join": op3_jaccard_join, "op4_sstable": op4_sstable, "op7_recompression": op7_recompression, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_kneser_ney": op10_kneser_ney}
 
 
 def oracle_sql() -> dict[str, str]:
