@@ -17,6 +17,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .recompression import remove_repeats
 
@@ -77,7 +83,7 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_quality": op2_quality, "op3_jaccard_join": op3_jaccard_join, "op4_sstable": op4_sstable, "op7_recompression": op7_recompression, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_kneser_ney": op10_kneser_ney}
+    return {"op1_line_dedup": op1_line_dedup, "op2_quality": op2_quality, "op3_jaccard_join": op3_jaccard_join, "op4_sstable": op4_sstable, "op6_decontaminate": op6_decontaminate, "op7_recompression": op7_recompression, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_kneser_ney": op10_kneser_ney}
 
 
 def oracle_sql() -> dict[str, str]:
