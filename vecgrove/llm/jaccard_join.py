@@ -2,13 +2,16 @@
 
 1. Every text becomes its set of word n-gram fingerprints. Equal sets form one
    class; only classes are compared.
-2. The n-grams get one global order, rare ones first, from counts in a table of
-   fixed size (any order is right; this one keeps common n-grams out of the
-   prefixes). Two sets as similar as asked share an n-gram among the first
-   ``size - ceil(t * size) + 1`` of each.
-3. Classes that share such an n-gram meet at the group's smallest class, the
-   pivot. A pivot's members are few and each pair that can link has a pivot in
-   common. Large groups are cut into blocks, and pairs of blocks go to tasks.
+2. The n-grams have one global order, that of their fingerprints. Two sets as
+   similar as asked have l n-grams in common among the first ``size -
+   ceil(t * size) + l`` of each. Counted over all classes, these beginnings give
+   a second order, rare n-grams first, in which each beginning but its last
+   l - 1 must still share one n-gram with the other (l for the smallest set that
+   could match). What most texts have in common, a passage or a line, goes last
+   and drops out, and with it the classes that share nothing else.
+3. Classes that share one of the n-grams left meet under the group's smallest
+   one, the pivot. Each pair that can link has a pivot in common. Large groups
+   are cut into blocks, and pairs of blocks go to tasks.
 4. In a task the sets, their n-grams in one order, are stored in a prefix tree.
    A probe walks down it; the overlap of a shared beginning is counted once, and
    a subtree is left when what remains can't reach the overlap it needs. A task
@@ -27,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import filesystem, fresh_dir, pick, settle, slices
-from .recompression import NO_ID, _delta, _Docs, _pack, _split, _unpack
+from .recompression import NO_ID, _delta, _doc_bucket, _Docs, _pack, _split, _unpack
 from .words import mix, range_hash, words
 
 GRAM, NUM, DEN = 5, 75, 100
-COUNT_BITS, COUNT_SLICES, SEEN_BITS = 24, 32, 24
+#: Cells of a filter over classes or documents; it only saves work.
+SEEN_SLICES, SEEN_BITS = 32, 27
+SEEN_BYTES = (1 << SEEN_BITS) // 8 // SEEN_SLICES
 #: N-grams of the sets in one block.
 BLOCK = 2_000_000
 
@@ -57,8 +62,15 @@ def set_print(grams: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def prefix_size(n: int, num: int, den: int) -> int:
-    return n - -(-num * n // den) + 1
+def prefix_size(n: int, num: int, den: int, common: int) -> int:
+    """So many first elements of sets as similar as asked have ``common`` in common."""
+    return min(n, n - -(-num * n // den) + common)
+
+
+def proof_size(n: int, num: int, den: int) -> int:
+    """How many common n-grams the longer beginning of a set of ``n`` holds: as
+    many as the set may miss."""
+    return max(1, min(n - -(-num * n // den), -(-num * n // den)))
 
 
 # ---- the prefix tree
@@ -186,7 +198,7 @@ def _load(made: tuple[tuple[int, str], ...], slice_bytes: int) -> np.ndarray:
     if made not in _LOADED:
         if len(_LOADED) > 1:
             _LOADED.clear()
-        out = np.zeros((COUNT_SLICES, slice_bytes), np.uint8)
+        out = np.zeros((SEEN_SLICES, slice_bytes), np.uint8)
         for k, place in made:
             fs, path = filesystem(place)
             with fs.open_input_stream(path) as f:
@@ -195,12 +207,43 @@ def _load(made: tuple[tuple[int, str], ...], slice_bytes: int) -> np.ndarray:
     return _LOADED[made]
 
 
+def _cells(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (mix(a.astype(np.uint64) ^ mix(b.astype(np.uint64))) >> np.uint64(64 - SEEN_BITS)).astype(np.int64)
+
+
+def flagged(bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the filter knows each pair of keys (sometimes of one it doesn't)."""
+    cell = _cells(a, b)
+    return ((bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def flag(keys: DataFrame, out_dir: str) -> tuple[tuple[int, str], ...]:
+    """Write a filter over the key pairs ``a, b`` as slices of fixed size."""
+    per_slice = SEEN_BYTES * 8
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = np.unique(_cells(batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            got = [(k, _pack(cell[x].astype("<i4"))) for k, x in _split(cell // per_slice, SEEN_SLICES)]
+            yield pa.RecordBatch.from_pydict({"part": pa.array([k for k, _ in got], pa.int32()), "blob": pa.array([b for _, b in got], pa.binary())})
+
+    def write(table: pa.Table) -> pa.Table:
+        k, bits = table.column("part")[0].as_py(), np.zeros(per_slice, np.uint8)
+        for blob in table.column("blob").to_pylist():
+            bits[_unpack(blob, "<i4")[0] % per_slice] = 1
+        return pa.table({"part": pa.array([k], pa.int32()), "place": [_write(out_dir, f"filter-{k}", np.packbits(bits).tobytes())]})
+
+    made = keys.mapInArrow(deal, "part int, blob binary").groupBy("part").applyInArrow(write, "part int, place string").collect()
+    return tuple(sorted((r.part, r.place) for r in made))
+
+
 # ---- Spark
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, num: int = NUM, den: int = DEN) -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id, class_1,
-    class_2, n_links`` (links of its class in the forest that joins its group).
+    """One row per input row: ``doc_id, tie`` (a hash of its text), ``n_shingles,
+    component_id, component_tie`` (the first member), ``class_1, class_2,
+    n_links`` (links of its class in the forest that joins its group).
 
     A-Z are folded; a set holds the distinct ``gram``-word shingles; a text of
     fewer words is one shingle. Two rows link where ``den * |A & B| >= num *
@@ -215,66 +258,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col("doc_id").cast("bigint"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    low = COUNT_BITS - COUNT_SLICES.bit_length() + 1
 
-    # sets in outline, and counts of n-grams by slot
+    # sets in outline
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held):
-            slot, times = np.unique(np.concatenate(held), return_counts=True)
-            got = [(k, _pack(_delta(slot[x]), np.minimum(times[x], 1 << 30).astype("<i4"))) for k, x in _split((slot >> np.uint32(low)).astype(np.int64), COUNT_SLICES)]
-            n, none = len(got), [None] * len(got)
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary()), *(pa.array(none, pa.int64()) for _ in range(6))], names=names)
-
-        names, held, n = ["part", "blob", "doc_id", "doc", "tie", "class_1", "class_2", "n"], [], 0
         for batch in slices(batches, "text"):
-            info = []
-            for grams in gram_sets(batch, gram):
-                info.append((*set_print(grams), len(grams)))
-                if len(grams):
-                    held.append((grams >> np.uint64(64 - COUNT_BITS)).astype(np.uint32))
-                    n += len(grams)
-            none = [None] * batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(none, pa.int32()), pa.array(none, pa.binary()), batch.column(0), batch.column(1), batch.column(2), *(pa.array(c, pa.int64()) for c in zip(*info))], names=names)
-            if n > 4_000_000:
-                yield flush(held)
-                held, n = [], 0
-        if n:
-            yield flush(held)
+            info = [(*set_print(g), len(g)) for g in gram_sets(batch, gram)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(c, pa.int64()) for c in zip(*info))], names=["doc_id", "doc", "tie", "class_1", "class_2", "n"])
 
-    def add_up(table: pa.Table) -> pa.Table:
-        k, total = table.column("part")[0].as_py(), np.zeros(1 << low, np.int64)
-        for blob in table.column("blob").to_pylist():
-            slot, times = _unpack(blob, "<i4", "<i4")
-            total[np.cumsum(slot, dtype=np.int64) & ((1 << low) - 1)] += times
-        level = np.floor(np.log2(np.maximum(total, 1))).astype(np.uint8)
-        return pa.table({"part": pa.array([k], pa.int32()), "place": [_write(out_dir, f"counts-{k}", level.tobytes())]})
-
-    both = settle(rows.select("doc_id", "doc", "tie", "text").mapInArrow(outline, "part int, blob binary, doc_id bigint, doc bigint, tie bigint, class_1 bigint, class_2 bigint, n bigint"), "outline")
-    docs = both.filter("part is null").drop("part", "blob")
-    counts = tuple(sorted((r.part, r.place) for r in both.filter("part is not null").select("part", "blob").groupBy("part").applyInArrow(add_up, "part int, place string").collect()))
+    docs = settle(rows.select("doc_id", "doc", "tie", "text").mapInArrow(outline, "doc_id bigint, doc bigint, tie bigint, class_1 bigint, class_2 bigint, n bigint"), "outline")
     classes = settle(docs.filter("n > 0").groupBy("class_1", "class_2").agg(F.min(F.struct("doc", "tie")).alias("first"), F.first("n").alias("n")), "classes")
 
-    # prefixes
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = _load(counts, 1 << low)
-
+    # beginnings
+    def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held, prints):
-            gram_, idx = np.concatenate([h[0] for h in held]), np.repeat([h[1] for h in held], [len(h[0]) for h in held])
-            a, b = (np.array(x, np.int64) for x in zip(*prints))
+            sizes = [len(g) for g in held]
+            grams, idx = np.concatenate(held), np.repeat(np.arange(len(held)), sizes)
+            a, b, n = (np.array(x, np.int64) for x in zip(*prints))
             got = []
-            for k, x in _split((mix(gram_) % np.uint64(n_out)).astype(np.int64), n_out):
+            for k, x in _split((mix(grams) % np.uint64(n_out)).astype(np.int64), n_out):
                 used, own = np.unique(idx[x], return_inverse=True)
-                got.append((k, _pack(a[used], b[used], _delta(own), gram_[x])))
+                got.append((k, _pack(a[used], b[used], n[used].astype("<i4"), _delta(own), grams[x])))
             return pa.RecordBatch.from_pydict({"part": pa.array([k for k, _ in got], pa.int32()), "blob": pa.array([x for _, x in got], pa.binary())})
 
         held, prints, n = [], [], 0
         for batch in slices(batches, "text"):
             for grams in gram_sets(batch, gram):
                 if len(grams):
-                    order = np.argsort(level[(grams >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], kind="stable")  # then by fingerprint
-                    held.append((grams[order[: prefix_size(len(grams), num, den)]], len(prints)))
-                    prints.append(set_print(grams))
-                    n += len(held[-1][0])
+                    held.append(grams[: prefix_size(len(grams), num, den, proof_size(len(grams), num, den))])
+                    prints.append((*set_print(grams), len(grams)))
+                    n += len(held[-1])
             if n > 2_000_000:
                 yield flush(held, prints)
                 held, prints, n = [], [], 0
@@ -282,12 +294,65 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield flush(held, prints)
 
     def stars(table: pa.Table) -> pa.Table:
-        parts = [_unpack(b, "<i8", "<i8", "<i4", "<u8") for b in table.column("blob").to_pylist()]
+        parts = [_unpack(b, "<i8", "<i8", "<i4", "<i4", "<u8") for b in table.column("blob").to_pylist()]
         number, at, own = _Docs([(p[0], p[1]) for p in parts]), 0, []
+        size = np.empty(len(number.doc), np.int64)
         for p in parts:
-            own.append(number.number[at + np.cumsum(p[2], dtype=np.int64)])
+            own.append(number.number[at + np.cumsum(p[3], dtype=np.int64)])
+            size[number.number[at : at + len(p[0])]] = p[2]
             at += len(p[0])
-        own, grams = np.concatenate(own), np.concatenate([p[3] for p in parts])
+        own, grams = np.concatenate(own), np.concatenate([p[4] for p in parts])
+        order = np.lexsort((own, grams))
+        own, grams = own[order], grams[order]
+        once = np.concatenate([[True], (grams[1:] != grams[:-1]) | (own[1:] != own[:-1])])  # equal sets are one class
+        own, grams = own[once], grams[once]
+        new = np.concatenate([[True], grams[1:] != grams[:-1]])
+        shared = ~(new & np.append(new[1:], True))
+        own, grams = own[shared], grams[shared]
+        if not len(own):
+            return pa.table({"part": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
+        head = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        times = np.diff(np.append(head, len(own)))
+        times = np.repeat(times, times)
+        got = []
+        for k, x in _split(_doc_bucket(number.doc, number.tie, n_out)[own], n_out):
+            x = x[np.argsort(own[x], kind="stable")]
+            used, mine = np.unique(own[x], return_inverse=True)
+            got.append((k, _pack(number.doc[used], number.tie[used], size[used].astype("<i4"), _delta(mine), grams[x], times[x].astype("<i4"))))
+        return pa.table({"part": pa.array([k for k, _ in got], pa.int32()), "blob": pa.array([b for _, b in got], pa.binary())})
+
+    def numbered(parts: list[list[np.ndarray]], idx: int) -> tuple[_Docs, np.ndarray]:
+        """The classes of several packed tables, and the class of each posting."""
+        number, at, own = _Docs([(p[0], p[1]) for p in parts]), 0, []
+        for p in parts:
+            own.append(number.number[at + np.cumsum(p[idx], dtype=np.int64)])
+            at += len(p[0])
+        return number, np.concatenate(own)
+
+    def choose(table: pa.Table) -> pa.Table:
+        parts = [_unpack(b, "<i8", "<i8", "<i4", "<i4", "<u8", "<i4") for b in table.column("blob").to_pylist()]
+        number, own = numbered(parts, 3)
+        size = np.empty(len(number.doc), np.int64)
+        size[number.number] = np.concatenate([p[2] for p in parts])
+        grams, times = np.concatenate([p[4] for p in parts]), np.concatenate([p[5] for p in parts])
+        order = np.lexsort((grams, times, own))
+        own, grams = own[order], grams[order]
+        head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        count = np.diff(np.append(head, len(own)))
+        # the smallest set that is as similar as asked shows the least
+        show = np.array([proof_size(-(-num * x // den), num, den) for x in size[own[head]].tolist()])
+        keep = np.arange(len(own)) - np.repeat(head, count) < np.repeat(count - show + 1, count)
+        own, grams = own[keep], grams[keep]
+        got = []
+        for k, x in _split((mix(grams) % np.uint64(n_out)).astype(np.int64), n_out):
+            used, mine = np.unique(own[x], return_inverse=True)
+            got.append((k, _pack(number.doc[used], number.tie[used], _delta(mine), grams[x])))
+        return pa.table({"part": pa.array([k for k, _ in got], pa.int32()), "blob": pa.array([b for _, b in got], pa.binary())})
+
+    def meet(table: pa.Table) -> pa.Table:
+        parts = [_unpack(b, "<i8", "<i8", "<i4", "<u8") for b in table.column("blob").to_pylist()]
+        number, own = numbered(parts, 2)
+        grams = np.concatenate([p[3] for p in parts])
         order = np.lexsort((own, grams))
         own, grams = own[order], grams[order]
         head = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
@@ -299,54 +364,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         got = [(k, _pack(*(a[i[x]] for i in (p, c) for a in (number.doc, number.tie)))) for k, x in _split(key, n_out)]
         return pa.table({"part": pa.array([k for k, _ in got], pa.int32()), "blob": pa.array([b for _, b in got], pa.binary())})
 
-    def unique_stars(table: pa.Table) -> pa.Table:
+    def unique_pairs(table: pa.Table) -> pa.Table:
         cols = [np.concatenate(x) for x in zip(*(_unpack(b, "<i8", "<i8", "<i8", "<i8") for b in table.column("blob").to_pylist()))]
-        if len(cols[0]):
-            order = np.lexsort(cols)
-            cols = [c[order] for c in cols]
-            keep = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)])
-            cols = [c[keep] for c in cols]
-        return pa.table(dict(zip(("p1", "p2", "class_1", "class_2"), cols)))
-
-    pairs = rows.select("text").mapInArrow(prefixes, "part int, blob binary").groupBy("part").applyInArrow(stars, "part int, blob binary").groupBy("part").applyInArrow(unique_stars, "p1 bigint, p2 bigint, class_1 bigint, class_2 bigint")
-    pairs = settle(pairs, "stars")
-    member = pairs.union(pairs.select("p1", "p2", F.col("p1").alias("class_1"), F.col("p2").alias("class_2")).distinct())
-    member = settle(member.join(classes, ["class_1", "class_2"]), "members")
+        order = np.lexsort(cols)
+        cols = [c[order] for c in cols]
+        keep = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)])
+        return pa.table(dict(zip(("p1", "p2", "class_1", "class_2"), (c[keep] for c in cols))))
+
+    packed = "part int, blob binary"
+    begun = rows.select("text").mapInArrow(beginnings, packed)
+    for step in (stars, choose, meet):
+        begun = begun.groupBy("part").applyInArrow(step, packed)
+    pairs = settle(begun.groupBy("part").applyInArrow(unique_pairs, "p1 bigint, p2 bigint, class_1 bigint, class_2 bigint"), "pairs")
+    member = pairs.union(pairs.select("p1", "p2", F.col("p1").alias("class_1"), F.col("p2").alias("class_2")).distinct()).join(classes, ["class_1", "class_2"])
+    blocks = member.groupBy("p1", "p2").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    member = settle(member.join(blocks, ["p1", "p2"]), "members")
 
     # the sets of the members, from the first document of each class
-    low_seen = SEEN_BITS - 3 - COUNT_SLICES.bit_length() + 1  # bytes of a slice, as a power of two
-
-    def seen_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (mix(a.astype(np.uint64) ^ mix(b.astype(np.uint64))) >> np.uint64(64 - SEEN_BITS)).astype(np.int64)
-
-    def flags(table: pa.Table) -> pa.Table:
-        cell = seen_key(table.column("a").to_numpy(), table.column("b").to_numpy())
-        k = table.column("part")[0].as_py()
-        bits = np.zeros(8 << low_seen, np.uint8)
-        bits[cell & ((8 << low_seen) - 1)] = 1
-        return pa.table({"part": pa.array([k], pa.int32()), "place": [_write(out_dir, f"seen-{k}", np.packbits(bits).tobytes())]})
-
-    def slice_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            part = seen_key(batch.column(0).to_numpy(), batch.column(1).to_numpy()) >> (SEEN_BITS - COUNT_SLICES.bit_length() + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch.column(0), batch.column(1)], names=["part", "a", "b"])
-
-    firsts = member.select(F.col("first.doc").alias("a"), F.col("first.tie").alias("b")).distinct()
-    seen = tuple(sorted((r.part, r.place) for r in firsts.mapInArrow(slice_of, "part int, a bigint, b bigint").groupBy("part").applyInArrow(flags, "part int, place string").collect()))
+    seen = flag(member.select(F.col("first.doc").alias("a"), F.col("first.tie").alias("b")).distinct(), out_dir)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _load(seen, 1 << low_seen)
+        bits = _load(seen, SEEN_BYTES)
         for batch in slices(batches, "text"):
-            cell = seen_key(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-            hit = np.flatnonzero((bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1)
+            hit = np.flatnonzero(flagged(bits, batch.column(0).to_numpy(), batch.column(1).to_numpy()))
             if len(hit):
                 part = batch.take(pa.array(hit))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([g.tobytes() for g in gram_sets(part, gram)], pa.binary())], names=["doc", "tie", "grams"])
 
     sets = rows.select("doc", "tie", "text").mapInArrow(sets_of, "doc bigint, tie bigint, grams binary").groupBy("doc", "tie").agg(F.first("grams").alias("grams"))
-    blocks = member.groupBy("p1", "p2").agg(F.sum("n").alias("total")).select("p1", "p2", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
-    large = blocks.filter("blocks > 1")
-    dealt = member.join(large, ["p1", "p2"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("class_1", "class_2"), F.col("blocks")).cast("int"))
+    dealt = member.withColumn("own", F.pmod(F.xxhash64("class_1", "class_2"), F.col("blocks")).cast("int"))
     dealt = dealt.select("p1", "p2", "first", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("p1", "p2", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), F.col("first.doc").alias("doc"), F.col("first.tie").alias("tie"))
 
@@ -360,11 +406,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     links = settle(dealt.join(sets, ["doc", "tie"]).groupBy("p1", "p2", "i", "j").applyInArrow(join, "u_doc bigint, u_tie bigint, v_doc bigint, v_tie bigint"), "links")
     label = components(links.select(F.struct(F.col("u_doc").alias("doc"), F.col("u_tie").alias("tie")).alias("u"), F.struct(F.col("v_doc").alias("doc"), F.col("v_tie").alias("tie")).alias("v")))
-    named = settle(classes.withColumnRenamed("first", "node").join(label, "node", "left").select("class_1", "class_2", F.coalesce("label", "node")["doc"].alias("component"), F.coalesce("degree", F.lit(0)).alias("degree")), "named")
-    result = docs.join(named, ["class_1", "class_2"], "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")))
+    named = settle(classes.withColumnRenamed("first", "node").join(label, "node", "left").select("class_1", "class_2", F.coalesce("label", "node").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree")), "named")
+    result = docs.join(named, ["class_1", "class_2"], "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.struct("doc", "tie")))
     return result.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"), "class_1", "class_2", F.coalesce("degree", F.lit(0)).cast("bigint").alias("n_links"), "tie"
-    )
+        "doc_id", "tie", F.col("n").alias("n_shingles"), F.when(F.col("component.doc") != NO_ID, F.col("component.doc")).alias("component_id"), F.col("component.tie").alias("component_tie"),
+        "class_1", "class_2", F.coalesce("degree", F.lit(0)).cast("bigint").alias("n_links"),
+    )
 
 
 def components(links: DataFrame) -> DataFrame:
