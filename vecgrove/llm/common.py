@@ -90,18 +90,12 @@ def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     return ["" if x is None else x for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
-def unique_name(df: DataFrame, wish: str) -> str:
-    """``wish``, lengthened until no column of ``df`` has it (case-insensitively)."""
-    taken = {c.lower() for c in df.columns}
-    while wish.lower() in taken:
-        wish += "_"
-    return wish
-
-
-def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, under the given names: ``pick(df, doc_id="id")``.
+def pick(df: DataFrame, carry: bool = False, /, **columns: str) -> DataFrame:
+    """Only the named columns, under the given names: ``pick(df, doc_id="id")``,
+    and with ``carry`` the whole input row as a struct, ``carried``.
 
     Operators start with this, so extra columns of the input never clash with
     theirs.
     """
-    return df.select(*[F.col(f"`{c}`").alias(k) for k, c in columns.items()])
+    whole = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("carried")] if carry else []
+    return df.select(*[F.col(f"`{c}`").alias(k) for k, c in columns.items()], *whole)

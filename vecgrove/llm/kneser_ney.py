@@ -156,7 +156,7 @@ def train(df: DataFrame, out_dir: str, text_col: str = "text", batch_tokens: int
         parts = [_unpack(b, "<u8", "<i8") for b in table.column("blob").to_pylist()]
         keys, counts = _sum_by(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
         part, end = table.column("part")[0].as_py(), np.searchsorted(keys, END)
-        top = np.argsort(counts)[-16:]
+        top = np.argsort(counts)[-64:]
         return pa.table(
             {
                 "part": pa.array([part], pa.int32()), "place": [_save(out_dir, "counts", keys, counts)], "n": [int(counts.sum())], "distinct": [len(keys)],
@@ -168,7 +168,7 @@ def train(df: DataFrame, out_dir: str, text_col: str = "text", batch_tokens: int
     total = sum(r.n for r in made)
     distinct, texts = sum(r.distinct for r in made), sum(r.texts for r in made)
     counted = {r.part: r.place for r in made}
-    hot = np.array(sorted({k & (1 << 64) - 1 for r in made for k, n in zip(r.top, r.top_n) if n * 2 * n_out > total}), np.uint64)
+    hot = np.array(sorted({k & (1 << 64) - 1 for r in made for k, n in zip(r.top, r.top_n) if n * 8 * n_out > total}), np.uint64)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held):

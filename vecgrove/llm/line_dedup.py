@@ -151,20 +151,25 @@ def repeated_runs(rows: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     cut = pairs.withColumn("bucket", F.shiftright("sa", BUCKET_BITS)).select(
         "g", "e", "sa", "lcp", "bucket",
         F.max(F.when(F.col("lcp") < min_lines, F.col("sa"))).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("begin"),
-        F.greatest("lcp", F.lead("lcp").over(by)).alias("run"),
+        F.lead("lcp").over(by).alias("after"),
     )
     carried = (
-        cut.groupBy("bucket").agg(F.max("begin").alias("begin"), F.max("bucket").alias("b"))
-        .select("bucket", F.last("begin", ignorenulls=True).over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+        cut.groupBy("bucket").agg(F.max("begin").alias("begin"), F.min_by("lcp", "sa").alias("head"))
+        .select(
+            "bucket",
+            F.last("begin", ignorenulls=True).over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+            F.lead("head").over(Window.orderBy("bucket")).alias("next_head"),
+        )
     )
-    cut = settle(cut.join(carried, "bucket").select("g", "e", "bucket", "run", F.coalesce("begin", "before").alias("begin")), "intervals")
+    run = F.greatest("lcp", F.coalesce("after", "next_head"))
+    cut = settle(cut.join(carried, "bucket").select("g", "e", "bucket", run.alias("run"), F.coalesce("begin", "before").alias("begin")), "intervals")
     part = cut.groupBy("begin", "bucket").agg(F.min("g").alias("first"))
     whole = part.groupBy("begin").agg(F.min("first").alias("first"))
     firsts = part.select("begin", "bucket").join(whole, "begin")
     return cut.join(firsts, ["begin", "bucket"]).filter("g > first").select("g", "e", F.greatest("run", F.lit(min_lines)).alias("run"))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, carry: bool = False) -> DataFrame:
     """One row per input row: ``doc_id, text`` (the input's), ``cleaned``,
     ``n_lines``, ``n_removed``, ``longest_run`` (of removed copies, else 0).
 
@@ -175,10 +180,12 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     hash). Null or empty texts have no lines to remove and come back as empty
     text. A null identifier sorts first. Rows that share identifier and text
     are one document and get the same result; rows that share only the
-    identifier are ordered by a hash of their text. Other columns are not read.
+    identifier are ordered by a hash of their text. Other columns are not read,
+    or with ``carry`` come along inside one column, ``carried``.
     """
+    extra = ["carried"] if carry else []
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
-    rows = pick(df, doc_id=id_col, text=text_col).select("doc_id", doc.alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = pick(df, carry, doc_id=id_col, text=text_col).select("doc_id", doc.alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
     rows = rows.withColumn("tie", F.xxhash64("text"))
     docs, lines = line_sequence(rows)
     later = repeated_runs(lines, min_lines)
@@ -192,12 +199,12 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     lines_ = F.split("text", "\n", -1)
     places = F.filter(F.transform(lines_, lambda x, i: F.when(x.rlike(f"[^{WORD_GAP}]"), i)), lambda i: i.isNotNull())
     joined = joined.select(
-        "doc_id", "text", lines_.alias("lines"), F.coalesce("longest_run", F.lit(0)).alias("longest_run"),
+        "doc_id", "text", *extra, lines_.alias("lines"), F.coalesce("longest_run", F.lit(0)).alias("longest_run"),
         F.when(F.col("gone").isNotNull(), F.transform(F.array(places), lambda p: F.transform(F.col("gone"), lambda g: F.get(p, (g - F.col("base")).cast("int"))))[0]).alias("gone"),
     )
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     return joined.select(
-        "doc_id", "text",
+        "doc_id", "text", *extra,
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n")).alias("cleaned"),
         F.size("lines").cast("bigint").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),

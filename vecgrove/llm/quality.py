@@ -92,7 +92,7 @@ def line_verdict(line: Column) -> Column:
     )
 
 
-def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
+def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost_percent: int = MAX_LOST_PERCENT, carry: bool = False) -> DataFrame:
     """One row per input row: ``doc_id, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, n_lines, n_failed_lines,
     lost_chars, kept, cleaned``.
@@ -100,11 +100,14 @@ def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lo
     ``cleaned`` is the text without its failing lines, for rejected documents
     too. A null or empty text has no words, fails the base rules and is
     rejected; its ``cleaned`` is empty. Rows are judged one by one, so repeated
-    rows, ties and a null id change nothing. Other columns are not read.
+    rows, ties and a null id change nothing. Other columns are not read, or with
+    ``carry`` come along inside one column, ``carried`` (a struct of the input).
     """
-    rows = pick(df, doc_id=id_col, text=text_col).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = pick(df, carry, doc_id=id_col, text=text_col).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    extra = ["carried"] if carry else []
     counted = rows.select(
         "doc_id",
+        *extra,
         let(
             words_of(F.col("text")),
             lambda w: F.struct(
@@ -133,6 +136,7 @@ def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lo
     w, l = F.col("w"), F.col("l")
     return counted.select(
         "doc_id",
+        *extra,
         w["n_words"].alias("n_words"),
         w["word_chars"].alias("word_chars"),
         "n_symbols",

@@ -178,10 +178,12 @@ class _Docs:
 
 
 def _repeats(h64: np.ndarray, h32: np.ndarray, idx: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, which of it are not the earliest of their window)."""
-    order = np.lexsort(((idx.astype(np.uint64) << np.uint64(40)) | pos.astype(np.uint64), h32, h64))
-    a, b = h64[order], h32[order]
-    return order, np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])]) if len(order) else np.empty(0, bool)
+    """(order, which of it don't start where their window starts first)."""
+    place = (idx.astype(np.uint64) << np.uint64(40)) | pos.astype(np.uint64)
+    order = np.lexsort((place, h32, h64))
+    a, b, place = h64[order], h32[order], place[order]
+    head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(order) else np.empty(0, np.int64)
+    return order, place != np.repeat(place[head], np.diff(np.append(head, len(order))))
 
 
 def _split(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:

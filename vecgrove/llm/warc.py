@@ -57,7 +57,7 @@ class Package:
         tail_at = max(0, self.size - 65_557)  # the record and the longest comment
         tail = self.file.read_at(self.size - tail_at, tail_at)
         end = tail.rfind(b"PK\5\6")
-        while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
+        while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
             end = tail.rfind(b"PK\5\6", 0, end)
         if end < 0:
             raise ValueError("no end of central directory")
