@@ -1,10 +1,80 @@
-"""The corpus pipeline: STAGES applied to ``documents`` in order."""
+"""The corpus pipeline: STAGES applied to ``documents`` in order.
+
+Each stage takes (spark, docs, sf_dir) and returns the columns of ``documents``
+(the last one its token ids); between stages the rows are written and read
+again, so that a lost executor costs a re-read.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vecgrove.llm.bpe import encode_decode
+from vecgrove.llm.common import settle, table
+from vecgrove.llm.decontaminate import leaks
+from vecgrove.llm.jaccard_join import near_duplicates
+from vecgrove.llm.line_dedup import dedup_lines
+from vecgrove.llm.quality import assess
+from vecgrove.llm.queries import tokenizer_path
+
+
+def _with_text(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """The carried rows with their text replaced and their characters counted."""
+    new = {"text": F.col(text), "n_chars": F.char_length(text).cast("bigint")}
+    return rows.select(*[new[c].alias(c) if c in new else F.col("carried")[c].alias(c) for c in columns])
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; the others lose the lines that fail a rule."""
+    return _with_text(assess(docs, carry=True).filter("kept"), docs.columns, "cleaned")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs go, and documents of nothing else."""
+    rows = dedup_lines(docs, carry=True).filter((F.col("n_removed") == 0) | F.col("cleaned").rlike(r"[^\x20\x09-\x0D]"))
+    return _with_text(rows, docs.columns, "cleaned")
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each near-duplicate group stays; of rows that
+    repeat both identifier and text, one."""
+    found = near_duplicates(docs)
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("tie") == F.col("component_tie"))).select(F.col("doc_id").alias("first_id"), F.col("tie").alias("first_tie")).distinct()
+    text = F.coalesce("text", F.lit(""))
+    stay = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.xxhash64(text) == F.col("first_tie")), "left_semi")
+    return stay.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    held = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leaked")).distinct()
+    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the characters they decode to."""
+    coded = encode_decode(docs, tokenizer_path("byte_bpe_50k.json"))
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.char_length("decoded").cast("bigint").alias("n_chars"))
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("jaccard_join", jaccard_join),
+    ("decontamination", decontamination),
+    ("bpe", bpe),
+]
+
+#: SQL can express neither edit-distance search nor a tokenizer's merges.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
