@@ -67,8 +67,8 @@ def validate(vectors: DataFrame) -> int:
     """The dimension; ``ValueError`` for null or NaN elements, null or repeated
     dimensions. One pass; an empty table has dimension 0."""
     bad = F.col("embedding").isNull() | F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
-    r = vectors.agg(F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi"), F.count_if(F.coalesce(bad, F.lit(True))).alias("bad"), F.count_if(F.col("item_id").isNull()).alias("no_id")).first()
-    if r.lo is None:
+    r = vectors.agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi"), F.count_if(F.coalesce(bad, F.lit(True))).alias("bad"), F.count_if(F.col("item_id").isNull()).alias("no_id")).first()
+    if not r.n:
         return 0
     if r.bad or r.no_id:
         raise ValueError(f"{r.bad} vectors hold nulls or NaN, {r.no_id} have no identifier")
