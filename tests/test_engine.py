@@ -297,3 +297,12 @@ def test_entry(spark):
 
     assert E.entry(spark).count() == 30
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_registry_needs_no_session():
+    import os
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as E; assert set(E.oracle_sql()) <= set(E.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -193,8 +193,7 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
     add("memory_plan", memory_plan, f"select l::int levels, ceil(pow(c, 1.0 / l))::bigint node_size, least(pow(ceil(pow(c, 1.0 / l)), l)::bigint, c) leaves, (4 * (n * 64 + c * 64 + n * c))::bigint bytes from {one}, (values (1), (2), (3)) t(l)")
 
     # representatives; vectors appear as sums, to compare them without arrays
-    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 5) + F.lit(0.0)
-    flat = lambda reps: reps.select("rep", "item_id", total.alias("total"))
+    flat = lambda reps: reps.select("rep", "item_id", (F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 5) + F.lit(0.0)).alias("total"))
     add("reps_offset", lambda s, d: flat(R.offset(vectors(s, d), TCS)), _with([V, REPS], "select rep, vec_id item_id, round(list_sum(rv), 5) + 0.0 total from reps"))
     seeded = f"select row_number() over (order by md5(vec_id::varchar || ':7'), vec_id) - 1 rep, vec_id item_id, e from v qualify rep < (select ceil(count(*) / {TCS}.0) from v)"
     add("reps_random_seeded", lambda s, d: flat(R.random(vectors(s, d), total_clusters(vectors(s, d).count(), TCS), 7)), _with([V], f"select rep, item_id, round(list_sum(e), 5) + 0.0 total from ({seeded})"))
