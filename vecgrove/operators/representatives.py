@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import with_position
+
 OPTIONS = ("offset", "random", "mbk", "dissimilar")
 
 
@@ -30,9 +32,8 @@ def random(vectors: DataFrame, clusters: int, seed: int = 0) -> DataFrame:
     decides. The sort works on keys and identifiers; only the chosen rows meet
     their vectors again."""
     key = F.md5(F.concat(F.col("item_id").cast("string"), F.lit(f":{seed}")))
-    chosen = vectors.select("item_id", key.alias("key")).orderBy("key", "item_id").limit(clusters)
-    chosen = chosen.select("item_id", (F.row_number().over(Window.orderBy("key", "item_id")) - 1).cast("bigint").alias("rep"))
-    return vectors.join(chosen, "item_id").select("rep", "item_id", "embedding")
+    placed = with_position(vectors.select("item_id", key.alias("key")), ["key", "item_id"], "rep")
+    return vectors.join(placed.filter(F.col("rep") < clusters), "item_id").select("rep", "item_id", "embedding")
 
 
 def lloyd_step(vectors: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -57,6 +58,5 @@ def kmeans(vectors: DataFrame, clusters: int, seed: int = 0, rounds: int = 20) -
 def from_table(reps: DataFrame, id_col: str = "item_id", vector_col: str = "embedding") -> DataFrame:
     """Chosen elsewhere: the order is that of ``rep``, or else of the identifier."""
     order = "rep" if "rep" in reps.columns else id_col
-    numbered = reps.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(vector_col).cast("array<float>").alias("embedding"), F.col(order).alias("_order"))
-    rank = numbered.select("item_id", (F.row_number().over(Window.orderBy("_order", "item_id")) - 1).cast("bigint").alias("rep"))
-    return numbered.join(rank, "item_id").select("rep", "item_id", "embedding")
+    named = reps.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(vector_col).cast("array<float>").alias("embedding"), F.col(order).alias("_order"))
+    return with_position(named, ["_order", "item_id"], "rep").select("rep", "item_id", "embedding")

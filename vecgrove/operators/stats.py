@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import cost
@@ -28,8 +28,8 @@ def eviction_plan(access: DataFrame, keep: int, node_col: str, time_col: str) ->
     """``node, last_access``: what to drop so that the ``keep`` nodes used last
     stay; of equal times the smaller node goes first."""
     last = access.groupBy(F.col(node_col).alias("node")).agg(F.max(time_col).alias("last_access"))
-    rank = F.row_number().over(Window.orderBy(F.col("last_access").desc(), F.col("node").desc()))
-    return last.withColumn("r", rank).filter(F.col("r") > keep).select("node", "last_access")
+    kept = last.orderBy(F.col("last_access").desc(), F.col("node").desc()).limit(keep).select("node")
+    return last.join(kept, "node", "left_anti").select("node", "last_access")
 
 
 def preload(index: VectorIndex, levels: int) -> DataFrame:
