@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,51 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import fresh_dir, settle  # noqa: F401
+
 #: The bytes that separate words: space and TAB..CR, nothing else.
 WORD_GAP = r"\x20\x09-\x0D"
 
-_scratch: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is absent (tests, a single machine) a temporary folder is
-    made and set once for the session.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not where:
-        app = spark.sparkContext.applicationId
-        if app not in _scratch:
-            _scratch[app] = "file://" + tempfile.mkdtemp(prefix="vecgrove-")
-            atexit.register(_remove, _scratch[app])
-        where = _scratch[app]
-    return where.rstrip("/")
-
-
-def _remove(url: str) -> None:
-    import shutil
-
-    shutil.rmtree(url.removeprefix("file://"), ignore_errors=True)
-
-
-def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A new, unused folder below the shared one (the path only; a URI)."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, so
-    that a lost executor costs a re-read and not a recomputation."""
-    path = fresh_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def filesystem(url: str):
     """(pyarrow filesystem, path in it) for a URI or a local path."""
     from pyarrow import fs

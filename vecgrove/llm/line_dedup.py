@@ -20,6 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import running_total
 from .common import WORD_GAP, pick, settle
 
 MIN_LINES = 2
@@ -28,29 +29,12 @@ BUCKET_BITS = 16
 NO_ID = -(1 << 63)
 
 
-def _sorted_parts(df: DataFrame, order: list[str], columns) -> DataFrame:
-    """Range-sort by ``order`` and add ``columns(window)``, computed within the
-    range partition ``p``; settled."""
-    dealt = df.repartitionByRange(*order).withColumn("p", F.spark_partition_id())
-    return settle(dealt.select("*", *columns(Window.partitionBy("p").orderBy(*order))), "sorted")
-
-
 def _with_edges(df: DataFrame, edges: list[tuple], schema: str) -> DataFrame:
     """Join the few values that each range partition takes over from those
     before it (as many rows as partitions)."""
     return df.join(F.broadcast(df.sparkSession.createDataFrame(edges, schema)), "p")
 
 
-def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
-    """Add the sum of ``value`` over all rows before, in the given order."""
-    parts = _sorted_parts(df, order, lambda w: [F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(name)])
-    total, edges = 0, []
-    for r in sorted(parts.groupBy("p").agg(F.sum(value).alias("n")).collect()):
-        edges.append((r.p, total))
-        total += r.n
-    return _with_edges(parts, edges, "p int, before bigint").withColumn(name, F.col(name) - F.col(value) + F.col("before")).drop("p", "before")
-
-
 def ranked(rows: DataFrame, base: Column | None) -> DataFrame:
     """``g, e, rank, alone`` for rows ``g, e, a, b`` in the order (a, b, g).
 
