@@ -306,3 +306,14 @@ def test_registry_needs_no_session():
 
     code = "import __spark_entry__ as E; assert set(E.oracle_sql()) <= set(E.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_search_of_a_saved_index_names_its_leaves(spark, m8, m8_index, tmp_path):
+    m8_index.save(f"{tmp_path}/i")
+    back = VectorIndex.load(spark, f"{tmp_path}/i")
+    found = S.search(back, query(spark, (1, 0)), 2, 1, max_increments=0)
+    assert ids(found) == [0]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(leaf, [0])" in plan or "EqualTo(leaf,0)" in plan or "GreaterThanOrEqual(leaf,0)" in plan
+    drop = spark.createDataFrame([(2,), (3,), (2,)], "item_id bigint")
+    assert ids(S.search(back, query(spark, (1, 0)), 3, 1, drop)) == [0, 6, 1]

@@ -20,6 +20,8 @@ from ..plans.index import VectorIndex
 
 #: Queries are sent to the workers in blocks of about so many.
 QUERY_BLOCK = 10_000
+#: Leaves of a saved index are named in the scan's filter up to this number.
+NAMED_LEAVES = 1_000
 
 
 def _check(k: int, search_exp: int = 1) -> None:
@@ -57,7 +59,7 @@ def leaf_paths(index: VectorIndex) -> DataFrame:
     for level in range(last - 1, 0, -1):
         above = index.nodes.filter(F.col("level") == level).select(F.col("node").alias("up"), F.col("parent").alias("next"), "centroid")
         paths = paths.join(above, "up").select("leaf", F.col("next").alias("up"), F.concat(F.array("centroid"), "centroids").alias("centroids"))
-    return paths.select("leaf", "centroids").join(index.items.select("leaf").distinct(), "leaf", "left_semi")
+    return paths.select("leaf", "centroids").join(index.leaf_sizes.select("leaf"), "leaf", "left_semi")
 
 
 def visit_order(index: VectorIndex, queries: DataFrame) -> DataFrame:
@@ -90,13 +92,15 @@ def _counted(index: VectorIndex, queries: DataFrame, exclude: DataFrame | None)
     """(visit order with ``items`` in each leaf and ``cum`` up to it; the items
     to return, with ``qid`` where exclusions differ by query)."""
     order, items = visit_order(index, queries).select("qid", "leaf", "leaf_rank"), index.items
-    if exclude is not None and "qid" not in exclude.columns:
-        items = items.join(exclude.select("item_id"), "item_id", "left_anti")
-    counts = items.groupBy("leaf").agg(F.count("*").alias("n"))
-    counted = order.join(counts, "leaf", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    if exclude is not None and "qid" in exclude.columns:
-        gone = exclude.join(items.select("item_id", "leaf"), "item_id").groupBy("qid", "leaf").agg(F.count("*").alias("gone"))
-        counted = counted.join(gone, ["qid", "leaf"], "left").withColumn("n", F.col("n") - F.coalesce("gone", F.lit(0)))
+    counted = order.join(index.leaf_sizes, "leaf")
+    if exclude is not None:
+        per_query = "qid" in exclude.columns
+        keys = ["qid", "leaf"] if per_query else ["leaf"]
+        out = exclude.select(*keys[:-1], "item_id").distinct()
+        gone = out.join(items.select("item_id", "leaf"), "item_id").groupBy(*keys).agg(F.count("*").alias("gone"))
+        counted = counted.join(gone, keys, "left").withColumn("n", F.col("n") - F.coalesce("gone", F.lit(0)))
+        if not per_query:
+            items = items.join(out, "item_id", "left_anti")
     w = Window.partitionBy("qid").orderBy("leaf_rank").rowsBetween(Window.unboundedPreceding, 0)
     return counted.withColumn("cum", F.sum("n").over(w)), items
 
@@ -120,6 +124,11 @@ def _rounds(counted: DataFrame, k: int, search_exp: int, max_increments: int) ->
 
 
 def _pool(index: VectorIndex, queries: DataFrame, leaves: DataFrame, items: DataFrame, exclude: DataFrame | None, most: int | None) -> DataFrame:
+    if index.counts is not None:  # sorted by leaf on disk: row groups of other leaves are skipped
+        leaves = leaves.persist()
+        wanted = [r.leaf for r in leaves.select("leaf").distinct().limit(NAMED_LEAVES + 1).collect()]
+        if len(wanted) <= NAMED_LEAVES:
+            items = items.filter(F.col("leaf").isin(wanted) & F.col("leaf").between(min(wanted, default=0), max(wanted, default=0)))
     found = items.join(leaves.join(queries, "qid"), "leaf").select("qid", "round", "item_id", cost(index.config.metric, F.col("embedding"), F.col("qv")).alias("dist"))
     if exclude is not None and "qid" in exclude.columns:
         found = found.join(exclude.select("qid", "item_id"), ["qid", "item_id"], "left_anti")

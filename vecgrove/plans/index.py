@@ -47,6 +47,16 @@ class VectorIndex:
     reps: DataFrame
     nodes: DataFrame
     items: DataFrame
+    #: Counts of a saved index, one or more rows a leaf; searches then read no
+    #: items but those of their leaves.
+    counts: DataFrame | None = None
+
+    @property
+    def leaf_sizes(self) -> DataFrame:
+        """``leaf, n`` of the leaves that hold items."""
+        if self.counts is None:
+            return self.items.groupBy("leaf").agg(F.count("*").alias("n"))
+        return self.counts.groupBy("leaf").agg(F.sum("n").alias("n"))
 
     @property
     def info(self) -> DataFrame:
@@ -65,7 +75,7 @@ class VectorIndex:
         return vectors.join(found, "item_id").select("item_id", F.col("node").alias("leaf"), "embedding")
 
     def append(self, vectors: DataFrame) -> VectorIndex:
-        return replace(self, items=self.items.unionByName(self.assign(vectors)))
+        return replace(self, items=self.items.unionByName(self.assign(vectors)), counts=None)
 
     # ---- keeping
     def save(self, path: str, leaf_files: int | None = None) -> None:
@@ -76,10 +86,18 @@ class VectorIndex:
         self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
         dealt = self.items.repartitionByRange(leaf_files, "leaf") if leaf_files else self.items.repartitionByRange("leaf")
         dealt.sortWithinPartitions("leaf", "item_id").write.mode("overwrite").parquet(f"{path}/items")
+        self._count(f"{path}/items").write.mode("overwrite").parquet(f"{path}/counts")
+
+    def _count(self, path: str) -> DataFrame:
+        stored = self.nodes.sparkSession.read.schema("item_id bigint, leaf bigint").parquet(path)
+        return stored.groupBy("leaf").agg(F.count("*").alias("n"))
 
     def append_to(self, path: str, vectors: DataFrame) -> None:
-        """Add new vectors to a saved index; the tree stays."""
+        """Add new vectors to a saved index; the tree stays. The counts are
+        written anew from the items, so that an attempt that broke off between
+        the two leaves nothing wrong behind once it is followed by another."""
         self.assign(vectors).repartitionByRange("leaf").sortWithinPartitions("leaf", "item_id").write.mode("append").parquet(f"{path}/items")
+        self._count(f"{path}/items").write.mode("overwrite").parquet(f"{path}/counts")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> VectorIndex:
@@ -91,7 +109,7 @@ class VectorIndex:
             raise
         config = IndexConfig(r.levels, r.target_cluster_items, r.metric)
         read = lambda x: spark.read.parquet(f"{path}/{x}")
-        return VectorIndex(config, r.dim, r.node_size, r.total_clusters, read("reps"), read("nodes"), read("items"))
+        return VectorIndex(config, r.dim, r.node_size, r.total_clusters, read("reps"), read("nodes"), read("items"), read("counts"))
 
     def describe(self) -> str:
         return json.dumps(asdict(self.config) | {"dim": self.dim, "node_size": self.node_size, "total_clusters": self.total_clusters})

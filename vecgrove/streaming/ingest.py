@@ -28,4 +28,4 @@ def with_stream(index: VectorIndex, path: str) -> VectorIndex:
     from dataclasses import replace
 
     added = index.items.sparkSession.read.parquet(f"{path}/stream").select("item_id", "leaf", "embedding")
-    return replace(index, items=index.items.unionByName(added))
+    return replace(index, items=index.items.unionByName(added), counts=None)
