@@ -35,13 +35,23 @@ _WORD = np.dtype([("count", "<i8"), ("before", "<i8"), ("n1", "<i8"), ("n2", "<i
 
 
 def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens with an end after each text, token before each, text offsets)."""
+    """(tokens with an end after each text, whether each begins a text, text
+    offsets)."""
     found, at = words(batch.column(batch.schema.get_field_index("text")), lower=True)
     tok = np.insert(found, at[1:], END)
     offsets = at + np.arange(len(at))
-    before = np.concatenate([[BEGIN], tok[:-1]]).astype(np.uint64)
-    before[offsets[:-1]] = BEGIN
-    return tok, before, offsets
+    begins = np.zeros(len(tok), bool)
+    begins[offsets[:-1]] = True
+    return tok, begins, offsets
+
+
+def numbered(tok: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct tokens with BEGIN at the end, number of each token, number of
+    the token before it)."""
+    vocab, number = np.unique(tok, return_inverse=True)
+    before = np.concatenate([[0], number[:-1]])
+    before[begins] = len(vocab)
+    return np.append(vocab, BEGIN), number, before
 
 
 def shard_of(word: np.ndarray, n: int) -> np.ndarray:
@@ -172,9 +182,10 @@ def train(df: DataFrame, out_dir: str, text_col: str = "text", batch_tokens: int
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held):
-            word, before = (np.concatenate(x) for x in zip(*held))
-            vocab, number = np.unique(np.concatenate([word, before]), return_inverse=True)
-            pair = np.sort((number[: len(word)].astype(np.uint64) << np.uint64(32)) | number[len(word) :].astype(np.uint64))
+            vocab, number, before = numbered(*(np.concatenate(x) for x in zip(*held)))
+            pair = (number.astype(np.uint64) << np.uint64(32)) | before.astype(np.uint64)
+            del number, before
+            pair.sort()
             head = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
             counts = np.diff(np.append(head, len(pair))).astype("<i8")
             w, v = vocab[(pair[head] >> np.uint64(32)).astype(np.int64)], vocab[(pair[head] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
@@ -183,8 +194,8 @@ def train(df: DataFrame, out_dir: str, text_col: str = "text", batch_tokens: int
 
         held, n = [], 0
         for batch in slices(batches, "text"):
-            tok, before, _ = tokens(batch)
-            held.append((tok, before))
+            tok, begins, _ = tokens(batch)
+            held.append((tok, begins))
             n += len(tok)
             if n > batch_tokens:
                 yield flush(held)
@@ -273,18 +284,15 @@ def _look_up(place: str, keys: np.ndarray, kind) -> tuple[np.ndarray, np.ndarray
     return have[at] == keys, values[at]
 
 
-def log10_probabilities(model: Model, tok: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def log10_probabilities(model: Model, tok: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(log10 P(token | token before), count of the token) for a batch."""
     n_out = len(model.word_shards)
-    vocab, number = np.unique(np.concatenate([tok, before]), return_inverse=True)
+    vocab, w, v = numbered(tok, begins)
     stats = np.zeros(len(vocab), _WORD)
-    for k, x in _split(shard_of(vocab, n_out), n_out):
+    for k, x in _split(shard_of(vocab[:-1], n_out), n_out):
         if (got := _look_up(model.word_shards[k], vocab[x], _WORD)) is not None:
             stats[x[got[0]]] = got[1][got[0]]
-    at = np.searchsorted(vocab, BEGIN)
-    if at < len(vocab) and vocab[at] == BEGIN:
-        stats[at] = (model.texts, 0, *model.begin)
-    w, v = number[: len(tok)], number[len(tok) :]
+    stats[-1] = (model.texts, 0, *model.begin)
     pair, which = np.unique((w.astype(np.uint64) << np.uint64(32)) | v.astype(np.uint64), return_inverse=True)
     pw, pv = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
     key, counts = pair_key(vocab[pv], vocab[pw]), np.zeros(len(pair), np.int64)
@@ -319,8 +327,8 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8_000_000):
-            tok, before, at = tokens(batch)
-            logs, counts = log10_probabilities(model, tok, before)
+            tok, begins, at = tokens(batch)
+            logs, counts = log10_probabilities(model, tok, begins)
             base = np.log10((counts + 1) / (model.tokens + model.distinct + 1))
             add = lambda x: np.add.reduceat(x, at[:-1])  # noqa: E731  every text has a token
             yield pa.RecordBatch.from_arrays(
