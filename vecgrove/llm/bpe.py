@@ -21,6 +21,7 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,10 @@ def byte_table() -> dict[str, int]:
     return table
 
 
+def _packed(ids: list[int]) -> bytes:
+    return _PACKERS[len(ids)](*ids) if len(ids) < 16 else struct.pack(f"<{len(ids)}i", *ids)
+
+
 _SPELL = {b: c for c, b in byte_table().items()}
 
 
@@ -77,9 +82,14 @@ class Codec:
         alphabet, config = byte_table(), json.loads(self.tok.to_str())
         self.folds = "Lowercase" in json.dumps(config["normalizer"])
         #: The model alone, for pieces that are one normalised pre-token.
-        self.bare = type(self.tok).from_str(json.dumps(config | {"normalizer": None, "pre_tokenizer": None, "post_processor": None}))
+        plain = config | {"normalizer": None, "pre_tokenizer": None, "post_processor": None}
+        self.alone, self.bare, self.is_end = type(self.tok).from_str(json.dumps(plain)), None, None
+        if suffix := config["model"].get("end_of_word_suffix"):
+            self.bare = type(self.tok).from_str(json.dumps(plain | {"pre_tokenizer": {"type": "WhitespaceSplit"}}))
+            self.is_end = np.zeros(self.tok.get_vocab_size(), bool)
+            self.is_end[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
         gone = self.tok.encode(" a b", add_special_tokens=False).ids == [i for x in "ab" for i in self.tok.encode(x, add_special_tokens=False).ids]
-        self.cut = (_WORDS if gone else _PIECES).findall
+        self.cut = _split_words if gone else _PIECES.findall
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.bytes_of: dict[int, bytes] = {}
         for token, i in self.tok.get_vocab(with_added_tokens=False).items():
@@ -171,16 +181,24 @@ class Codec:
             if parts[0] is not p:
                 whole.append((p, parts))
         other = list(other)
-        todo = [(other, self.encode_plain(other))]
+        known.update(zip(other, map(_packed, self.encode_plain(other))))
         if plain:
-            spelt = [x if x.isascii() and x[0] != " " else x.encode().decode("latin-1").translate(_SPELL) for x in plain]
-            todo.append((plain, [e.ids for e in self.bare.encode_batch_fast(spelt, add_special_tokens=False)]))
-        for keys, found in todo:
-            for x, ids in zip(keys, found):
-                known[x] = _PACKERS[len(ids)](*ids) if len(ids) < 16 else struct.pack(f"<{len(ids)}i", *ids)
+            known.update(zip(plain, self._encode_bare([x if x.isascii() and x[0] != " " else x.encode().decode("latin-1").translate(_SPELL) for x in plain])))
         for p, parts in whole:
             known[p] = b"".join([known[x] for x in parts])
 
+    def _encode_bare(self, spelt: list[str]) -> list[bytes]:
+        """Ids of normalised pre-tokens in byte-level spelling. Where the model
+        marks word ends, many go in one call and the marks tell them apart."""
+        if self.is_end is not None:
+            blocks = [" ".join(spelt[k : k + 128]) for k in range(0, len(spelt), 128)]
+            ids = np.fromiter(chain.from_iterable(e.ids for e in self.bare.encode_batch_fast(blocks, add_special_tokens=False)), "<i4")
+            ends = (4 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist()
+            if len(ends) == len(spelt):
+                raw = ids.tobytes()
+                return [raw[a:b] for a, b in zip([0, *ends], ends)]
+        return [_packed(e.ids) for e in self.alone.encode_batch_fast(spelt, add_special_tokens=False)]
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, equal to those of the tokenizers library."""
         pieces = self.cut(text)
@@ -200,6 +218,14 @@ class Codec:
         return b"".join(map(get, ids)).decode("utf-8", "replace")
 
 
+def _split_words(text: str) -> list[str]:
+    """The stretches without white space. str.split also splits at four control
+    characters that the tokenizers keep."""
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return _WORDS.findall(text)
+    return text.split()
+
+
 _CODECS: dict[tuple[str, int], Codec] = {}
 
 
