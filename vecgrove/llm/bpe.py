@@ -76,7 +76,7 @@ class Codec:
     older one, whose pieces move back when they are met, and the older one goes.
     """
 
-    def __init__(self, path: str, leaf: int = 2048, table: int = 400_000):
+    def __init__(self, path: str, leaf: int = 2048, table: int = 800_000):
         self.tok = load_tokenizer(path)
         self.leaf, self.limit, self.known, self.older = leaf, table, {}, {}
         alphabet, config = byte_table(), json.loads(self.tok.to_str())
