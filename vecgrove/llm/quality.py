@@ -105,9 +105,7 @@ def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lo
     """
     rows = pick(df, carry, doc_id=id_col, text=text_col).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     extra = ["carried"] if carry else []
-    counted = rows.select(
-        "doc_id",
-        *extra,
+    measured = F.struct(
         let(
             words_of(F.col("text")),
             lambda w: F.struct(
@@ -133,6 +131,8 @@ def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lo
             ),
         ).alias("l"),
     )
+    # generated, not projected: a filter on the verdict then can't draw the rules in and have them run twice
+    counted = rows.select("doc_id", *extra, F.explode(F.array(measured)).alias("m")).select("doc_id", *extra, "m.*")
     w, l = F.col("w"), F.col("l")
     return counted.select(
         "doc_id",
