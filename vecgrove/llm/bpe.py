@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import pick, slices, texts
+from .common import kept, pick, slices, texts
 
 #: White space of Unicode, stated as fixed values.
 _WS = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -76,14 +76,14 @@ class Codec:
     older one, whose pieces move back when they are met, and the older one goes.
     """
 
-    def __init__(self, path: str, leaf: int = 2048, table: int = 800_000):
+    def __init__(self, path: str, leaf: int = 2048, table: int = 200_000):
         self.tok = load_tokenizer(path)
         self.leaf, self.limit, self.known, self.older = leaf, table, {}, {}
         alphabet, config = byte_table(), json.loads(self.tok.to_str())
         self.folds = "Lowercase" in json.dumps(config["normalizer"])
         #: The model alone, for pieces that are one normalised pre-token.
         plain = config | {"normalizer": None, "pre_tokenizer": None, "post_processor": None}
-        self.alone, self.bare, self.is_end = type(self.tok).from_str(json.dumps(plain)), None, None
+        self.plain, self.alone, self.bare, self.is_end = plain, None, None, None
         if suffix := config["model"].get("end_of_word_suffix"):
             self.bare = type(self.tok).from_str(json.dumps(plain | {"pre_tokenizer": {"type": "WhitespaceSplit"}}))
             self.is_end = np.zeros(self.tok.get_vocab_size(), bool)
@@ -197,6 +197,8 @@ class Codec:
             if len(ends) == len(spelt):
                 raw = ids.tobytes()
                 return [raw[a:b] for a, b in zip([0, *ends], ends)]
+        if self.alone is None:
+            self.alone = type(self.tok).from_str(json.dumps(self.plain))
         return [_packed(e.ids) for e in self.alone.encode_batch_fast(spelt, add_special_tokens=False)]
 
     def encode(self, text: str) -> np.ndarray:
@@ -226,30 +228,30 @@ def _split_words(text: str) -> list[str]:
     return text.split()
 
 
-_CODECS: dict[tuple[str, int], Codec] = {}
-
-
-def codec(path: str, leaf: int = 2048) -> Codec:
+def codec(path: str, leaf: int, table: int) -> Codec:
     """The codec of this worker process: tasks that run in it one after the
     other share the tokenizer and its piece tables."""
-    if (path, leaf) not in _CODECS:
-        _CODECS[path, leaf] = Codec(path, leaf)
-    return _CODECS[path, leaf]
+    mine, key = kept("bpe"), (path, leaf, table)
+    if key not in mine:
+        mine.clear()
+        mine[key] = Codec(path, leaf, table)
+    return mine[key]
 
 
-def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = 2048) -> DataFrame:
+def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = 2048, table: int = 200_000) -> DataFrame:
     """One row per input row: ``doc_id``, ``ids`` array<int>, ``decoded`` string
     (the decoding of those very ids).
 
     A null text counts as empty: no ids, empty decoding. A null id stays null.
     Repeated rows give repeated results. Texts of any length are encoded whole;
-    unsplit stretches over ``leaf`` characters go through the tree. Other
-    columns of the input are not read.
+    unsplit stretches over ``leaf`` characters go through the tree. A worker
+    remembers up to twice ``table`` pieces. Other columns of the input are not
+    read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = codec(path, leaf)
-        table = np.array([mine.bytes_of.get(i, b"") for i in range(max(mine.bytes_of) + 1)], dtype=object)
+        mine = codec(path, leaf, table)
+        spelling = np.array([mine.bytes_of.get(i, b"") for i in range(max(mine.bytes_of) + 1)], dtype=object)
         for batch in slices(batches, "text", 2_000_000):
             ids = [mine.encode(t) for t in texts(batch, "text")]
             ends = np.cumsum([0, *map(len, ids)])
@@ -258,7 +260,7 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 [
                     batch.column(0).cast(pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())),
-                    pa.array([b"".join(table[x].tolist()).decode("utf-8", "replace") for x in ids], pa.string()),
+                    pa.array([b"".join(spelling[x].tolist()).decode("utf-8", "replace") for x in ids], pa.string()),
                 ],
                 names=["doc_id", "ids", "decoded"],
             )

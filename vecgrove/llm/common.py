@@ -19,6 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What this worker process keeps between tasks for one operator. Asking for
+    it drops what other operators have left behind."""
+    for other in [k for k in _kept if k != owner]:
+        del _kept[other]
+    return _kept.setdefault(owner, {})
+
+
 def filesystem(url: str):
     """(pyarrow filesystem, path in it) for a URI or a local path."""
     from pyarrow import fs

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, slices, texts
+from .common import kept, pick, slices, texts
 
 Q, EDIT_PERCENT = 12, 5
 #: Characters of passages in one block, and bits of the first filter.
@@ -185,20 +185,20 @@ class Passages:
 
 def blocks_of(benchmark: DataFrame, q: int, percent: int, chars: int) -> Iterator[Passages]:
     """The passages in blocks; one block at a time is on the driver."""
-    ids, kept, n = [], [], 0
+    ids, passages, n = [], [], 0
     for r in benchmark.toLocalIterator():
         c, at = code_points([r.text])
         c = c[:-1] if len(c) and c[-1] == 32 else c
         if len(c) + 1 - q * (len(c) * percent // 100 + 1) < 1:
             continue
         ids.append(r.item_id)
-        kept.append(c)
+        passages.append(c)
         n += len(c)
         if n >= chars:
-            yield Passages(ids, kept, q, percent)
-            ids, kept, n = [], [], 0
+            yield Passages(ids, passages, q, percent)
+            ids, passages, n = [], [], 0
     if ids:
-        yield Passages(ids, kept, q, percent)
+        yield Passages(ids, passages, q, percent)
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = Q, percent: int = EDIT_PERCENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -221,6 +221,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
         sent = docs.sparkSession.sparkContext.broadcast((block.ids, block.chars))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept("decontaminate")
             mine = Passages(*sent.value, q, percent)
             for batch in slices(batches, "text", 2_000_000):
                 names, rows = batch.column(0).to_pylist(), []

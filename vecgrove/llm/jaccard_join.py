@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh_dir, pick, settle, slices
+from .common import filesystem, fresh_dir, kept, pick, settle, slices
 from .recompression import NO_ID, _delta, _doc_bucket, _Docs, _pack, _split, _unpack
 from .words import mix, range_hash, words
 
@@ -190,21 +190,18 @@ def _write(out_dir: str, name: str, data: bytes) -> str:
     return place
 
 
-_LOADED: dict[tuple, np.ndarray] = {}
-
-
 def _load(made: tuple[tuple[int, str], ...], slice_bytes: int) -> np.ndarray:
     """Slices put together, one byte or eight flags a cell; kept by this worker."""
-    if made not in _LOADED:
-        if len(_LOADED) > 1:
-            _LOADED.clear()
+    loaded = kept("jaccard")
+    if made not in loaded:
+        loaded.clear()
         out = np.zeros((SEEN_SLICES, slice_bytes), np.uint8)
         for k, place in made:
             fs, path = filesystem(place)
             with fs.open_input_stream(path) as f:
                 out[k] = np.frombuffer(f.read(), np.uint8)
-        _LOADED[made] = out.ravel()
-    return _LOADED[made]
+        loaded[made] = out.ravel()
+    return loaded[made]
 
 
 def _cells(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -261,6 +258,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # sets in outline
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("jaccard").clear()
         for batch in slices(batches, "text"):
             info = [(*set_print(g), len(g)) for g in gram_sets(batch, gram)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(c, pa.int64()) for c in zip(*info))], names=["doc_id", "doc", "tie", "class_1", "class_2", "n"])

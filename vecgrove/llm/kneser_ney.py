@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, pick, slices
+from .common import filesystem, kept, pick, slices
 from .recompression import _pack, _split, _unpack
 from .words import mix, words
 
@@ -84,18 +84,16 @@ def _save(out_dir: str, name: str, *arrays: np.ndarray) -> str:
     return place
 
 
-_OPEN: dict[str, list[np.ndarray]] = {}
-
-
 def _mapped(place: str, *kinds) -> list[np.ndarray]:
     """Arrays of a shard, mapped into memory (read, where the shared folder
     is no file system of this machine)."""
-    if place not in _OPEN:
+    opened = kept("kneser_ney")
+    if place not in opened:
         if place.startswith("file:") or "://" not in place:
             raw = np.memmap(filesystem(place)[1], np.uint8, "r")
         else:
-            if len(_OPEN) > 8:
-                _OPEN.clear()
+            if len(opened) > 8:
+                opened.clear()
             fs, path = filesystem(place)
             with fs.open_input_stream(path) as f:
                 raw = np.frombuffer(f.read(), np.uint8)
@@ -103,8 +101,8 @@ def _mapped(place: str, *kinds) -> list[np.ndarray]:
         for size, kind in zip(raw[:at].view("<i8").tolist(), kinds):
             out.append(raw[at : at + size].view(kind))
             at += size
-        _OPEN[place] = out
-    return _OPEN[place]
+        opened[place] = out
+    return opened[place]
 
 
 @dataclass(frozen=True)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh_dir, pick, slices
+from .common import filesystem, fresh_dir, kept, pick, slices
 from .words import mix, range_hash, words
 
 WINDOW, SLOT_BITS, SLICES = 20, 28, 32
@@ -253,19 +253,17 @@ def shared_slots(rows: DataFrame, width: int, label: str) -> list[tuple[int, str
     return [(r.slice, r.place) for r in made.collect()]
 
 
-_SLOTS: dict[tuple, np.ndarray] = {}
-
-
 def _load_slots(made: tuple[tuple[int, str], ...]) -> np.ndarray:
-    if made not in _SLOTS:
-        _SLOTS.clear()
+    loaded = kept("recompression")
+    if made not in loaded:
+        loaded.clear()
         bits = np.zeros((SLICES, (1 << SLOT_BITS) // 8 // SLICES), np.uint8)
         for k, place in made:
             fs, path = filesystem(place)
             with fs.open_input_stream(path) as f:
                 bits[k] = np.frombuffer(f.read(), np.uint8)
-        _SLOTS[made] = bits.ravel()
-    return _SLOTS[made]
+        loaded[made] = bits.ravel()
+    return loaded[made]
 
 
 # ---- repeats

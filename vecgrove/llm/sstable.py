@@ -37,6 +37,8 @@ from .common import filesystem, pick, slices, texts
 MAGIC = b"VGSSTv01"
 _FOOT = struct.Struct("<QQQQQQII8s")
 _INDEX = np.dtype([("key", "S9"), ("at", "<u8"), ("size", "<u4")])
+#: Pieces that a worker's young table remembers.
+PIECES = 800_000
 BLOCK_BYTES, BITS_PER_KEY, HASHES = 64 * 1024, 10, 7
 
 
@@ -198,7 +200,7 @@ def write_shards(df: DataFrame, tokenizer: str, out_dir: str, end_id: int = 2, i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine, out, first = codec(tokenizer, 1 << 30), None, None
+        mine, out, first = codec(tokenizer, 1 << 30, PIECES), None, None
         end = np.array([end_id], "<i4")
         width = 2 if max(end_id, mine.tok.get_vocab_size()) <= 1 << 16 else 4
         for batch in slices(batches, "text", 2_000_000):

@@ -66,7 +66,7 @@ def flat_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b" ".join(raw) + b" ", np.uint8), begins
 
 
-def words(col: pa.Array, lower: bool = False, block: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+def words(col: pa.Array, lower: bool = False, block: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprint of every word, words before each text as len(col)+1 offsets).
 
     Words are maximal stretches without space or TAB..CR; ``lower`` folds A-Z.
