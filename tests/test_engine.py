@@ -317,3 +317,13 @@ def test_search_of_a_saved_index_names_its_leaves(spark, m8, m8_index, tmp_path)
     assert "PushedFilters: [In(leaf, [0])" in plan or "EqualTo(leaf,0)" in plan or "GreaterThanOrEqual(leaf,0)" in plan
     drop = spark.createDataFrame([(2,), (3,), (2,)], "item_id bigint")
     assert ids(S.search(back, query(spark, (1, 0)), 3, 1, drop)) == [0, 6, 1]
+
+
+@pytest.mark.parametrize("name", ["topk_ip", "ip_scores", "search_ip", "search_page2", "leaf_visit_order"])
+def test_every_asked_row_is_a_query(spark, name):
+    from vecgrove import queries as Q
+
+    sf_dir = "/root/testdata/sf0.01"
+    want = {r.item_id for r in Q.vectors(spark, sf_dir).filter("item_id % 50 = 0").collect()}
+    found = Q.queries()[f"{name}_every50"](spark, sf_dir)
+    assert {r.qid for r in found.select("qid").distinct().collect()} == want and len(want) == 10

@@ -18,7 +18,7 @@ from .sources.embeddings import read_embeddings
 Query = Callable[[SparkSession, str], DataFrame]
 
 TCS, K, QUERY_IDS = 10, 10, (10, 77, 123)
-BATCH_EVERY, EXCLUDED, LRU_KEEP = 5, (10, 44, 233, 272), 20
+BATCH_EVERY, ASKED_EVERY, EXCLUDED, LRU_KEEP = 5, 50, (10, 44, 233, 272), 20
 _built: dict[tuple, VectorIndex] = {}
 
 
@@ -37,6 +37,11 @@ def three(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries_of(spark, sf_dir, F.col("item_id").isin(*QUERY_IDS))
 
 
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose identifier is divisible by ``ASKED_EVERY``."""
+    return queries_of(spark, sf_dir, F.col("item_id") % ASKED_EVERY == 0)
+
+
 def index(spark: SparkSession, sf_dir: str, levels: int = 2, metric: str = "IP") -> VectorIndex:
     key = (spark.sparkContext.applicationId, sf_dir, levels, metric)
     if key not in _built:
@@ -261,6 +266,30 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
     )
     add("recall_at_k_by_budget", recall_by_budget, recall_sql)
 
+    # the score, top-k and search queries for every row that the job asks for
+    which = f"vec_id % {ASKED_EVERY} = 0"
+    for m in ("IP", "L2", "COS"):
+        low = m.lower()
+        add(
+            f"{low}_scores_every50",
+            lambda s, d, m=m: rounded(S.all_scores(vectors(s, d), asked(s, d), m), "value"),
+            _with([V], f"select q.vec_id qid, v.vec_id item_id, round({_value(m, 'v.e', 'q.e')}, 6) + 0.0 as value from v, v q where q.{which}"),
+        )
+        add(
+            f"topk_{low}_every50",
+            lambda s, d, m=m: rounded(S.brute_force(vectors(s, d), asked(s, d), K, m), "dist"),
+            _with([V], f"select qid, rank, item_id, round(dist, 6) + 0.0 dist from (select q.vec_id qid, v.vec_id item_id, {_cost(m, 'v.e', 'q.e')} dist, row_number() over (partition by q.vec_id order by {_cost(m, 'v.e', 'q.e')}, v.vec_id) rank from v, v q where q.{which}) where rank <= {K}"),
+        )
+        add(f"search_{low}_every50", lambda s, d, m=m: rounded(S.search(index(s, d, 2, m), asked(s, d), K, 4, max_increments=0), "dist"), _found(2, m, which, 4))
+    add("leaf_visit_order_every50", lambda s, d: S.visit_order(index(s, d), asked(s, d)).select("qid", "leaf", "leaf_rank"), _with(searching(2, "IP", which), "select qid, leaf, leaf_rank from rk"))
+    for levels in (1, 3):
+        add(f"search_{levels}level" + "s" * (levels > 1) + "_every50", lambda s, d, n=levels: rounded(S.search(index(s, d, n), asked(s, d), K, 4, max_increments=0), "dist"), _found(levels, "IP", which, 4))
+    add("search_exclude_every50", lambda s, d: rounded(S.search(index(s, d), asked(s, d), K, 4, drop(s), 0), "dist"), _found(2, "IP", which, 4, gone))
+    add("search_expand_every50", lambda s, d: rounded(S.search(index(s, d), asked(s, d), 60, 1), "dist"), first(rounds(60, 1, -1, which=which), 60))
+    add("search_capped_every50", lambda s, d: rounded(S.search(index(s, d), asked(s, d), 60, 1, max_increments=1), "dist"), first(rounds(60, 1, 1, which=which), 60))
+    add("search_page2_every50", lambda s, d: rounded(S.open_session(index(s, d), asked(s, d), K, 2).page(1), "dist"), page(rounds(K, 2, -1, which=which), K, 2 * K))
+    add("search_pages_concat_every50", lambda s, d: rounded(S.open_session(index(s, d), asked(s, d), K, 2).pool, "dist"), page(rounds(K, 2, -1, which=which), 0, 10**9))
+
     def appended(s: SparkSession, d: str) -> DataFrame:
         from dataclasses import replace
 
