@@ -327,3 +327,19 @@ def test_every_asked_row_is_a_query(spark, name):
     want = {r.item_id for r in Q.vectors(spark, sf_dir).filter("item_id % 50 = 0").collect()}
     found = Q.queries()[f"{name}_every50"](spark, sf_dir)
     assert {r.qid for r in found.select("qid").distinct().collect()} == want and len(want) == 10
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_reaches_nine_tenths(spark, size):
+    from vecgrove import queries as Q
+
+    sf_dir, run = f"/root/testdata/{size}", Q.queries()
+    for name, metric in (("search_ip", "IP"), ("search_l2", "L2"), ("search_cos", "COS"), ("search_1level", "IP"), ("search_3levels", "IP"), ("search_exclude", "IP")):
+        rows = Q.vectors(spark, sf_dir)
+        if name == "search_exclude":
+            rows = rows.filter(~F.col("item_id").isin(*Q.EXCLUDED))
+        exact = S.brute_force(rows, Q.asked(spark, sf_dir), Q.K, metric)
+        assert S.recall(run[f"{name}_every50"](spark, sf_dir), exact).agg(F.avg("recall")).first()[0] >= 0.9
+    q = Q.queries_of(spark, sf_dir, F.col("item_id") % Q.BATCH_EVERY == 0)
+    exact = S.brute_force(Q.vectors(spark, sf_dir), q, Q.K, "IP")
+    assert S.recall(run["search_batch_wide"](spark, sf_dir), exact).agg(F.avg("recall")).first()[0] >= 0.9

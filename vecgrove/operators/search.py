@@ -148,6 +148,14 @@ def search(index: VectorIndex, queries: DataFrame, k: int, search_exp: int = 64,
     return _pool(index, queries, leaves, items, exclude, k).select("qid", "rank", "item_id", "dist")
 
 
+def leaf_budget(index: VectorIndex, percent: int) -> int:
+    """How many leaves ``percent`` % of those with items are, rounded up; a
+    budget that grows with the table, so that recall doesn't fall."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be 1 to 100")
+    return max(1, -(-percent * index.leaf_sizes.count() // 100))
+
+
 def open_session(index: VectorIndex, queries: DataFrame, k: int, search_exp: int = 64, exclude: DataFrame | None = None, max_increments: int = -1, pages: int | None = None) -> SearchSession:
     """A pool to page through: all rounds, or what ``pages`` pages need."""
     _check(k, search_exp)

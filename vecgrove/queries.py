@@ -19,6 +19,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 TCS, K, QUERY_IDS = 10, 10, (10, 77, 123)
 BATCH_EVERY, ASKED_EVERY, EXCLUDED, LRU_KEEP = 5, 50, (10, 44, 233, 272), 20
+#: Share of the leaves that finds 0.9 of the true neighbours at each table size.
+LEAF_PERCENT, SHARES = 80, (10, 25, 50, 80, 100)
 _built: dict[tuple, VectorIndex] = {}
 
 
@@ -123,10 +125,14 @@ def searching(levels: int, metric: str, which: str, budget: str = "", exclude: s
     return out
 
 
-def _found(levels: int, metric: str, which: str, b: int, exclude: str = "") -> str:
+def _found(levels: int, metric: str, which: str, b: int | str, exclude: str = "") -> str:
     return _with(searching(levels, metric, which, exclude=exclude), f"select * from (select qid, row_number() over (partition by qid order by dist, vec_id) rank, vec_id item_id, round(dist, 6) + 0.0 dist from pool where leaf_rank <= {b}) where rank <= {K}")
 
 
+def _share(percent: int | str) -> str:
+    return f"(select (count(distinct leaf) * {percent} + 99) // 100 from items)"
+
+
 def rounds(k: int, b: int, most: int, exclude: str = "", levels: int = 2, metric: str = "IP", which: str | None = None) -> list[str]:
     """CTEs up to ``ranked``: the pool in rounds, as paging shows it."""
     out = searching(levels, metric, which or f"vec_id in {QUERY_IDS}", exclude=exclude)
@@ -267,7 +273,11 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
     add("recall_at_k_by_budget", recall_by_budget, recall_sql)
 
     # the score, top-k and search queries for every row that the job asks for
-    which = f"vec_id % {ASKED_EVERY} = 0"
+    which, most = f"vec_id % {ASKED_EVERY} = 0", _share(LEAF_PERCENT)
+
+    def wide(ix: VectorIndex, q: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
+        return rounded(S.search(ix, q, K, S.leaf_budget(ix, LEAF_PERCENT), exclude, 0), "dist")
+
     for m in ("IP", "L2", "COS"):
         low = m.lower()
         add(
@@ -280,15 +290,37 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
             lambda s, d, m=m: rounded(S.brute_force(vectors(s, d), asked(s, d), K, m), "dist"),
             _with([V], f"select qid, rank, item_id, round(dist, 6) + 0.0 dist from (select q.vec_id qid, v.vec_id item_id, {_cost(m, 'v.e', 'q.e')} dist, row_number() over (partition by q.vec_id order by {_cost(m, 'v.e', 'q.e')}, v.vec_id) rank from v, v q where q.{which}) where rank <= {K}"),
         )
-        add(f"search_{low}_every50", lambda s, d, m=m: rounded(S.search(index(s, d, 2, m), asked(s, d), K, 4, max_increments=0), "dist"), _found(2, m, which, 4))
+        add(f"search_{low}_every50", lambda s, d, m=m: wide(index(s, d, 2, m), asked(s, d)), _found(2, m, which, most))
     add("leaf_visit_order_every50", lambda s, d: S.visit_order(index(s, d), asked(s, d)).select("qid", "leaf", "leaf_rank"), _with(searching(2, "IP", which), "select qid, leaf, leaf_rank from rk"))
     for levels in (1, 3):
-        add(f"search_{levels}level" + "s" * (levels > 1) + "_every50", lambda s, d, n=levels: rounded(S.search(index(s, d, n), asked(s, d), K, 4, max_increments=0), "dist"), _found(levels, "IP", which, 4))
-    add("search_exclude_every50", lambda s, d: rounded(S.search(index(s, d), asked(s, d), K, 4, drop(s), 0), "dist"), _found(2, "IP", which, 4, gone))
+        add(f"search_{levels}level" + "s" * (levels > 1) + "_every50", lambda s, d, n=levels: wide(index(s, d, n), asked(s, d)), _found(levels, "IP", which, most))
+    add("search_exclude_every50", lambda s, d: wide(index(s, d), asked(s, d), drop(s)), _found(2, "IP", which, most, gone))
     add("search_expand_every50", lambda s, d: rounded(S.search(index(s, d), asked(s, d), 60, 1), "dist"), first(rounds(60, 1, -1, which=which), 60))
     add("search_capped_every50", lambda s, d: rounded(S.search(index(s, d), asked(s, d), 60, 1, max_increments=1), "dist"), first(rounds(60, 1, 1, which=which), 60))
     add("search_page2_every50", lambda s, d: rounded(S.open_session(index(s, d), asked(s, d), K, 2).page(1), "dist"), page(rounds(K, 2, -1, which=which), K, 2 * K))
     add("search_pages_concat_every50", lambda s, d: rounded(S.open_session(index(s, d), asked(s, d), K, 2).pool, "dist"), page(rounds(K, 2, -1, which=which), 0, 10**9))
+    add("search_batch_wide", lambda s, d: wide(index(s, d), queries_of(s, d, F.col("item_id") % BATCH_EVERY == 0)), _found(2, "IP", many, most))
+
+    def recall_by_share(s: SparkSession, d: str) -> DataFrame:
+        q, ix, out = asked(s, d).persist(), index(s, d), None
+        exact = S.brute_force(vectors(s, d), q, K, "IP").persist()
+        for p in SHARES:
+            one = S.recall(S.search(ix, q, K, S.leaf_budget(ix, p), max_increments=0), exact).agg(F.round(F.avg("recall"), 6).alias("mean_recall")).select(F.lit(p).alias("leaf_percent"), "mean_recall")
+            out = one if out is None else out.union(one)
+        return out
+
+    shares = f"(values {', '.join(f'({p})' for p in SHARES)}) t(p)"
+    share_sql = _with(
+        [
+            *searching(2, "IP", which),
+            f"ex as (select qid, vec_id from (select qid, v.vec_id, row_number() over (partition by qid order by {_cost('IP', 'v.e', 'qv')}, v.vec_id) r from v, q) where r <= {K})",
+            "bs as (select p, (n * p + 99) // 100 b from (select count(distinct leaf) n from items), " + shares + ")",
+            f"fo as (select p, qid, vec_id from (select p, qid, vec_id, row_number() over (partition by p, qid order by dist, vec_id) r from pool, bs where leaf_rank <= b) where r <= {K})",
+            f"rc as (select p, ex.qid, count(fo.vec_id) / {K}.0 recall from {shares} cross join ex left join fo using (p, qid, vec_id) group by all)",
+        ],
+        "select p::int leaf_percent, round(avg(recall::double), 6) mean_recall from rc group by p",
+    )
+    add("recall_at_k_by_share", recall_by_share, share_sql)
 
     def appended(s: SparkSession, d: str) -> DataFrame:
         from dataclasses import replace
