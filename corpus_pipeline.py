@@ -16,7 +16,7 @@ from vecgrove.llm.bpe import encode_decode
 from vecgrove.llm.common import settle, table
 from vecgrove.llm.decontaminate import leaks
 from vecgrove.llm.jaccard_join import near_duplicates
-from vecgrove.llm.line_dedup import dedup_lines
+from vecgrove.llm.line_dedup import LONG_WORDS, dedup_lines
 from vecgrove.llm.quality import assess
 from vecgrove.llm.queries import tokenizer_path
 
@@ -33,8 +33,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go, and documents of nothing else."""
-    rows = dedup_lines(docs, carry=True).filter((F.col("n_removed") == 0) | F.col("cleaned").rlike(r"[^\x20\x09-\x0D]"))
+    """Later copies of repeated line runs and of long lines go, and documents of
+    nothing else."""
+    rows = dedup_lines(docs, carry=True, long_words=LONG_WORDS).filter((F.col("n_removed") == 0) | F.col("cleaned").rlike(r"[^\x20\x09-\x0D]"))
     return _with_text(rows, docs.columns, "cleaned")
 
 

@@ -118,6 +118,27 @@ def test_longest_run_over_buckets(spark, monkeypatch):
     assert all((got[k].cleaned, got[k].n_removed, got[k].longest_run) == ("", 7, 7) for k in range(1, 5))
 
 
+@pytest.mark.parametrize("min_lines", [2, 3])
+def test_line_dedup_of_long_single_lines(docs, rows, min_lines):
+    from vecgrove.llm.line_dedup import dedup_lines
+
+    got, first, lone = by_id(dedup_lines(docs, min_lines=min_lines, long_words=12)), {}, 0
+    for i, text in rows:
+        lines = (text or "").split("\n")
+        at, runs, single = [k for k, x in enumerate(lines) if WORDS.search(x)], set(), set()
+        for a in range(len(at) - min_lines + 1):
+            mine = [at[a + j] for j in range(min_lines)]
+            if first.setdefault(tuple(lines[x] for x in mine), (i, a)) != (i, a):
+                runs |= set(mine)
+        for k in at:
+            if len(WORDS.findall(lines[k])) >= 12 and first.setdefault(lines[k], (i, k)) != (i, k):
+                single.add(k)
+        gone, lone = runs | single, lone + len(single - runs)
+        assert got[i].cleaned == "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        assert (got[i].n_removed, got[i].longest_run > 0) == (len(gone), bool(gone))
+    assert lone > 0
+
+
 # ---- 2
 
 

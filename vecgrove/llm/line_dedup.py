@@ -8,7 +8,8 @@ sort with the place as tie-breaker, so one line that a third of all documents
 share is spread over many tasks. In the finished array the longest common
 prefix of neighbours follows from the rank tables, largest step first; stretches
 whose common prefixes reach ``min_lines`` are the intervals of repeated runs,
-and in each the earliest place stays while later copies are deleted.
+and in each the earliest place stays while later copies are deleted. A line of
+``long_words`` words counts alone: its interval is that of its rank by one line.
 
 DataFrame operations only.
 """
@@ -24,6 +25,8 @@ from ..operators.ordering import running_total
 from .common import WORD_GAP, pick, settle
 
 MIN_LINES = 2
+#: So many words make one line a run by itself, where asked for.
+LONG_WORDS = 20
 #: Rows of the suffix array that may meet in one task: 2 to this power.
 BUCKET_BITS = 16
 NO_ID = -(1 << 63)
@@ -36,7 +39,8 @@ def _with_edges(df: DataFrame, edges: list[tuple], schema: str) -> DataFrame:
 
 
 def ranked(rows: DataFrame, base: Column | None) -> DataFrame:
-    """``g, e, rank, alone`` for rows ``g, e, a, b`` in the order (a, b, g).
+    """``g, e, rank, alone, later`` for rows ``g, e, a, b`` in the order (a, b, g),
+    ``later`` where an equal pair comes before; without ``base`` also ``a``.
 
     Equal pairs share the place of their first row as rank. With ``base`` (the
     old rank ``a``) places count within the rows of equal ``a``.
@@ -78,29 +82,42 @@ def ranked(rows: DataFrame, base: Column | None) -> DataFrame:
     starts_here = (F.col("at") == F.col("start_b")) & ~((F.col("start_b") == 0) & F.col("from_before"))
     ends_here = F.when(F.col("last"), ~F.col("goes_on")).otherwise(F.col("last_b"))
     rank = start("b") if base is None else base + start("b") - start("a")
-    return full.select("g", "e", rank.alias("rank"), (starts_here & ends_here).alias("alone"))
+    return full.select("g", "e", rank.alias("rank"), (starts_here & ends_here).alias("alone"), (~starts_here).alias("later"), *(["a"] if base is None else []))
 
 
 def worded(lines: Column) -> Column:
     return F.filter(lines, lambda x: x.rlike(f"[^{WORD_GAP}]"))
 
 
-def line_sequence(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def line_print(x: Column, long_words: int | None) -> Column:
+    """64 bits of a line; with ``long_words`` the last tells whether it is long."""
+    if long_words is None:
+        return F.xxhash64(x)
+    long = F.when(F.length(x) >= 2 * long_words - 1, F.regexp_count(x, F.lit(f"[^{WORD_GAP}]+")) >= long_words).otherwise(False)
+    return F.xxhash64(x).bitwiseAND(F.lit(-2)).bitwiseOR(long.cast("bigint"))
+
+
+def line_sequence(docs: DataFrame, long_words: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(``doc, tie, e`` by document; ``g, e, a, b`` by line)."""
-    ids = docs.select("doc", "tie", F.transform(worded(F.split("text", "\n", -1)), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"))).alias("ids"))
+    ids = docs.select("doc", "tie", F.transform(worded(F.split("text", "\n", -1)), lambda x: F.struct(line_print(x, long_words).alias("a"), F.xxhash64(F.lit(7), x).alias("b"))).alias("ids"))
     by_doc = ids.groupBy("doc", "tie").agg(F.first("ids").alias("ids")).withColumn("n", (F.size("ids") + 1).cast("bigint")).filter("n > 1")
     placed = running_total(by_doc, ["doc", "tie"], "n", "base").withColumn("e", F.col("base") + F.col("n") - 1)
     rows = placed.select("base", "e", F.posexplode("ids").alias("k", "x")).select((F.col("base") + F.col("k")).alias("g"), "e", "x.a", "x.b")
     return placed.select("doc", "tie", "base", "e"), rows
 
 
-def repeated_runs(rows: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """Later copies: ``g, e, run`` where ``run`` >= ``min_lines`` is the longest
-    common prefix with a neighbour in the suffix array."""
+def repeated_runs(rows: DataFrame, min_lines: int = MIN_LINES, long_lines: bool = False) -> DataFrame:
+    """Later copies: ``g, e, run, span`` where ``run`` >= ``min_lines`` is the
+    longest common prefix with a neighbour in the suffix array and ``span`` the
+    lines that go; with ``long_lines`` also lines marked long (``span`` 1)."""
     now = ranked(rows, None)
+    single = None
     settled, levels, h = [], [], 1
     while True:
         now = settle(now, "level")
+        if h == 1 and long_lines:
+            one = F.lit(1).cast("bigint")
+            single = now.filter(F.col("later") & (F.col("a").bitwiseAND(F.lit(1)) == 1)).select("g", "e", one.alias("run"), one.alias("span"))
         settled.append(now.filter("alone").select("g", "rank"))
         active = now.filter("not alone").select("g", "e", "rank")
         if active.isEmpty():
@@ -114,7 +131,8 @@ def repeated_runs(rows: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         h *= 2
     wide = [x for x in levels if x[0] <= min_lines]
     if not wide or wide[-1][0] * 2 <= min_lines:
-        return rows.select("g", "e", F.lit(0).cast("bigint").alias("run")).limit(0)
+        none = F.lit(0).cast("bigint")
+        return rows.select("g", "e", none.alias("run"), none.alias("span")).limit(0) if single is None else single
     array = reduce(DataFrame.union, settled)
     # suffixes with a chance of a common prefix of min_lines
     sa = settle(wide[-1][1].select("g", "e").join(array, "g").withColumnRenamed("rank", "sa"), "suffixes")
@@ -150,16 +168,18 @@ def repeated_runs(rows: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     part = cut.groupBy("begin", "bucket").agg(F.min("g").alias("first"))
     whole = part.groupBy("begin").agg(F.min("first").alias("first"))
     firsts = part.select("begin", "bucket").join(whole, "begin")
-    return cut.join(firsts, ["begin", "bucket"]).filter("g > first").select("g", "e", F.greatest("run", F.lit(min_lines)).alias("run"))
+    runs = cut.join(firsts, ["begin", "bucket"]).filter("g > first").select("g", "e", F.greatest("run", F.lit(min_lines)).alias("run"), F.lit(min_lines).cast("bigint").alias("span"))
+    return runs if single is None else runs.unionByName(single)
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, carry: bool = False) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, carry: bool = False, long_words: int | None = None) -> DataFrame:
     """One row per input row: ``doc_id, text`` (the input's), ``cleaned``,
     ``n_lines``, ``n_removed``, ``longest_run`` (of removed copies, else 0).
 
     A line is removed iff it lies in ``min_lines`` consecutive lines of its
     document that also start earlier (smaller identifier, or same document
-    and earlier line). Runs are judged on the input. Lines without a word take
+    and earlier line); with ``long_words`` also iff it has that many words and
+    stands earlier as it is. Runs are judged on the input. Lines without a word take
     no part and stay. Lines are equal when their text is (compared by 128-bit
     hash). Null or empty texts have no lines to remove and come back as empty
     text. A null identifier sorts first. Rows that share identifier and text
@@ -171,10 +191,10 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
     rows = pick(df, carry, doc_id=id_col, text=text_col).select("doc_id", doc.alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    docs, lines = line_sequence(rows)
-    later = repeated_runs(lines, min_lines)
+    docs, lines = line_sequence(rows, long_words)
+    later = repeated_runs(lines, min_lines, long_words is not None)
     gone = (
-        later.select("e", "run", F.explode(F.sequence("g", F.col("g") + min_lines - 1)).alias("g"))
+        later.select("e", "run", F.explode(F.sequence("g", F.col("g") + F.col("span") - 1)).alias("g"))
         .groupBy("e").agg(F.collect_set("g").alias("gone"), F.max("run").alias("longest_run"))
         .join(docs, "e")
         .select("doc", "tie", "base", "gone", "longest_run")

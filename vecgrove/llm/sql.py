@@ -24,6 +24,20 @@ select doc_id, count(*) n_lines, count(g.i) n_removed, sha256(coalesce(string_ag
 from l left join (select doc_id, i from gone) g using (doc_id, i) group by doc_id"""
 
 
+def op1_long() -> str:
+    """As op1, and a line of many words counts as a run by itself."""
+    assert line_dedup.MIN_LINES == 2
+    return f"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
+l as (select doc_id, unnest(ls) x, generate_subscripts(ls, 1) i from d),
+k as (select doc_id, i, x, lead(x) over w nx, lead(i) over w ni from l where regexp_matches(x, '{_WORD}') window w as (partition by doc_id order by i)),
+f as (select doc_id, i, ni, row_number() over (partition by x, nx order by doc_id, i) r from k where ni is not null),
+o as (select doc_id, i, row_number() over (partition by x order by doc_id, i) r from k where len(regexp_extract_all(x, '{_WORD}+')) >= {line_dedup.LONG_WORDS}),
+gone as (select doc_id, i from f where r > 1 union select doc_id, ni from f where r > 1 union select doc_id, i from o where r > 1)
+select doc_id, count(*) n_lines, count(g.i) n_removed, sha256(coalesce(string_agg(x, chr(10) order by i) filter (where g.i is null), '')) kept_sha256
+from l left join (select doc_id, i from gone) g using (doc_id, i) group by doc_id"""
+
+
 def op2() -> str:
     q = quality
     words = f"len(string_split_regex(trim(x), '{_GAP}'))"
