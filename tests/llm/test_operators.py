@@ -391,6 +391,20 @@ def test_decontamination_against_full_alignment():
                 assert (got[t, i][0] if (t, i) in got else None) == best
 
 
+def test_decontamination_of_edits_at_the_beginning():
+    """One character inserted or deleted near the beginning, at every offset."""
+    from vecgrove.llm.decontaminate import Passages, code_points
+
+    r = random.Random(6)
+    item = "".join(r.choice("abcdefgh") for _ in range(30))
+    p = Passages([0], [code_points([item])[0]], 12, 5)
+    for place in range(1, 12):
+        for edited in (item[:place] + "z" + item[place:], item[:place] + item[place + 1 :]):
+            for offset in range(8):
+                found = p.find(*code_points(["y" * offset + edited + "yyyy"]))
+                assert found[0, 0][0] == 1, (place, offset)
+
+
 # ---- 7
 
 

@@ -165,9 +165,10 @@ class Passages:
             i, t, e = int(item[k]), int(text[k]), int(self.edits[item[k]])
             low = int(band[k]) * (e + 1)
             body = c[at[t] : at[t + 1]]
-            begin = max(0, low - e)
+            # edits in the first characters put all shared q-grams to the right of the beginning
+            begin = max(0, low - 2 * e)
             window = body[begin : low + 2 * (e + 1) + int(self.size[i]) + 2 * e]
-            found = self._exact(self.chars[i], window) or align(self.chars[i], window, low - begin, low + 2 * e + 1 - begin, e)
+            found = self._exact(self.chars[i], window) or align(self.chars[i], window, low - e - begin, low + 2 * e + 1 - begin, e)
             if found:
                 mine = (found[0], found[1] + begin, found[2] + begin, int(both[k]))
                 if (t, i) not in out or mine[:3] < out[t, i][:3]:
