@@ -405,6 +405,23 @@ def test_decontamination_of_edits_at_the_beginning():
                 assert found[0, 0][0] == 1, (place, offset)
 
 
+def test_decontamination_of_short_passages(spark):
+    """Passages of every length are found verbatim, and only where they stand."""
+    from vecgrove.llm.decontaminate import leaks
+
+    r = random.Random(8)
+    items = ["".join(r.choice("abcdefghijklmnop") for _ in range(n)) for n in range(5, 31)]
+    texts = [f"x{'y' * (k % 3)} {t} z {t}" for k, t in enumerate(items)] + [t[:-1] for t in items[:7]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame([*enumerate(items), (50, ""), (51, items[0])], "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id): (x.edits, x.begin, x.end) for x in leaks(docs, bench).collect()}
+    want = {(k, k): (0, texts[k].index(t), texts[k].index(t) + len(t)) for k, t in enumerate(items)}
+    assert got == want | {(0, 51): want[0, 0]}
+    edited = spark.createDataFrame([(k, f"x {t[:k]}Z{t[k + 1:]} y") for k, t in enumerate(items) if len(t) >= 20], "doc_id bigint, text string")
+    got = {(x.doc_id, x.item_id): x.edits for x in leaks(edited, bench).collect()}
+    assert got == {(k, k): 1 for k, t in enumerate(items) if len(t) >= 20}
+
+
 # ---- 7
 
 

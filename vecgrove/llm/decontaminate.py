@@ -5,7 +5,7 @@ m + 1 - q(k + 1) of its q-grams, and their diagonals (place in the text minus
 place in the passage) drift by no more than k. Shared q-grams are counted in
 bands of 2(k + 1) diagonals that overlap by half, so that each such stretch
 falls whole into one; bands that meet the bound are verified by an alignment
-within the band.
+within the band. For short passages q is smaller, so that the bound is 1 at least.
 
 The passages are worked through in blocks of a stated size, each sent to the
 workers whole; all documents are scanned for each block, map-side, without a
@@ -184,22 +184,33 @@ class Passages:
         return None if at < 0 else (0, at // 4, at // 4 + len(passage))
 
 
-def blocks_of(benchmark: DataFrame, q: int, percent: int, chars: int) -> Iterator[Passages]:
+def by_gram(ids: list, chars: list[np.ndarray], q: int, percent: int) -> list[Passages]:
+    """The passages by the longest q-grams, ``q`` at most, of which the lemma
+    promises one; a passage without edits may be one q-gram itself."""
+    out: dict[int, tuple[list, list[np.ndarray]]] = {}
+    for i, c in zip(ids, chars):
+        mine = out.setdefault(min(q, len(c) // (len(c) * percent // 100 + 1)), ([], []))
+        mine[0].append(i)
+        mine[1].append(c)
+    return [Passages(*x, k, percent) for k, x in sorted(out.items())]
+
+
+def blocks_of(benchmark: DataFrame, q: int, percent: int, chars: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     """The passages in blocks; one block at a time is on the driver."""
     ids, passages, n = [], [], 0
     for r in benchmark.toLocalIterator():
         c, at = code_points([r.text])
         c = c[:-1] if len(c) and c[-1] == 32 else c
-        if len(c) + 1 - q * (len(c) * percent // 100 + 1) < 1:
+        if len(c) < len(c) * percent // 100 + 1:  # empty, or nothing of it needs to be left
             continue
         ids.append(r.item_id)
         passages.append(c)
         n += len(c)
         if n >= chars:
-            yield Passages(ids, passages, q, percent)
+            yield ids, passages
             ids, passages, n = [], [], 0
     if ids:
-        yield Passages(ids, passages, q, percent)
+        yield ids, passages
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = Q, percent: int = EDIT_PERCENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -209,25 +220,27 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     Texts and passages are lower-cased and white space is made single spaces;
     ``begin`` and ``end`` are places in that form. Of several places in a text
     the one with the fewest edits counts, then the first. Passages for which
-    the lemma promises no shared q-gram (fewer than ``q`` characters, at these
-    settings) are too short to tell and match nothing. Null and empty texts
-    hold nothing. Repeated rows and repeated passages are reported each; null
+    the lemma promises no shared q-gram (fewer than 24 characters, at these
+    settings) are searched by shorter ones. Null and empty texts and passages
+    hold nothing and match nothing. Repeated rows and repeated passages are reported each; null
     identifiers stay null. Other columns are not read.
     """
     docs = pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint"), F.lower(F.col("text").cast("string")).alias("text"))
     items = pick(benchmark, item_id=item_col, text=item_text_col).select(F.col("item_id").cast("bigint"), F.lower(F.col("text").cast("string")).alias("text")).filter("text is not null")
     schema = "doc_id bigint, item_id bigint, edits int, begin bigint, end bigint, shared bigint"
 
-    def scan(block: Passages) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast((block.ids, block.chars))
+    def scan(block: tuple[list, list[np.ndarray]]) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept("decontaminate")
-            mine = Passages(*sent.value, q, percent)
+            sizes = by_gram(*sent.value, q, percent)
             for batch in slices(batches, "text", 2_000_000):
                 names, rows = batch.column(0).to_pylist(), []
-                for (t, i), found in mine.find(*code_points(texts(batch, "text"))).items():
-                    rows.append((names[t], mine.ids[i], *found))
+                chars = code_points(texts(batch, "text"))
+                for mine in sizes:
+                    for (t, i), found in mine.find(*chars).items():
+                        rows.append((names[t], mine.ids[i], *found))
                 if rows:
                     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                     e = [(r[0], r[1], r[2], r[3], r[4], r[5]) for r in rows]
