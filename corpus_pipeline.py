@@ -42,7 +42,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each near-duplicate group stays; of rows that
     repeat both identifier and text, one."""
-    found = near_duplicates(docs)
+    found = near_duplicates(docs, count_links=False)
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("tie") == F.col("component_tie"))).select(F.col("doc_id").alias("first_id"), F.col("tie").alias("first_tie")).distinct()
     text = F.coalesce("text", F.lit(""))
     stay = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.xxhash64(text) == F.col("first_tie")), "left_semi")

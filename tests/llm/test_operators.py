@@ -209,6 +209,29 @@ def test_jaccard_join(docs, rows, nothing, monkeypatch, block):
     assert jaccard_join.near_duplicates(nothing).count() == 0
 
 
+@pytest.mark.parametrize("block", [2_000_000, 300])
+def test_jaccard_links_are_counted_once(spark, monkeypatch, block):
+    """Every class has the number of classes that it links with, not its degree
+    in a forest."""
+    from vecgrove.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    words, texts = [f"w{k}" for k in range(160)], []
+    texts += [" ".join(words[3 * k : 3 * k + 60]) for k in range(12)]  # a chain
+    texts += [" ".join([f"c{j}" for j in range(70)] + [f"own{k}"]) for k in range(9)]  # all link
+    texts += [texts[3], texts[14], texts[14].upper(), "alone in the world of words", ""] + corpus(5, 40)
+    sets = []
+    for text in texts:
+        w = WORDS.findall(text.translate(LOWER))
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
+    kinds = {s for s in sets if s}
+    near = {s: sum(100 * len(s & t) >= 75 * len(s | t) for t in kinds if t != s) for s in kinds}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.near_duplicates(df).collect()}
+    assert got == {k: (sets.index(s), near[s]) if s else (k, 0) for k, s in enumerate(sets)}
+    assert got[14] == (14, 8)
+
+
 def test_jaccard_chain_links_beyond_the_pivot(spark):
     """A chain of texts where only neighbours are near each other."""
     from vecgrove.llm.jaccard_join import near_duplicates

@@ -15,7 +15,8 @@
 4. In a task the sets, their n-grams in one order, are stored in a prefix tree.
    A probe walks down it; the overlap of a shared beginning is counted once, and
    a subtree is left when what remains can't reach the overlap it needs. A task
-   returns a spanning forest of its links, not all pairs.
+   returns a spanning forest of its links, not all pairs, and how many links
+   each set has; a pair that meets in several tasks counts under its first pivot.
 5. Smallest labels travel along the links, with shortcuts, until all agree.
 """
 
@@ -143,9 +144,11 @@ class Tree:
             stack += [(c, have) for c in self.kids[node]]
 
 
-def tree_links(sets: list[np.ndarray], side: list[int] | None, num: int, den: int) -> list[tuple[int, int]]:
+def tree_links(sets: list[np.ndarray], side: list[int] | None, num: int, den: int, earlier: list[frozenset] | None = None, degree: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among ``sets`` (with ``side``: between
-    those of side 0, kept in the tree, and the probes of side 1)."""
+    those of side 0, kept in the tree, and the probes of side 1). ``degree``
+    takes up the number of links of each set, but for those of two sets that
+    have one of ``earlier`` in common."""
     vocab, number, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(vocab), np.int64)
     rank[np.lexsort((vocab, -counts))] = np.arange(len(vocab))
@@ -168,7 +171,11 @@ def tree_links(sets: list[np.ndarray], side: list[int] | None, num: int, den: in
             continue
         inside[paths[k]] = True
         for other, _ in tree.probe(inside, len(paths[k]), num, den):
-            a, b = find(k), find(stored[other])
+            o = stored[other]
+            if degree is not None and (o < k or side is not None) and (earlier is None or earlier[k].isdisjoint(earlier[o])):
+                degree[k] += 1
+                degree[o] += 1
+            a, b = find(k), find(o)
             if a != b:
                 root[max(a, b)] = min(a, b)
         inside[paths[k]] = False
@@ -237,10 +244,12 @@ def flag(keys: DataFrame, out_dir: str) -> tuple[tuple[int, str], ...]:
 # ---- Spark
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, num: int = NUM, den: int = DEN) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, num: int = NUM, den: int = DEN, count_links: bool = True) -> DataFrame:
     """One row per input row: ``doc_id, tie`` (a hash of its text), ``n_shingles,
-    component_id, component_tie`` (the first member), ``class_1, class_2,
-    n_links`` (links of its class in the forest that joins its group).
+    component_id, component_tie`` (the first member), ``class_1, class_2``
+    and, with ``count_links``, ``class_id`` (the first member of its class, the
+    texts with its set) and ``n_links`` (how many other classes its class links
+    with).
 
     A-Z are folded; a set holds the distinct ``gram``-word shingles; a text of
     fewer words is one shingle. Two rows link where ``den * |A & B| >= num *
@@ -390,41 +399,55 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([g.tobytes() for g in gram_sets(part, gram)], pa.binary())], names=["doc", "tie", "grams"])
 
     sets = rows.select("doc", "tie", "text").mapInArrow(sets_of, "doc bigint, tie bigint, grams binary").groupBy("doc", "tie").agg(F.first("grams").alias("grams"))
+    # the pivots of a class that come before the one it meets others under
+    if count_links:
+        pivot = F.unhex(F.concat(F.lpad(F.hex("p1"), 16, "0"), F.lpad(F.hex("p2"), 16, "0")))
+        several = member.select("class_1", "class_2", pivot.alias("pivot")).groupBy("class_1", "class_2").agg(F.collect_set("pivot").alias("pivots")).filter(F.size("pivots") > 1)
+        member = member.join(several, ["class_1", "class_2"], "left").withColumn("earlier", F.filter("pivots", lambda x: x < pivot)).drop("pivots")
+    else:
+        member = member.withColumn("earlier", F.lit(None).cast("array<binary>"))
     dealt = member.withColumn("own", F.pmod(F.xxhash64("class_1", "class_2"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("p1", "p2", "first", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("p1", "p2", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), F.col("first.doc").alias("doc"), F.col("first.tie").alias("tie"))
+    dealt = dealt.select("p1", "p2", "first", "earlier", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("p1", "p2", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), F.col("first.doc").alias("doc"), F.col("first.tie").alias("tie"), "earlier")
 
     def join(table: pa.Table) -> pa.Table:
         found = [np.frombuffer(b, np.uint64) for b in table.column("grams").to_pylist()]
         side = table.column("side").to_pylist() if table.column("i")[0] != table.column("j")[0] else None
         doc, tie = table.column("doc").to_numpy(), table.column("tie").to_numpy()
-        pairs = np.array(tree_links(found, side, num, den), np.int64).reshape(-1, 2)
-        a, b = pairs[:, 0], pairs[:, 1]
-        return pa.table({"u_doc": doc[a], "u_tie": tie[a], "v_doc": doc[b], "v_tie": tie[b]})
-
-    links = settle(dealt.join(sets, ["doc", "tie"]).groupBy("p1", "p2", "i", "j").applyInArrow(join, "u_doc bigint, u_tie bigint, v_doc bigint, v_tie bigint"), "links")
+        degree = np.zeros(len(found), np.int64)
+        known = ([frozenset(x or ()) for x in table.column("earlier").to_pylist()], degree) if count_links else ()
+        pairs = np.array(tree_links(found, side, num, den, *known), np.int64).reshape(-1, 2)
+        # links of the forest, and a row from each linked set to itself with its number of links
+        own = np.flatnonzero(degree)
+        a, b = np.append(pairs[:, 0], own), np.append(pairs[:, 1], own)
+        return pa.table({"u_doc": doc[a], "u_tie": tie[a], "v_doc": doc[b], "v_tie": tie[b], "n_links": np.append(np.zeros(len(pairs), np.int64), degree[own])})
+
+    met = settle(dealt.join(sets, ["doc", "tie"]).groupBy("p1", "p2", "i", "j").applyInArrow(join, "u_doc bigint, u_tie bigint, v_doc bigint, v_tie bigint, n_links bigint"), "links")
+    links, counted = met.filter("n_links = 0"), met.filter("n_links > 0").groupBy(F.struct(F.col("u_doc").alias("doc"), F.col("u_tie").alias("tie")).alias("node")).agg(F.sum("n_links").alias("n_links"))
     label = components(links.select(F.struct(F.col("u_doc").alias("doc"), F.col("u_tie").alias("tie")).alias("u"), F.struct(F.col("v_doc").alias("doc"), F.col("v_tie").alias("tie")).alias("v")))
-    named = settle(classes.withColumnRenamed("first", "node").join(label, "node", "left").select("class_1", "class_2", F.coalesce("label", "node").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree")), "named")
-    result = docs.join(named, ["class_1", "class_2"], "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.struct("doc", "tie")))
+    named = settle(classes.withColumnRenamed("first", "node").join(label, "node", "left").join(counted, "node", "left").select("class_1", "class_2", F.coalesce("label", "node").alias("component"), "n_links", F.col("node.doc").alias("class_doc")), "named")
+    result = docs.join(named, ["class_1", "class_2"], "left").withColumn("class_doc", F.when(F.col("n") > 0, F.col("class_doc"))).withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.struct("doc", "tie")))
+    first = F.coalesce("class_doc", "doc")
+    links = [F.when(first != NO_ID, first).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")] if count_links else []
     return result.select(
         "doc_id", "tie", F.col("n").alias("n_shingles"), F.when(F.col("component.doc") != NO_ID, F.col("component.doc")).alias("component_id"), F.col("component.tie").alias("component_tie"),
-        "class_1", "class_2", F.coalesce("degree", F.lit(0)).cast("bigint").alias("n_links"),
+        "class_1", "class_2", *links,
     )
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, label, degree``: for every node of the links ``u, v`` the
+    """``node, label``: for every node of the links ``u, v`` the
     smallest node it reaches. Each round takes the smallest label of the
     neighbours, then the label of that label; rounds go on until none changes."""
     both = settle(links.union(links.select("v", "u")).distinct().toDF("node", "to"), "edges")
-    label = both.groupBy("node").agg(F.least(F.min("to"), F.first("node")).alias("label"), F.count("*").alias("degree"))
+    label = both.groupBy("node").agg(F.least(F.min("to"), F.first("node")).alias("label"))
     label = settle(label, "labels")
     while True:
         near = both.join(label.select(F.col("node").alias("to"), "label"), "to").groupBy("node").agg(F.min("label").alias("near"))
-        step = label.join(near, "node").select("node", "label", "degree", F.least("label", "near").alias("new"))
+        step = label.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
         far = step.select(F.col("node").alias("new"), F.col("new").alias("further"))
-        step = settle(step.join(far, "new", "left").select("node", "degree", "label", F.least("new", F.coalesce("further", "new")).alias("new")), "labels")
+        step = settle(step.join(far, "new", "left").select("node", "label", F.least("new", F.coalesce("further", "new")).alias("new")), "labels")
         done = step.filter("new != label").isEmpty()
-        label = step.select("node", F.col("new").alias("label"), "degree")
+        label = step.select("node", F.col("new").alias("label"))
         if done:
             return label

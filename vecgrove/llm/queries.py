@@ -75,7 +75,15 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return near_duplicates(table(spark, sf_dir, "documents"), count_links=False).select("doc_id", "n_shingles", "component_id")
+
+
+def op3_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3 with the class of each text (its first member's identifier) and the
+    number of other classes that its class links with."""
+    from .jaccard_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op4_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,10 +109,10 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_quality": op2_quality, "op3_jaccard_join": op3_jaccard_join, "op4_sstable": op4_sstable, "op5_sharding": op5_sharding, "op6_decontaminate": op6_decontaminate, "op7_recompression": op7_recompression, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_kneser_ney": op10_kneser_ney, "op1_line_dedup_long": op1_line_dedup_long}
+    return {"op1_line_dedup": op1_line_dedup, "op2_quality": op2_quality, "op3_jaccard_join": op3_jaccard_join, "op4_sstable": op4_sstable, "op5_sharding": op5_sharding, "op6_decontaminate": op6_decontaminate, "op7_recompression": op7_recompression, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_kneser_ney": op10_kneser_ney, "op1_line_dedup_long": op1_line_dedup_long, "op3_jaccard_links": op3_jaccard_links}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL has no tokenizer, edit-distance search or language model: 4, 6, 8
     and 10 are tested against brute force instead."""
-    return {"op1_line_dedup": sql.op1(), "op2_quality": sql.op2(), "op3_jaccard_join": sql.op3(), "op5_sharding": sql.op5(SHARDS), "op7_recompression": sql.op7(), "op9_warc": sql.op9(), "op1_line_dedup_long": sql.op1_long()}
+    return {"op1_line_dedup": sql.op1(), "op2_quality": sql.op2(), "op3_jaccard_join": sql.op3(), "op5_sharding": sql.op5(SHARDS), "op7_recompression": sql.op7(), "op9_warc": sql.op9(), "op1_line_dedup_long": sql.op1_long(), "op3_jaccard_links": sql.op3_links()}

@@ -74,6 +74,22 @@ r as (select doc_id a, doc_id b from documents union select r.a, u.b from r join
 select d.doc_id, coalesce(any_value(n.n), 0)::bigint n_shingles, min(r.b) component_id from documents d left join n using (doc_id) left join r on r.a = d.doc_id group by d.doc_id"""
 
 
+def op3_links() -> str:
+    """As op3, with the class (texts of equal sets) and its links to others."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{_GAP}'), lambda x: x <> '') w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') g from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) i from w)),
+n as (select doc_id, count(*) n, min(doc_id) over (partition by list_sort(list(g))) class_id from s group by doc_id),
+o as (select a.doc_id a, b.doc_id b, count(*) shared from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+e as (select a, b, x.class_id ca, y.class_id cb from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 75 * (x.n + y.n - shared)),
+u as (select a, b from e union select b, a from e),
+c as (select ca, count(distinct cb) n_links from (select ca, cb from e union select cb, ca from e) where ca <> cb group by ca),
+r as (select doc_id a, doc_id b from documents union select r.a, u.b from r join u on r.b = u.a)
+select d.doc_id, coalesce(any_value(n.n), 0)::bigint n_shingles, min(r.b) component_id, coalesce(any_value(n.class_id), d.doc_id) class_id, coalesce(any_value(c.n_links), 0)::bigint n_links
+from documents d left join n using (doc_id) left join c on c.ca = n.class_id left join r on r.a = d.doc_id group by d.doc_id"""
+
+
 def op7() -> str:
     k = recompression.WINDOW
     return f"""
