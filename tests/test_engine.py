@@ -343,3 +343,11 @@ def test_recall_reaches_nine_tenths(spark, size):
     q = Q.queries_of(spark, sf_dir, F.col("item_id") % Q.BATCH_EVERY == 0)
     exact = S.brute_force(Q.vectors(spark, sf_dir), q, Q.K, "IP")
     assert S.recall(run["search_batch_wide"](spark, sf_dir), exact).agg(F.avg("recall")).first()[0] >= 0.9
+
+
+def test_representatives_of_the_whole_table(spark):
+    from vecgrove import queries as Q
+
+    sf_dir = "/root/testdata/sf0.01"
+    got = Q.queries()["reps_from_table_whole"](spark, sf_dir).collect()
+    assert len(got) == Q.vectors(spark, sf_dir).count() == 500 and sorted(r.rep for r in got) == list(range(500))

@@ -209,6 +209,7 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
     seeded = f"select row_number() over (order by md5(vec_id::varchar || ':7'), vec_id) - 1 rep, vec_id item_id, e from v qualify rep < (select ceil(count(*) / {TCS}.0) from v)"
     add("reps_random_seeded", lambda s, d: flat(R.random(vectors(s, d), total_clusters(vectors(s, d).count(), TCS), 7)), _with([V], f"select rep, item_id, round(list_sum(e), 5) + 0.0 total from ({seeded})"))
     add("reps_from_table", lambda s, d: flat(R.from_table(vectors(s, d).filter("item_id % 7 = 3"))), _with([V], "select row_number() over (order by vec_id) - 1 rep, vec_id item_id, round(list_sum(e), 5) + 0.0 total from v where vec_id % 7 = 3"))
+    add("reps_from_table_whole", lambda s, d: flat(R.from_table(vectors(s, d))), _with([V], "select row_number() over (order by vec_id) - 1 rep, vec_id item_id, round(list_sum(e), 5) + 0.0 total from v"))
 
     def lloyd(s: SparkSession, d: str) -> DataFrame:
         v = vectors(s, d)
