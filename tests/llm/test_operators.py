@@ -386,32 +386,69 @@ def distance_within(p, t):
 
 
 def test_decontamination_against_full_alignment():
-    from vecgrove.llm.decontaminate import Passages, code_points
+    """Passages of every length from 1 to 70, as they are and edited, among
+    unrelated ones: the edits found are those of a full alignment, or none."""
+    from vecgrove.llm.decontaminate import by_gram, code_points
 
-    r = random.Random(3)
-    for trial in range(25):
+    r, hits = random.Random(3), 0
+    for trial in range(70):
         letters = "ab " if trial % 3 == 0 else "abcdefgh "
-        items = ["".join(r.choice(letters) for _ in range(r.randint(20, 110))).strip() or "a" for _ in range(3)]
-        p = Passages([0, 1, 2], [code_points([x])[0] for x in items], 6 if trial % 2 else 12, 5)
-        texts = []
+        sizes = [trial + 1, r.randint(1, 70), r.randint(60, 110)]
+        items = ["".join(r.choice(letters) for _ in range(n)).strip() or "a" for n in sizes]
+        chars = [x[0] for x in map(code_points, ([x] for x in items))]
+        items = ["".join(map(chr, x)) for x in chars]
+        texts = [f"ab {items[0]} ba"]
         for _ in range(3):
             it = list(r.choice(items))
-            for _ in range(r.randint(0, 8)):
+            for _ in range(r.randint(0, 5)):
                 k = r.randrange(len(it))
                 it[k : k + r.randint(0, 1)] = r.choice(["", r.choice(letters), r.choice(letters)])
                 it = it or ["a"]
             texts.append("".join(r.choice(letters) for _ in range(r.randint(0, 80))) + " " + "".join(it) + " ab")
         c, at = code_points(texts)
-        got = p.find(c, at)
-        for t in range(3):
+        got = {}
+        for sized in by_gram([0, 1, 2], chars, 6 if trial % 2 else 12, 5):
+            assert min(sized.need) >= 1
+            got |= {(t, sized.ids[i]): v for (t, i), v in sized.find(c, at).items()}
+        for t in range(4):
             body = "".join(map(chr, c[at[t] : at[t + 1]]))
             for i in range(3):
-                if p.need[i] < 1:
-                    continue
-                mine, best = "".join(map(chr, p.chars[i])), None
-                if (e := distance_within(mine, body)) <= p.edits[i]:
-                    best = e
-                assert (got[t, i][0] if (t, i) in got else None) == best
+                e = distance_within(items[i], body)
+                assert (got[t, i][0] if (t, i) in got else None) == (e if e <= len(items[i]) * 5 // 100 else None), (items[i], body)
+                if (t, i) in got:
+                    hits += 1
+                    edits, begin, end, _ = got[t, i]
+                    assert distance_within(items[i], body[begin:end]) == edits
+    assert hits > 150
+
+
+def test_decontamination_of_templates(monkeypatch):
+    """Passages with one opening against texts with that opening; and the same
+    answer when postings and alignments are worked through in small pieces."""
+    import time
+
+    from vecgrove.llm import decontaminate as D
+
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    opening = word(50)
+    items = [opening + word(50) for _ in range(2000)]
+    texts = [opening + word(58) for _ in range(997)] + ["x" + items[7] + "y", "zz" + items[1234][:70] + "!" + items[1234][70:], opening + items[9]]
+    c, at = D.code_points(texts)
+    chars = [D.code_points([x])[0] for x in items]
+    began = time.time()
+    (sized,) = D.by_gram(list(range(2000)), chars, 12, 5)
+    found = sized.find(c, at)
+    assert time.time() - began < 60
+    want = {(997, 7), (998, 1234), (999, 9)}
+    assert {k: v[0] for k, v in found.items() if k in want} == {(997, 7): 0, (998, 1234): 1, (999, 9): 0}
+    for t, i in set(found) - want:  # by chance near
+        assert distance_within(items[i], texts[t]) <= 5
+    monkeypatch.setattr(D, "CELLS", 500)
+    monkeypatch.setattr(D, "POSTINGS", 3000)
+    last = slice(int(at[995]), int(at[1000]))
+    few = sized.find(c[last], at[995:] - at[995])
+    assert few == {(t - 995, i): v for (t, i), v in found.items() if t >= 995}
 
 
 def test_decontamination_of_edits_at_the_beginning():
@@ -433,7 +470,7 @@ def test_decontamination_of_short_passages(spark):
     from vecgrove.llm.decontaminate import leaks
 
     r = random.Random(8)
-    items = ["".join(r.choice("abcdefghijklmnop") for _ in range(n)) for n in range(5, 31)]
+    items = ["".join(r.choice("abcdefghijklmnop") for _ in range(n)) for n in range(5, 71)]
     texts = [f"x{'y' * (k % 3)} {t} z {t}" for k, t in enumerate(items)] + [t[:-1] for t in items[:7]]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     bench = spark.createDataFrame([*enumerate(items), (50, ""), (51, items[0])], "item_id bigint, text string")

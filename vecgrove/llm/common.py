@@ -13,6 +13,10 @@ from ..sources.scratch import fresh_dir, settle  # noqa: F401
 
 #: The bytes that separate words: space and TAB..CR, nothing else.
 WORD_GAP = r"\x20\x09-\x0D"
+#: Text whose derived rows meet in one group of an Arrow step.
+PART_BYTES = 32_000_000
+#: Hadoop's names of stores that pyarrow knows by another.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +42,15 @@ def filesystem(url: str):
         return fs.LocalFileSystem(), url
     if url.startswith("file:"):
         return fs.LocalFileSystem(), "/" + url.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(url)
+    scheme, rest = url.split("://", 1)
+    return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}")
+
+
+def parts_for(rows: DataFrame, text: str = "text", part_bytes: int = PART_BYTES) -> int:
+    """How many groups to deal work into: so many that each holds what comes of
+    about ``part_bytes`` of text, but no fewer than shuffle partitions."""
+    size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
