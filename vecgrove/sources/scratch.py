@@ -11,11 +11,14 @@ _made: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where that is not set (tests, a
-    single machine), a temporary folder, made once for the application."""
+    """``spark.checkpoint.dir`` of the session; where that is not set and the
+    session runs on this machine alone (tests), a temporary folder, made once
+    for the application. On a cluster a folder must be set."""
     where = spark.conf.get("spark.checkpoint.dir", "") or ""
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _made:
         _made[app] = "file://" + tempfile.mkdtemp(prefix="vecgrove-")
