@@ -314,8 +314,9 @@ def blocks_of(benchmark: DataFrame, q: int, percent: int, chars: int) -> Iterato
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = Q, percent: int = EDIT_PERCENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``doc_id, item_id, edits, begin, end, shared`` for every text that holds
-    a passage with at most ``percent`` % of its characters edited.
+    """``doc_id, tie, item_id, edits, begin, end, shared`` for every text that
+    holds a passage with at most ``percent`` % of its characters edited; ``tie``
+    is a hash of the text, to tell rows with one identifier apart.
 
     Texts and passages are lower-cased and white space is made single spaces;
     ``begin`` and ``end`` are places in that form. Of several places in a text
@@ -325,9 +326,9 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     hold nothing and match nothing. Repeated rows and repeated passages are reported each; null
     identifiers stay null. Other columns are not read.
     """
-    docs = pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint"), F.lower(F.col("text").cast("string")).alias("text"))
+    docs = pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tie"), F.lower(F.col("text").cast("string")).alias("text"))
     items = pick(benchmark, item_id=item_col, text=item_text_col).select(F.col("item_id").cast("bigint"), F.lower(F.col("text").cast("string")).alias("text")).filter("text is not null")
-    schema = "doc_id bigint, item_id bigint, edits int, begin bigint, end bigint, shared bigint"
+    schema = "doc_id bigint, tie bigint, item_id bigint, edits int, begin bigint, end bigint, shared bigint"
 
     out_dir = fresh_dir(docs.sparkSession, "passages")
 
@@ -340,14 +341,14 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
                 with fs.open_input_stream(path) as f:
                     mine[place] = by_gram(*pickle.loads(f.read()), q, percent)
             for batch in slices(batches, "text", 2_000_000):
-                names, rows = batch.column(0).to_pylist(), []
+                names, ties, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
                 chars = code_points(texts(batch, "text"))
                 for sized in mine[place]:
                     for (t, i), found in sized.find(*chars).items():
-                        rows.append((names[t], sized.ids[i], *found))
+                        rows.append((names[t], ties[t], sized.ids[i], *found))
                 if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["doc_id", "item_id", "edits", "begin", "end", "shared"])
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["doc_id", "tie", "item_id", "edits", "begin", "end", "shared"])
 
         return docs.mapInArrow(run, schema)
 
