@@ -50,13 +50,18 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    held = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
+    """Documents that hold a benchmark passage go. A document is its identifier
+    and its text: of rows that share an identifier, or have none, those with
+    another text stay. An empty table of documents or passages changes nothing."""
+    tie = F.xxhash64(F.coalesce("text", F.lit("")))
+    held = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leaked"), F.col("tie").alias("leaked_tie")).distinct()
+    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("leaked")) & (tie == F.col("leaked_tie")), "left_anti")
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the characters they decode to."""
+    """Token ids of every document, and the characters they decode to. A row
+    each: repeated rows come out repeated, a null identifier stays null, a null
+    or empty text has no tokens, an empty table gives an empty one."""
     coded = encode_decode(docs, tokenizer_path("byte_bpe_50k.json"))
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.char_length("decoded").cast("bigint").alias("n_chars"))
 
@@ -75,6 +80,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Null and repeated identifiers go through as
+    each stage says; an empty table gives an empty one."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name)
