@@ -321,26 +321,62 @@ def test_codec_equals_tokenizer():
 
     r = random.Random(1)
     marks = ["'", "s", "t", "re", "ll", " ", "  ", "\n", "\x85", "　", "\x1c", "é", "É", "漢", "😀", "1", "!", "#", "the", "Ab", "<|endoftext|>", "\t", "​", "́", "'S", "ing", ".", ",", "word.", " word,"]
-    for name, leaf in (("byte_bpe_50k.json", 16), ("byte_bpe_50k.json", 2048), ("word_bpe_49k.json", 1 << 30)):
+    for name, leaf in (("byte_bpe_50k.json", 3), ("byte_bpe_50k.json", 16), ("byte_bpe_50k.json", 2048), ("word_bpe_49k.json", 0)):
         path, tok = tokenizer(name)
-        codec = Codec(path, leaf, table=500)
-        for k in range(1500):
+        codec = Codec(path, leaf, table_bytes=100_000)
+        assert codec.kind == {"b": "bytes", "w": "words"}[name[0]]
+        for k in range(2500):
             text = "".join(r.choice(marks) for _ in range(r.randint(0, 80)))
             if k % 2:
                 text = text.replace(" ", "").replace("\n", "")
             ids = tok.encode(text, add_special_tokens=False).ids
             assert codec.encode(text).tolist() == ids, text
+            assert codec.encode_tree(text).tolist() == ids, text
             if name[0] == "b":
                 assert codec.decode(ids) == tok.decode(ids, skip_special_tokens=False)
+        assert codec.held < 200_000
+    assert codec.joins == 0
 
 
-def test_tree_concatenation_of_long_unsplit_text():
+def test_codec_of_another_kind_of_file(tmp_path):
+    """A tokenizer file whose cuts are not known is left to the library."""
+    import json
+
+    from tokenizers import Tokenizer
     from vecgrove.llm.bpe import Codec
 
+    path, _ = tokenizer("byte_bpe_50k.json")
+    config = json.loads(open(path).read())
+    config["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": False}
+    (tmp_path / "other.json").write_text(json.dumps(config))
+    codec, tok = Codec(str(tmp_path / "other.json"), 16), Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert codec.kind is None
+    for text in ("two words and more of them", "", "a <|endoftext|> b", "x" * 50):
+        ids = tok.encode(text, add_special_tokens=False).ids
+        assert codec.encode_tree(text).tolist() == codec.encode(text).tolist() == ids
+        assert codec.decode(ids) == tok.decode(ids, skip_special_tokens=False)
+
+
+def test_tree_concatenation_of_whole_texts(monkeypatch):
+    """Texts of the table go through joins; so do texts without any place to cut."""
+    import pandas as pd
+    from vecgrove.llm import bpe
+
     path, tok = tokenizer("byte_bpe_50k.json")
-    codec = Codec(path, leaf=64)
-    for text in ("a" * 5000, "ab" * 3000, "=" * 3001, "naïve漢字" * 700, "x<|endoftext|>" * 200, "don't'" * 400, " " * 4000 + "x", "1234567890" * 300):
-        assert codec.encode_long(text) == tok.encode(text, add_special_tokens=False).ids
+    codec = bpe.Codec(path, leaf=64)
+    texts = ["a" * 5000, "ab" * 3000, "=" * 3001, "naïve漢字" * 700, "x<|endoftext|>" * 200, "don't'" * 400, " " * 4000 + "x", "1234567890" * 300, " \n" * 900, "it's !'s  ''s 'll" * 90]
+    for text in texts:
+        assert codec.encode_tree(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert codec.joins > 500
+    codec, lengths = bpe.Codec(path), 0
+    for text in pd.read_parquet("/root/testdata/sf0.001/documents.parquet")["text"].dropna():
+        assert codec.encode_tree(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+        lengths += len(text)
+    assert codec.joins > lengths / codec.leaf / 4 and codec.windows < 2 * codec.joins
+    monkeypatch.setattr(bpe, "WIDE", 1000)  # leaves by threads
+    long = " ".join(f"word{k} naïve 漢字" for k in range(100_000))
+    assert codec.encode_tree(long).tolist() == tok.encode(long, add_special_tokens=False).ids
+    assert codec.decode(codec.encode_tree(long)) == long
 
 
 def test_bpe_query(docs, rows, nothing):

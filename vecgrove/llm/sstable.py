@@ -37,8 +37,8 @@ from .common import filesystem, pick, slices, texts
 MAGIC = b"VGSSTv01"
 _FOOT = struct.Struct("<QQQQQQII8s")
 _INDEX = np.dtype([("key", "S9"), ("at", "<u8"), ("size", "<u4")])
-#: Pieces that a worker's young table remembers.
-PIECES = 800_000
+#: What the pieces that a worker's young table remembers may take.
+PIECE_BYTES = 160_000_000
 BLOCK_BYTES, BITS_PER_KEY, HASHES = 64 * 1024, 10, 7
 
 
@@ -70,7 +70,7 @@ def _read_varint(buf: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _probes(keys: np.ndarray, bits: int) -> np.ndarray:
+def _probes(keys: np.ndarray, bits: int, hashes: int = HASHES) -> np.ndarray:
     """Bloom positions (keys x hashes) by double hashing of 64-bit keys."""
     with np.errstate(over="ignore"):
         x = keys.astype(np.uint64)
@@ -78,7 +78,7 @@ def _probes(keys: np.ndarray, bits: int) -> np.ndarray:
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
         step = (x >> np.uint64(32)) | np.uint64(1)
-        return (x[:, None] + step[:, None] * np.arange(HASHES, dtype=np.uint64)) % np.uint64(bits)
+        return (x[:, None] + step[:, None] * np.arange(hashes, dtype=np.uint64)) % np.uint64(bits)
 
 
 def _bloom_key(key: bytes) -> int:
@@ -141,7 +141,7 @@ class Reader:
         fs, path = filesystem(url)
         self.file = fs.open_input_file(path)
         size = self.file.size()
-        index_at, blocks, bloom_at, self.bits, self.entries, self.n_ids, self.width, _, magic = _FOOT.unpack(self.file.read_at(_FOOT.size, size - _FOOT.size))
+        index_at, blocks, bloom_at, self.bits, self.entries, self.n_ids, self.width, self.hashes, magic = _FOOT.unpack(self.file.read_at(_FOOT.size, size - _FOOT.size))
         if magic != MAGIC:
             raise ValueError(f"{url} is no shard")
         self.index = np.frombuffer(self.file.read_at(blocks * _INDEX.itemsize, index_at), _INDEX)
@@ -169,7 +169,7 @@ class Reader:
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of every document with this identifier, else an empty list."""
         key = key_of(doc_id)
-        if not self.bloom[_probes(np.array([_bloom_key(key)], np.uint64), self.bits).ravel().astype(np.int64)].all():
+        if not self.bloom[_probes(np.array([_bloom_key(key)], np.uint64), self.bits, self.hashes).ravel().astype(np.int64)].all():
             return []
         found = []
         for n in range(bisect.bisect_left(self.lasts, key), len(self.lasts)):
@@ -200,7 +200,7 @@ def write_shards(df: DataFrame, tokenizer: str, out_dir: str, end_id: int = 2, i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine, out, first = codec(tokenizer, 1 << 30, PIECES), None, None
+        mine, out, first = codec(tokenizer, 0, PIECE_BYTES), None, None
         end = np.array([end_id], "<i4")
         width = 2 if max(end_id, mine.tok.get_vocab_size()) <= 1 << 16 else 4
         for batch in slices(batches, "text", 2_000_000):
