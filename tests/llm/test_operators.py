@@ -536,19 +536,61 @@ def test_recompression(docs, rows, nothing, width):
     assert remove_repeats(nothing).count() == 0
 
 
-def test_window_keys_depend_on_the_window_alone():
-    from vecgrove.llm.recompression import window_keys
+def test_recompression_of_hot_symbols(spark, docs, rows, monkeypatch):
+    """The same answer where symbols count as hot from two windows on, with
+    small batches and many groups; and none if no symbol is shared."""
+    from vecgrove.llm import recompression as R
+
+    want = {r.doc_id: (r.kept, r.n_removed) for r in R.remove_repeats(docs).collect()}
+    assert sum(n > 0 for _, n in want.values()) > 5
+    whole = R.repeated_spans
+    monkeypatch.setattr(R, "repeated_spans", lambda df, width: whole(df, width, batch_windows=300))
+    monkeypatch.setattr(R, "parts_for", lambda df: 7)
+    for hot in (1, 10**9):
+        monkeypatch.setattr(R, "HOT", hot)
+        assert {r.doc_id: (r.kept, r.n_removed) for r in R.remove_repeats(docs).collect()} == want
+
+
+def test_recompression_finds_by_symbols(spark, monkeypatch):
+    """With names that never meet, no repeat is found between documents."""
+    from vecgrove.llm import recompression as R
+
+    text = " ".join(f"w{k}" for k in range(50))
+    df = spark.createDataFrame([(k, f"x{k} {text} y{k}") for k in range(6)], "doc_id bigint, text string").repartition(6)
+    assert sorted(r.n_removed for r in R.remove_repeats(df).collect()) == [0] + [50] * 5
+    plain = R.window_symbols
+    monkeypatch.setattr(R, "window_symbols", lambda *a: ((b, s ^ np.random.default_rng().integers(0, 1 << 63, len(s), np.uint64), p) for b, s, p in plain(*a)))
+    assert sum(r.n_removed for r in R.remove_repeats(df).collect()) == 0
+
+
+def test_window_symbols_depend_on_the_window_alone():
+    from vecgrove.llm.recompression import window_symbols
 
     r = np.random.default_rng(0)
     for trial in range(60):
         values = r.integers(0, 3 if trial % 2 else 50, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         owner = np.sort(r.integers(0, 3, 400))
-        whole = {int(b): int(k) for b, k, *_ in (x for got in window_keys(values, owner, 20) for x in zip(*got[:2]))}
-        pieces = {int(b): int(k) for b, k, *_ in (x for got in window_keys(values, owner, 20, segment=37) for x in zip(*got[:2]))}
+        whole = {int(b): (int(k), int(p)) for got in window_symbols(values, owner, 20) for b, k, p in zip(*got)}
+        pieces = {int(b): (int(k), int(p)) for got in window_symbols(values, owner, 20, segment=37) for b, k, p in zip(*got)}
         assert whole == pieces
         seen = {}
         for b, k in whole.items():
             assert seen.setdefault(values[b : b + 20].tobytes(), k) == k
+        assert len(set(whole.values())) == len(seen)
+
+
+def test_words_in_small_blocks():
+    """Texts that are longer than a block are cut at gaps only."""
+    import pyarrow as pa
+    from vecgrove.llm.words import words
+
+    texts = corpus(3, 30) + ["wide " * 40_000, "z" * 3000, None]
+    for block in (1, 7, 100, 2_000_000):
+        for lower in (False, True):
+            got, at = words(pa.array(texts), lower, block)
+            want, ends = words(pa.array(texts), lower, 1 << 30)
+            assert (got == want).all() and (at == ends).all()
+    assert np.diff(at).tolist() == [len(WORDS.findall(x or "")) for x in texts]
 
 
 # ---- 9

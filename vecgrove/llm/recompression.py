@@ -4,21 +4,26 @@ Each document's word sequence is recompressed in rounds: maximal runs of one
 symbol get the name of (symbol, length), then pairs whose left symbol falls in
 one half of the alphabet and whose right symbol falls in the other get the name
 of the pair. Names are 64-bit fingerprints of what they stand for, so every
-worker gives equal things the same name without an exchange: naming is global.
-With each symbol goes its *support*, the stretch of words that settled it. Two
-equal windows of words hold the same symbols wherever their support lies
-inside, so a window takes as its key the symbol with the longest support in it
-(a window without one, as in a long run, takes its own fingerprint).
-
-1. All keys are counted in slots; a slot met twice marks shared symbols.
-2. Windows whose key falls in a shared slot are candidates. They are verified
-   by 96-bit fingerprints of their own words, grouped over all documents: all
-   but the earliest occurrence are repeats.
+worker gives equal things the same name, in every round, without an exchange:
+naming is global. With each symbol goes its *support*, the stretch of words that
+settled it; after the last round that is more than half of a window. Two equal
+windows of words hold the same symbols wherever their support lies inside, so a
+window is named by the symbol with the longest support in it (one that has none,
+as in a long run, is one symbol itself).
+
+1. Windows that follow each other under one symbol are an occurrence of it. The
+   occurrences of all documents meet by the symbol's name. Symbols that occur
+   once go, and their windows with them.
+2. From a shared symbol its windows extend over the words around it: those with
+   the same print of all their words are equal. All but the earliest are repeats.
 3. Repeats are brought back to their documents as spans, and the words they
    cover are removed.
 
-The slot table has a stated, fixed size; when it fills up on larger data, more
-windows are verified, and the result stays the same.
+Hot symbols: a task sends each different window once; repeats of its own are
+settled at once. A symbol that even so has many windows in one task (``HOT``) is
+named to the group that owns it; its windows, those other tasks have sent there
+too, are dealt again by symbol and print, and so spread over all groups. The
+number of groups follows from the size of the input.
 """
 
 from __future__ import annotations
@@ -31,10 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh_dir, kept, pick, slices
+from .common import parts_for, pick, slices
 from .words import mix, range_hash, words
 
-WINDOW, SLOT_BITS, SLICES = 20, 28, 32
+WINDOW = 20
+#: Windows of one symbol in one task's batch from which they are dealt by window.
+HOT = 64
 NO_ID = -(1 << 63)
 _FAR = 1 << 40
 
@@ -91,26 +98,24 @@ def symbols(values: np.ndarray, owner: np.ndarray, rounds: int) -> tuple[np.ndar
     return name, begin, end, lo, hi
 
 
-def window_keys(values: np.ndarray, owner: np.ndarray, width: int, segment: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+def window_symbols(values: np.ndarray, owner: np.ndarray, width: int, segment: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
     """For stretches of the sequences: (begin of each window of ``width`` words,
-    its key, its 64-bit and its 32-bit fingerprint, and the key of every place
-    that a window has chosen). A segment overlaps the next by width - 1 words; a
-    key depends on its window alone."""
+    name of its symbol, print of its words). A segment overlaps the next by
+    width - 1 words; a window's symbol depends on the window alone."""
+    none = np.uint64(np.iinfo(np.uint64).max)
     for a in range(0, max(1, len(values) - width + 1), segment):
         v, own = values[a : a + segment + width - 1], owner[a : a + segment + width - 1]
         n = len(v)
         if n < width:
             return
-        of = range_hash(v)
-        _, _, _, lo, hi = symbols(v, own, max(1, width.bit_length() - 3))
+        name, _, _, lo, hi = symbols(v, own, max(1, width.bit_length() - 2))
         fits = (lo >= 0) & (hi <= n) & (hi - lo <= width)
-        lo, hi = lo[fits], hi[fits]
-        # longest support first; of equal length the smallest fingerprint of its words
-        order = ((width - (hi - lo)).astype(np.uint64) << np.uint64(56)) | (of(lo, hi) >> np.uint64(8))
+        name, lo, hi = name[fits], lo[fits], hi[fits]
+        # longest support first; of equal length the smallest name
+        order = ((width - (hi - lo)).astype(np.uint64) << np.uint64(56)) | (mix(name) >> np.uint64(8))
         # each symbol serves the windows that begin in [hi - width, lo]; minima by doubling blocks
         first = np.maximum(hi - width, 0)
         level = np.floor(np.log2(lo - first + 1)).astype(np.int64)
-        none = np.uint64(np.iinfo(np.uint64).max)
         best = np.full(n, none)
         for k in range(width.bit_length(), -1, -1):
             mine = level == k
@@ -119,18 +124,12 @@ def window_keys(values: np.ndarray, owner: np.ndarray, width: int, segment: int
             half = 1 << k >> 1
             if half and half < n:
                 best[half:] = np.minimum(best[half:], best[:-half])
-        # a symbol is chosen if it is the best of some window, that is if it equals the largest best of its windows
-        chosen, most = np.zeros(len(lo), bool), best.copy()
-        for k in range(width.bit_length() + 1):
-            mine = level == k
-            chosen[mine] = np.maximum(most[first[mine]], most[lo[mine] - (1 << k) + 1]) == order[mine]
-            half = 1 << k
-            if half < n:
-                most[:-half] = np.maximum(most[:-half], most[half:])
         at = np.flatnonzero(own[: n - width + 1] == own[width - 1 :])
-        print64, bare = of(at, at + width), best[at] == none
-        key = np.where(bare, print64, mix(best[at]))
-        yield at + a, key, print64, (range_hash(v, salt=1)(at, at + width) >> np.uint64(32)).astype(np.uint32), np.concatenate([mix(order[chosen]), print64[bare]])
+        symbol = best[at]
+        bare = np.flatnonzero(symbol == none)
+        symbol = mix(symbol)
+        symbol[bare] = range_hash(v)(at[bare], at[bare] + width)
+        yield at + a, symbol, range_hash(v, salt=1)(at, at + width)
 
 
 # ---- packed arrays
@@ -159,10 +158,10 @@ def _delta(x: np.ndarray) -> np.ndarray:
     return np.diff(x.astype(np.int64), prepend=0).astype(np.int32)
 
 
-def _places(doc: np.ndarray, tie: np.ndarray, idx: np.ndarray, pos: np.ndarray, *more: np.ndarray) -> bytes:
+def _places(doc: np.ndarray, tie: np.ndarray, idx: np.ndarray, pos: np.ndarray) -> bytes:
     """Pack (document, place) pairs with the table of the documents in use."""
     used, idx = np.unique(idx, return_inverse=True)
-    return _pack(doc[used], tie[used], _delta(idx), _delta(pos), *more)
+    return _pack(np.diff(doc[used], prepend=0), tie[used].astype("<i4"), _delta(idx), _delta(pos))
 
 
 class _Docs:
@@ -177,11 +176,11 @@ class _Docs:
         self.doc, self.tie = doc[order][new], tie[order][new]
 
 
-def _repeats(h64: np.ndarray, h32: np.ndarray, idx: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _repeats(symbol: np.ndarray, print_: np.ndarray, idx: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, which of it don't start where their window starts first)."""
     place = (idx.astype(np.uint64) << np.uint64(40)) | pos.astype(np.uint64)
-    order = np.lexsort((place, h32, h64))
-    a, b, place = h64[order], h32[order], place[order]
+    order = np.lexsort((place, print_, symbol))
+    a, b, place = symbol[order], print_[order], place[order]
     head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(order) else np.empty(0, np.int64)
     return order, place != np.repeat(place[head], np.diff(np.append(head, len(order))))
 
@@ -199,142 +198,158 @@ def _doc_bucket(doc: np.ndarray, tie: np.ndarray, n: int) -> np.ndarray:
     return (mix(doc.astype(np.uint64) ^ mix(tie.astype(np.uint64))) % np.uint64(n)).astype(np.int64)
 
 
-# ---- slots of shared symbols
+# ---- occurrences of symbols
 
 
-def shared_slots(rows: DataFrame, width: int, label: str) -> list[tuple[int, str]]:
-    """Count the keys of all windows in slots; write the slots met twice or
-    more as bit slices of fixed total size. Returns (slice, place)."""
-    out_dir, low = fresh_dir(rows.sparkSession, label), SLOT_BITS - SLICES.bit_length() + 1
+class _Windows:
+    """Windows as they travel: occurrences of symbols (a stretch of windows of
+    one document that follow each other), 48 bits of print for each window, and
+    the names of symbols to be dealt by window."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+    KINDS = ("<i8", "<i4", "<u8", "<i4", "<i4", "<i4", "<u4", "<u2", "<u8")
 
-        def flush():
-            slot, times = np.unique(np.concatenate(held), return_counts=True)
-            part = slot >> np.uint32(low)
-            ids, once, twice = [], [], []
-            for k, mine in _split(part.astype(np.int64), SLICES):
-                s, t = slot[mine], times[mine]
-                ids.append(k)
-                once.append(_pack(_delta(s[t == 1])))
-                twice.append(_pack(_delta(s[t > 1])))
-            return pa.RecordBatch.from_pydict({"slice": pa.array(ids, pa.int32()), "once": pa.array(once, pa.binary()), "twice": pa.array(twice, pa.binary())})
+    @staticmethod
+    def pack(doc: np.ndarray, tie: np.ndarray, idx: np.ndarray, pos: np.ndarray, symbol: np.ndarray, print_: np.ndarray, hot: np.ndarray) -> bytes:
+        new = np.ones(len(idx), bool)
+        new[1:] = (idx[1:] != idx[:-1]) | (pos[1:] != pos[:-1] + 1) | (symbol[1:] != symbol[:-1])
+        head = np.flatnonzero(new)
+        used, own = np.unique(idx[head], return_inverse=True)
+        size = np.diff(np.append(head, len(idx))).astype("<i4")
+        return _pack(np.diff(doc[used], prepend=0), tie[used].astype("<i4"), symbol[head], _delta(own), _delta(pos[head]), size, (print_ >> np.uint64(16)).astype("<u4"), print_.astype("<u2"), hot.astype("<u8"))
 
-        for batch in slices(batches, "text"):
-            values, at = words(batch.column(batch.schema.get_field_index("text")))
-            for *_, chosen in window_keys(values, np.repeat(np.arange(len(at) - 1), np.diff(at)), width):
-                held.append((chosen >> np.uint64(64 - SLOT_BITS)).astype(np.uint32))
-                n += len(chosen)
-            if n > 4_000_000:
-                yield flush()
-                held, n = [], 0
-        if n:
-            yield flush()
+    def __init__(self, blobs: list[bytes]):
+        """Put packed windows together. ``symbol, idx, pos, size`` by occurrence,
+        ``print`` by window, ``at`` where the windows of an occurrence begin."""
+        parts = [_unpack(b, *self.KINDS) for b in blobs]
+        self.docs, at, idx = _Docs([(np.cumsum(p[0]), p[1]) for p in parts]), 0, []
+        for p in parts:
+            idx.append(self.docs.number[at + np.cumsum(p[3], dtype=np.int64)])
+            at += len(p[0])
+        self.idx, self.symbol = np.concatenate(idx), np.concatenate([p[2] for p in parts])
+        self.pos = np.concatenate([np.cumsum(p[4], dtype=np.int64) for p in parts])
+        self.size = np.concatenate([p[5] for p in parts]).astype(np.int64)
+        self.print = (np.concatenate([p[6] for p in parts]).astype(np.uint64) << np.uint64(16)) | np.concatenate([p[7] for p in parts])
+        self.hot = np.unique(np.concatenate([p[8] for p in parts]))
+        self.at = np.cumsum(self.size) - self.size
+
+    def of(self, which: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(symbol, print, document, place) of the windows of these occurrences."""
+        size = self.size[which]
+        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        return np.repeat(self.symbol[which], size), self.print[np.repeat(self.at[which], size) + within], np.repeat(self.idx[which], size), np.repeat(self.pos[which], size) + within
+
+
+def _owner(symbol: np.ndarray, n: int) -> np.ndarray:
+    return (mix(symbol) % np.uint64(n)).astype(np.int64)
 
-    def merge(table: pa.Table) -> pa.Table:
-        k = table.column("slice")[0].as_py()
-        seen, shared = np.zeros(1 << low, bool), np.zeros(1 << low, bool)
-        for once, twice in zip(table.column("once").to_pylist(), table.column("twice").to_pylist()):
-            for blob, sure in ((once, False), (twice, True)):
-                slot = np.cumsum(_unpack(blob, "<i4")[0], dtype=np.int64) & ((1 << low) - 1)
-                shared[slot] |= sure | seen[slot]
-                seen[slot] = True
-        import uuid
-
-        place = f"{out_dir}/slots-{k}-{uuid.uuid4().hex}"
-        fs, path = filesystem(place)
-        fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        with fs.open_output_stream(path) as out:
-            out.write(np.packbits(shared).tobytes())
-        return pa.table({"slice": pa.array([k], pa.int32()), "place": [place]})
-
-    made = rows.select("text").mapInArrow(count, "slice int, once binary, twice binary").groupBy("slice").applyInArrow(merge, "slice int, place string")
-    return [(r.slice, r.place) for r in made.collect()]
-
-
-def _load_slots(made: tuple[tuple[int, str], ...]) -> np.ndarray:
-    loaded = kept("recompression")
-    if made not in loaded:
-        loaded.clear()
-        bits = np.zeros((SLICES, (1 << SLOT_BITS) // 8 // SLICES), np.uint8)
-        for k, place in made:
-            fs, path = filesystem(place)
-            with fs.open_input_stream(path) as f:
-                bits[k] = np.frombuffer(f.read(), np.uint8)
-        loaded[made] = bits.ravel()
-    return loaded[made]
+
+def _spread(symbol: np.ndarray, print_: np.ndarray, n: int) -> np.ndarray:
+    return (mix(symbol ^ mix(print_)) % np.uint64(n)).astype(np.int64)
+
+
+def _in(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(values), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
+
+
+def _rows(made: list[tuple[int, bytes]]) -> dict[str, pa.Array]:
+    return {"part": pa.array([k for k, _ in made], pa.int32()), "blob": pa.array([b for _, b in made], pa.binary())}
 
 
 # ---- repeats
 
 
-def repeated_spans(rows: DataFrame, width: int = WINDOW) -> DataFrame:
+def repeated_spans(rows: DataFrame, width: int = WINDOW, batch_windows: int = 2_000_000) -> DataFrame:
     """``doc, tie, spans`` (int32 pairs of word places, packed) of the stretches
     covered by windows that also start earlier; rows ``doc, tie, text``."""
-    made = tuple(sorted(shared_slots(rows, width, "slots")))
-    n_out = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n_out = parts_for(rows)
+    packed = "part int, blob binary"
+    # parts 0..n_out: occurrences by symbol; then windows of hot symbols by window; then repeats by document
+
+    def back(docs: _Docs, idx: np.ndarray, pos: np.ndarray) -> list[tuple[int, bytes]]:
+        order = np.lexsort((pos, idx))
+        idx, pos = idx[order], pos[order]
+        return [(2 * n_out + k, _places(docs.doc, docs.tie, idx[x], pos[x])) for k, x in _split(_doc_bucket(docs.doc, docs.tie, n_out)[idx], n_out)]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _load_slots(made)
         docs, ties, held, n_docs, n = [], [], [], 0, 0
 
         def flush():
-            doc, tie = np.concatenate(docs), np.concatenate(ties)
-            h64, h32, idx, pos = (np.concatenate(x) for x in zip(*held))
-            numbered = _Docs([(doc, tie)])
-            order, again = _repeats(h64, h32, numbered.number[idx], pos)
-            groups, blobs = [], []
-            mine = np.sort(order[~again])  # the earliest here: for all documents to compare
-            for k, at in _split(((h64[mine] >> np.uint64(32)) % np.uint64(n_out)).astype(np.int64), n_out):
-                at = mine[at]
-                groups.append(k)
-                blobs.append(_places(doc, tie, idx[at], pos[at], h64[at], h32[at]))
-            mine = np.sort(order[again])  # repeats already
-            for k, at in _split(_doc_bucket(doc, tie, n_out)[idx[mine]], n_out):
-                at = mine[at]
-                groups.append(n_out + k)
-                blobs.append(_places(doc, tie, idx[at], pos[at]))
-            return pa.RecordBatch.from_pydict({"part": pa.array(groups, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+            known = _Docs([(np.concatenate(docs), np.concatenate(ties))])
+            symbol, print_, idx, pos = (np.concatenate(x) for x in zip(*held))
+            print_, idx = print_ >> np.uint64(16), known.number[idx]
+            # windows that are here more than once: the earliest goes on, the others are repeats already
+            both = symbol ^ mix(print_)
+            order = np.argsort(both)
+            again = both[order[1:]] == both[order[:-1]]
+            several = order[np.append(again, False) | np.concatenate([[False], again])] if n else order
+            of, repeated = _repeats(symbol[several], print_[several], idx[several], pos[several])
+            goes_on = np.ones(len(symbol), bool)
+            goes_on[several[of[repeated]]] = False
+            made = back(known, idx[~goes_on], pos[~goes_on])
+            symbol, print_, idx, pos = symbol[goes_on], print_[goes_on], idx[goes_on], pos[goes_on]
+            by_name = np.sort(symbol)
+            head = np.flatnonzero(np.concatenate([[True], by_name[1:] != by_name[:-1]]))
+            hot = by_name[head[np.diff(np.append(head, len(by_name))) > HOT]]
+            is_hot = _in(symbol, hot)
+            send = lambda x, names: _Windows.pack(known.doc, known.tie, idx[x], pos[x], symbol[x], print_[x], names)
+            owner_of_hot, none = _owner(hot, n_out), np.empty(0, np.uint64)
+            part = np.where(is_hot, n_out + _spread(symbol, print_, n_out), _owner(symbol, n_out))
+            for k, x in _split(part, 2 * n_out):
+                made.append((k, send(x, none)))
+            for k, x in _split(owner_of_hot, n_out):
+                made.append((k, send(np.empty(0, np.int64), hot[x])))
+            return pa.RecordBatch.from_pydict(_rows(made))
 
         for batch in slices(batches, "text"):
             values, at = words(batch.column(batch.schema.get_field_index("text")))
             docs.append(batch.column(0).to_numpy(zero_copy_only=False))
             ties.append(batch.column(1).to_numpy(zero_copy_only=False))
             owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            for begin, key, h64, h32, _ in window_keys(values, owner, width):
-                slot = key >> np.uint64(64 - SLOT_BITS)
-                hit = (bits[slot >> np.uint64(3)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-                own = owner[begin[hit]]
-                held.append((h64[hit], h32[hit], own + n_docs, begin[hit] - at[own]))
-                n += int(hit.sum())
+            for begin, symbol, print_ in window_symbols(values, owner, width):
+                own = owner[begin]
+                held.append((symbol, print_, own + n_docs, begin - at[own]))
+                n += len(begin)
             n_docs += batch.num_rows
-            if n > 2_000_000:
+            if n > batch_windows:
                 yield flush()
                 docs, ties, held, n_docs, n = [], [], [], 0, 0
         if n:
             yield flush()
 
-    def verify(table: pa.Table) -> pa.Table:
+    def reveal(table: pa.Table) -> pa.Table:
         if table.column("part")[0].as_py() >= n_out:
-            return pa.table({"part": pa.array([p - n_out for p in table.column("part").to_pylist()], pa.int32()), "blob": table.column("blob")})
-        parts = [_unpack(b, "<i8", "<i8", "<i4", "<i4", "<u8", "<u4") for b in table.column("blob").to_pylist()]
-        numbered, at, idx = _Docs([(p[0], p[1]) for p in parts]), 0, []
-        for p in parts:
-            idx.append(numbered.number[at + np.cumsum(p[2], dtype=np.int64)])
-            at += len(p[0])
-        idx, pos = np.concatenate(idx), np.concatenate([np.cumsum(p[3], dtype=np.int64) for p in parts])
-        order, again = _repeats(np.concatenate([p[4] for p in parts]), np.concatenate([p[5] for p in parts]), idx, pos)
-        mine = order[again]
-        mine = mine[np.lexsort((pos[mine], idx[mine]))]
-        out = [(k, _places(numbered.doc, numbered.tie, idx[mine[x]], pos[mine[x]])) for k, x in _split(_doc_bucket(numbered.doc, numbered.tie, n_out)[idx[mine]], n_out)]
-        return pa.table({"part": pa.array([k for k, _ in out], pa.int32()), "blob": pa.array([b for _, b in out], pa.binary())})
+            return table
+        met = _Windows(table.column("blob").to_pylist())
+        order = np.argsort(met.symbol, kind="stable")
+        name = met.symbol[order]
+        same = name[1:] == name[:-1]
+        shared = np.append(same, False) | np.concatenate([[False], same]) if len(order) else np.empty(0, bool)
+        is_hot = _in(name, met.hot)
+        symbol, print_, idx, pos = met.of(order[shared & ~is_hot])
+        of, repeated = _repeats(symbol, print_, idx, pos)
+        mine = of[repeated]
+        made = back(met.docs, idx[mine], pos[mine])
+        symbol, print_, idx, pos = met.of(np.sort(order[is_hot]))
+        for k, x in _split(_spread(symbol, print_, n_out), n_out):
+            made.append((n_out + k, _Windows.pack(met.docs.doc, met.docs.tie, idx[x], pos[x], symbol[x], print_[x], np.empty(0, np.uint64))))
+        return pa.table(_rows(made))
+
+    def verify(table: pa.Table) -> pa.Table:
+        if table.column("part")[0].as_py() >= 2 * n_out:
+            return table
+        met = _Windows(table.column("blob").to_pylist())
+        symbol, print_, idx, pos = met.of(np.arange(len(met.symbol)))
+        of, repeated = _repeats(symbol, print_, idx, pos)
+        mine = of[repeated]
+        return pa.table(_rows(back(met.docs, idx[mine], pos[mine])))
 
     def cover(table: pa.Table) -> pa.Table:
-        parts = [_unpack(b, "<i8", "<i8", "<i4", "<i4") for b in table.column("blob").to_pylist()]
-        numbered, at, idx = _Docs([(p[0], p[1]) for p in parts]), 0, []
+        parts = [_unpack(b, "<i8", "<i4", "<i4", "<i4") for b in table.column("blob").to_pylist()]
+        known, at, idx = _Docs([(np.cumsum(p[0]), p[1]) for p in parts]), 0, []
         for p in parts:
-            idx.append(numbered.number[at + np.cumsum(p[2], dtype=np.int64)])
+            idx.append(known.number[at + np.cumsum(p[2], dtype=np.int64)])
             at += len(p[0])
         place = np.unique((np.concatenate(idx) << 40) | np.concatenate([np.cumsum(p[3], dtype=np.int64) for p in parts]))
         jump = np.concatenate([[True], np.diff(place) > width])  # another document is far away, too
@@ -343,11 +358,12 @@ def repeated_spans(rows: DataFrame, width: int = WINDOW) -> DataFrame:
         spans = np.stack([first & low, last & low], 1).astype("<i4")
         ends = np.append(np.flatnonzero(np.diff(own)) + 1, len(own))
         begins = np.concatenate([[0], ends[:-1]])
-        return pa.table({"doc": numbered.doc[own[begins]], "tie": numbered.tie[own[begins]], "spans": pa.array([spans[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary())})
+        return pa.table({"doc": known.doc[own[begins]], "tie": known.tie[own[begins]], "spans": pa.array([spans[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary())})
 
-    found = rows.select("doc", "tie", "text").mapInArrow(find, "part int, blob binary")
-    verified = found.groupBy("part").applyInArrow(verify, "part int, blob binary")
-    return verified.groupBy("part").applyInArrow(cover, "doc bigint, tie bigint, spans binary")
+    dealt = lambda df: df.repartition(n_out, "part").groupBy("part")
+    found = rows.select("doc", "tie", "text").mapInArrow(find, packed)
+    verified = dealt(dealt(found).applyInArrow(reveal, packed)).applyInArrow(verify, packed)
+    return dealt(verified).applyInArrow(cover, "doc bigint, tie int, spans binary")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
@@ -365,8 +381,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = pick(df, doc_id=id_col, text=text_col).select(
         F.col("doc_id").cast("bigint"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
-    rows = rows.withColumn("tie", F.xxhash64("text"))
+    rows = rows.withColumn("tie", F.shiftright(F.xxhash64("text"), 32).cast("int"))
     spans = repeated_spans(rows.select("doc", "tie", "text"), width)
+    n = parts_for(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
@@ -391,5 +408,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 names=["doc_id", "n_words", "n_removed", "kept", "spans"],
             )
 
-    joined = rows.join(spans, ["doc", "tie"], "left").select("doc_id", "text", "spans")
+    joined = rows.repartition(n, "doc", "tie").join(spans.repartition(n, "doc", "tie"), ["doc", "tie"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept string, spans array<int>")
