@@ -15,7 +15,7 @@ from .functions.metrics import Metric
 from .operators.representatives import OPTIONS
 from .operators.search import search
 from .plans.index import IndexConfig, VectorIndex, build_index
-from .sources.embeddings import read_embeddings
+from .sources.embeddings import KINDS, read_embeddings, read_representatives
 
 log = logging.getLogger("vecgrove")
 
@@ -54,7 +54,11 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--memory-limit", type=int, default=4, help="GB for the driver, where no Spark master is given")
     b.add_argument("--emb-grp-name", default="embeddings")
     b.add_argument("--rep-selection", default="offset", help=", ".join(OPTIONS))
-    b.add_argument("--rep-file", help="representatives chosen before (Parquet)")
+    b.add_argument("--file-store", choices=sorted(KINDS), help="kind of the embeddings file, where its suffix doesn't tell")
+    b.add_argument("--rep-file", help="representatives chosen before")
+    b.add_argument("--rep-emb-grp", default="rep_embeddings", help="their vectors: a column or an array")
+    b.add_argument("--rep-ids-grp", default="rep_item_ids", help="their identifiers: a column or an array")
+    b.add_argument("--rep-file-store", choices=sorted(KINDS), help="kind of that file, where its suffix doesn't tell")
     b.add_argument("--seed", type=int, default=0)
     s = sub.add_parser("search", help="search a saved index")
     s.add_argument("index")
@@ -77,11 +81,11 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "build":
         try:
             config = IndexConfig(args.levels, args.target_cluster_items, Metric.parse(args.metric).name, args.rep_selection, args.seed)
-            vectors = read_embeddings(spark, args.embeddings_file, args.emb_grp_name)
+            vectors = read_embeddings(spark, args.embeddings_file, args.emb_grp_name, kind=args.file_store)
+            reps = read_representatives(spark, args.rep_file, args.rep_emb_grp, args.rep_ids_grp, args.rep_file_store) if args.rep_file else None
         except Exception as e:
             log.error("%s", e)
             return 1
-        reps = spark.read.parquet(args.rep_file) if args.rep_file else None
         with timed("build"):
             index = build_index(vectors, config, reps)
             index.save(args.save_file)

@@ -84,6 +84,48 @@ def cost_matrix(metric: Metric, data: np.ndarray, nodes: np.ndarray) -> np.ndarr
     return np.round(-dot, 12)
 
 
+def pair_costs(metric: Metric, a: np.ndarray, b: np.ndarray, which_a: np.ndarray, which_b: np.ndarray, cells: int = 4_000_000) -> np.ndarray:
+    """Costs of the pairs (a[which_a[k]], b[which_b[k]]), from their differences
+    for L2, so that small distances are as exact as large ones."""
+    out, step = np.empty(len(which_a)), max(1, cells // max(1, a.shape[1]))
+    for k in range(0, len(out), step):
+        x, y = a[which_a[k : k + step]].astype(np.float64), b[which_b[k : k + step]].astype(np.float64)
+        if metric is Metric.L2:
+            out[k : k + step] = np.sqrt(((x - y) ** 2).sum(1))
+            continue
+        dot = (x * y).sum(1)
+        if metric is Metric.COS:
+            size = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
+            dot = np.divide(dot, size, out=np.zeros_like(dot), where=size > 0)
+        out[k : k + step] = -dot
+    return np.round(out, 12)
+
+
+def best_pairs(metric: Metric, ids: np.ndarray, data: np.ndarray, asked: np.ndarray, k: int | None, cells: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``asked``, row of ``data``, cost) of the ``k`` cheapest rows of
+    each query, ties by ``ids``; of all rows where ``k`` is None."""
+    found = []
+    step = max(1 if k is None else 2 * k, cells // max(1, len(asked)))
+    for at in range(0, len(data), step):
+        part = data[at : at + step]
+        if k is None or len(part) <= k:
+            query, row = np.divmod(np.arange(len(asked) * len(part)), max(1, len(part)))
+        else:
+            costs = cost_matrix(metric, asked, part)
+            edge = np.partition(costs, k - 1, axis=1)[:, k - 1 : k]
+            longest = max(np.abs(x).max(initial=0.0) for x in (asked, part)) * asked.shape[1] ** 0.5
+            query, row = np.nonzero(costs <= edge + 1e-6 * (1 + np.abs(edge) + longest))  # more than a matrix product is off
+        exact = pair_costs(metric, asked, part, query, row)
+        if k is not None:
+            order = np.lexsort((ids[at + row], exact, query))
+            first = np.searchsorted(query, np.arange(len(asked)))  # queries ascend
+            place = np.arange(len(order)) - first[query[order]]
+            order = order[place < k]
+            query, row, exact = query[order], row[order], exact[order]
+        found.append((query, row + at, exact))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
 # ---- sizing
 
 

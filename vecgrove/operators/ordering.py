@@ -31,5 +31,6 @@ def _running(df: DataFrame, order: list[str], value: Column, name: str) -> DataF
     for r in sorted(local.groupBy("_range").agg(F.sum("_value").alias("n")).collect()):
         before.append((r["_range"], total))
         total += r.n
-    offsets = df.sparkSession.createDataFrame(before, "_range int, _before bigint")
+    values = ", ".join(f"({k}, {n}L)" for k, n in before) or "(0, 0L)"
+    offsets = df.sparkSession.sql(f"select * from values {values} as t(_range, _before)")  # needs no Python worker
     return local.join(F.broadcast(offsets), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before", "_value")

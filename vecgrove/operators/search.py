@@ -2,26 +2,36 @@
 
 A best-first walk pops the cheapest open node. Seen from a leaf with path costs
 d1..dL, only the suffix maxima of the path decide when it is popped, so ordering
-leaves by them gives the walk's order for all queries at once: no queue, one
-join with the leaf paths and one window a query.
+leaves by them gives the walk's order for all queries at once, without a queue.
+
+Queries come in blocks of a bounded size and are sent to the workers. Tasks
+score leaves and items by matrix products and pass on no more than a query can
+use: the leaves of its budget, and its k best items. Where a budget holds too few
+items, only the queries in need ask again with twice the budget.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import Metric, cost, score
+from ..functions.metrics import Metric, best_pairs, cost, cost_matrix
 from ..plans.index import VectorIndex
+from ..sources.scratch import settle
+from .assign import matrix
 
 #: Queries are sent to the workers in blocks of about so many.
 QUERY_BLOCK = 10_000
 #: Leaves of a saved index are named in the scan's filter up to this number.
 NAMED_LEAVES = 1_000
+#: Pairs of query and leaf that are sent to the workers; more are joined.
+SENT_PAIRS = 1_000_000
 
 
 def _check(k: int, search_exp: int = 1) -> None:
@@ -29,48 +39,264 @@ def _check(k: int, search_exp: int = 1) -> None:
         raise ValueError("k and search_exp must be at least 1")
 
 
-def _in_blocks(queries: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``run`` over the queries (broadcast inside), in blocks of a bounded size."""
-    n = -(-queries.count() // QUERY_BLOCK)
-    if n <= 1:
-        return run(queries)
-    return reduce(DataFrame.union, [run(queries.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == k)) for k in range(n)])
+@dataclass(frozen=True)
+class Asked:
+    """A block of queries on the driver: identifiers, and vectors as rows."""
+
+    ids: np.ndarray
+    vectors: np.ndarray
+
+    @staticmethod
+    def of(table: pa.Table) -> Asked:
+        ids = table.column("qid").to_numpy()
+        return Asked(ids, matrix(table.column("qv")) if len(ids) else np.empty((0, 0), np.float32))
+
+
+def _blocks(queries: DataFrame) -> list[tuple[Asked, DataFrame]]:
+    """The queries in blocks of a bounded size, on the driver and as a table."""
+    asked = queries.select(F.col("qid").cast("bigint").alias("qid"), F.col("qv").cast("array<float>").alias("qv"))
+    first = asked.limit(QUERY_BLOCK + 1).toArrow()
+    if first.num_rows <= QUERY_BLOCK:
+        return [(Asked.of(first), asked)]
+    n = -(-asked.count() // QUERY_BLOCK)
+    parts = [asked.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == k) for k in range(n)]
+    return [(Asked.of(p.toArrow()), p) for p in parts]
+
+
+def _in_blocks(queries: DataFrame, run: Callable[[Asked, DataFrame], DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, [run(*x) for x in _blocks(queries)])
+
+
+def _found(batch: pa.RecordBatch, asked: Asked, query: np.ndarray, row: np.ndarray, value: np.ndarray, names: tuple[str, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(asked.ids[query], pa.int64()), batch.column(0).take(pa.array(row)), pa.array(value, pa.float64())], names=names)
+
+
+def _ranked(pairs: DataFrame, k: int | None, *order: str) -> DataFrame:
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
+    ranked = ranked if k is None else ranked.filter(F.col("rank") <= k)
+    return ranked.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def brute_force(vectors: DataFrame, queries: DataFrame, k: int, metric: str | Metric = "L2") -> DataFrame:
     """``qid, rank, item_id, dist`` of the exact k nearest; ``dist`` is the cost
-    (similarities negated), ties by identifier. Each partition keeps its own
-    best k of a query before the shuffle."""
+    (similarities negated), ties by identifier. Each batch of vectors keeps its
+    own best k of a query before the shuffle."""
     _check(k)
-    pairs = _in_blocks(queries, lambda q: vectors.crossJoin(F.broadcast(q)).select("qid", "item_id", cost(metric, F.col("embedding"), F.col("qv")).alias("dist")))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("dist", "item_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("qid", F.col("rank").cast("bigint").alias("rank"), "item_id", "dist")
+    metric = Metric.parse(metric)
+
+    def block(asked: Asked, _: DataFrame) -> DataFrame:
+        sent = vectors.sparkSession.sparkContext.broadcast(asked)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows and len(sent.value.ids):
+                    best = best_pairs(metric, batch.column(0).to_numpy(), matrix(batch.column(1)), sent.value.vectors, k)
+                    yield _found(batch, sent.value, *best, ("qid", "item_id", "dist"))
+
+        return vectors.select("item_id", "embedding").mapInArrow(run, "qid bigint, item_id bigint, dist double")
+
+    return _ranked(_in_blocks(queries, block), k, "dist", "item_id").select("qid", "rank", "item_id", "dist")
 
 
 def all_scores(vectors: DataFrame, queries: DataFrame, metric: str | Metric) -> DataFrame:
     """``qid, item_id, value``: the metric's value for every pair."""
-    return _in_blocks(queries, lambda q: vectors.crossJoin(F.broadcast(q)).select("qid", "item_id", score(metric, F.col("embedding"), F.col("qv")).alias("value")))
+    metric = Metric.parse(metric)
+
+    def block(asked: Asked, _: DataFrame) -> DataFrame:
+        sent = vectors.sparkSession.sparkContext.broadcast(asked)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                step = max(1, 1_000_000 // max(1, len(sent.value.ids)))
+                for batch in (whole.slice(k, step) for k in range(0, whole.num_rows, step)):
+                    query, row, value = best_pairs(metric, batch.column(0).to_numpy(), matrix(batch.column(1)), sent.value.vectors, None)
+                    yield _found(batch, sent.value, query, row, value if metric is Metric.L2 else -value, ("qid", "item_id", "value"))
+
+        return vectors.select("item_id", "embedding").mapInArrow(run, "qid bigint, item_id bigint, value double")
+
+    return _in_blocks(queries, block)
+
+
+# ---- leaves
 
 
 def leaf_paths(index: VectorIndex) -> DataFrame:
-    """``leaf, centroids`` (from the first level down) of leaves with items."""
-    last = index.config.levels
-    paths = index.nodes.filter(F.col("level") == last).select(F.col("node").alias("leaf"), F.col("parent").alias("up"), F.array("centroid").alias("centroids"))
-    for level in range(last - 1, 0, -1):
-        above = index.nodes.filter(F.col("level") == level).select(F.col("node").alias("up"), F.col("parent").alias("next"), "centroid")
-        paths = paths.join(above, "up").select("leaf", F.col("next").alias("up"), F.concat(F.array("centroid"), "centroids").alias("centroids"))
-    return paths.select("leaf", "centroids").join(index.leaf_sizes.select("leaf"), "leaf", "left_semi")
-
-
-def visit_order(index: VectorIndex, queries: DataFrame) -> DataFrame:
-    """``qid, leaf, key, leaf_rank``: the order in which a walk visits leaves.
-    Of equal costs the smaller leaf comes first."""
-    costs = F.transform("centroids", lambda c: cost(index.config.metric, c, F.col("qv")))
-    paths = leaf_paths(index)
-    scored = _in_blocks(queries, lambda q: paths.crossJoin(F.broadcast(q)).select("qid", "leaf", costs.alias("path")))
-    key = F.filter("path", lambda x, i: x >= F.array_max(F.slice("path", i + 1, F.size("path"))))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("key", "leaf"))
-    return scored.select("qid", "leaf", key.alias("key")).withColumn("leaf_rank", rank.cast("bigint"))
+    """``leaf, centroids`` (from the first level down, one after the other) of
+    leaves with items, and ``n``, how many."""
+    return index.paths.join(index.leaf_sizes, "leaf").select("leaf", "n", "centroids")
+
+
+def _keys(costs: list[np.ndarray]) -> np.ndarray:
+    """Sort keys from path costs (a matrix a level, queries by leaves): the
+    costs that no later one of the path exceeds, in order; what is left over
+    is filled up with -inf, so that the shorter key comes first."""
+    path = np.stack(costs)
+    later = np.maximum.accumulate(path[::-1])[::-1]
+    counts = path >= later
+    place = np.cumsum(counts, axis=0) - 1
+    key = np.full(path.shape, -np.inf)
+    level, query, leaf = np.nonzero(counts)
+    key[place[level, query, leaf], query, leaf] = path[level, query, leaf]
+    return key
+
+
+def visit_order(index: VectorIndex, queries: DataFrame, limit: int | None = None) -> DataFrame:
+    """``qid, leaf, key, leaf_rank``, and ``n``, the leaf's items: the order in
+    which a walk visits leaves, or its first ``limit``. Of equal costs the
+    smaller leaf comes first."""
+    return _in_blocks(queries, lambda asked, _: _visits(index, asked, limit))
+
+
+def _visits(index: VectorIndex, asked: Asked, limit: int | None) -> DataFrame:
+    metric, levels = Metric.parse(index.config.metric), index.config.levels
+    sent = index.nodes.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = sent.value
+        for whole in batches:
+            if not len(q.ids):
+                return
+            step = max(1, 1_000_000 // len(q.ids) // levels)
+            for batch in (whole.slice(k, step) for k in range(0, whole.num_rows, step)):
+                leaf = batch.column(0).to_numpy()
+                path = matrix(batch.column(2)).reshape(len(leaf), levels, -1)
+                key = _keys([cost_matrix(metric, q.vectors, path[:, level]) for level in range(levels)])
+                if limit is None or len(leaf) <= limit:
+                    query, row = np.divmod(np.arange(len(q.ids) * len(leaf)), len(leaf))
+                else:
+                    edge = np.partition(key[0], limit - 1, axis=1)[:, limit - 1 : limit]
+                    query, row = np.nonzero(key[0] <= edge)
+                    order = np.lexsort((leaf[row], *(key[level, query, row] for level in range(levels - 1, -1, -1)), query))
+                    first = np.searchsorted(query, np.arange(len(q.ids)))
+                    order = order[np.arange(len(order)) - first[query[order]] < limit]
+                    query, row = query[order], row[order]
+                keys = key[:, query, row].T
+                used = np.isfinite(keys)
+                ends = np.concatenate([[0], np.cumsum(used.sum(1))])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(q.ids[query], pa.int64()), batch.column(0).take(pa.array(row)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[used])), batch.column(1).take(pa.array(row))],
+                    names=["qid", "leaf", "key", "n"],
+                )
+
+    scored = leaf_paths(index).mapInArrow(run, "qid bigint, leaf bigint, key array<double>, n bigint")
+    return _ranked(scored, limit, "key", "leaf").select("qid", "leaf", "key", F.col("rank").alias("leaf_rank"), "n")
+
+
+def leaf_budget(index: VectorIndex, percent: int) -> int:
+    """How many leaves ``percent`` % of those with items are, rounded up; a
+    budget that grows with the table, so that recall doesn't fall."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be 1 to 100")
+    return max(1, -(-percent * index.leaf_sizes.count() // 100))
+
+
+def _left(index: VectorIndex, order: DataFrame, exclude: DataFrame | None) -> DataFrame:
+    """``order`` with ``n`` less the items that are excluded."""
+    if exclude is None:
+        return order
+    keys = ["qid", "leaf"] if "qid" in exclude.columns else ["leaf"]
+    out = exclude.select(*keys[:-1], "item_id").distinct()
+    gone = out.join(index.items.select("item_id", "leaf"), "item_id").groupBy(*keys).agg(F.count("*").alias("gone"))
+    return order.join(gone, keys, "left").withColumn("n", F.col("n") - F.coalesce("gone", F.lit(0))).drop("gone")
+
+
+# ---- search
+
+
+def _budgeted(index: VectorIndex, asked: Asked, k: int, search_exp: int, exclude: DataFrame | None, max_increments: int) -> DataFrame:
+    """``qid, leaf``: the leaves of each query's first budget search_exp * 2**i
+    with k items, or the last one allowed."""
+    order = _left(index, _visits(index, asked, search_exp), exclude)
+    if max_increments == 0:
+        return order.select("qid", "leaf")
+    done, i, leaves = [], 0, index.leaf_sizes.count()
+    while True:
+        order = settle(order.select("qid", "leaf", "n"), "visits")
+        if max_increments == i or search_exp << i >= leaves:
+            done.append(order)
+            break
+        short = order.groupBy("qid").agg(F.sum("n").alias("n")).filter(F.col("n") < k).select("qid").toArrow().column("qid")  # at most a block
+        done.append(order.join(F.broadcast(order.sparkSession.createDataFrame(pa.table({"qid": short}))), "qid", "left_anti") if len(short) else order)
+        if not len(short):
+            break
+        again = np.isin(asked.ids, short.to_numpy())
+        asked, i = Asked(asked.ids[again], asked.vectors[again]), i + 1
+        order = _left(index, _visits(index, asked, search_exp << i), exclude)
+    return reduce(DataFrame.union, done).select("qid", "leaf")
+
+
+def search(index: VectorIndex, queries: DataFrame, k: int, search_exp: int = 64, exclude: DataFrame | None = None, max_increments: int = -1) -> DataFrame:
+    """``qid, rank, item_id, dist`` of the k best in the first ``search_exp``
+    leaves; the budget doubles, ``max_increments`` times at most (-1: no bound),
+    until k items are found. ``exclude`` holds ``item_id``, or ``qid, item_id``."""
+    _check(k, search_exp)
+    per_query = exclude is not None and "qid" in exclude.columns
+
+    def block(asked: Asked, queries: DataFrame) -> DataFrame:
+        leaves = _budgeted(index, asked, k, search_exp, exclude, max_increments)
+        few = len(asked.ids) * search_exp <= SENT_PAIRS
+        pairs = leaves.limit(SENT_PAIRS + 1).toArrow() if few else None
+        items = index.items
+        if exclude is not None and not per_query:
+            items = items.join(exclude.select("item_id").distinct(), "item_id", "left_anti")
+        if pairs is None or pairs.num_rows > SENT_PAIRS:
+            found = items.join(leaves.join(queries, "qid"), "leaf").select("qid", "item_id", cost(index.config.metric, F.col("embedding"), F.col("qv")).alias("dist"))
+        else:
+            found = _scored(index, _of_leaves(index, items, pairs.column("leaf").to_numpy()), asked, pairs, None if per_query else k)
+        return found
+
+    found = _in_blocks(queries, block)
+    if per_query:
+        found = found.join(exclude.select("qid", "item_id"), ["qid", "item_id"], "left_anti")
+    return _ranked(found, k, "dist", "item_id").select("qid", "rank", "item_id", "dist")
+
+
+def _of_leaves(index: VectorIndex, items: DataFrame, leaves: np.ndarray) -> DataFrame:
+    """The items of few leaves: stored items are sorted by leaf, so that row
+    groups of other leaves are skipped."""
+    wanted = np.unique(leaves).tolist()
+    if not 0 < len(wanted) <= NAMED_LEAVES:
+        return items
+    return items.filter(F.col("leaf").isin(wanted) & F.col("leaf").between(wanted[0], wanted[-1]))
+
+
+def _scored(index: VectorIndex, items: DataFrame, asked: Asked, pairs: pa.Table, k: int | None) -> DataFrame:
+    """``qid, item_id, dist`` of the items of each query's leaves, and of every
+    batch no more than a query's ``k`` best."""
+    metric = Metric.parse(index.config.metric)
+    by_id = np.argsort(asked.ids)
+    query = by_id[np.searchsorted(asked.ids[by_id], pairs.column("qid").to_numpy())]
+    leaf = pairs.column("leaf").to_numpy()
+    order = np.argsort(leaf, kind="stable")
+    sent = items.sparkSession.sparkContext.broadcast((asked, leaf[order], query[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, leaf, query = sent.value
+        for batch in batches:
+            ids, of, data = batch.column(0).to_numpy(), batch.column(1).to_numpy(), None
+            order, found = np.argsort(of, kind="stable"), []
+            kinds, begins = np.unique(of[order], return_index=True)
+            for x, a, b in zip(kinds.tolist(), begins.tolist(), [*begins[1:].tolist(), len(of)]):
+                lo, hi = np.searchsorted(leaf, [x, x + 1])
+                if lo < hi:
+                    data = matrix(batch.column(2)) if data is None else data
+                    mine, who = order[a:b], query[lo:hi]
+                    one, row, dist = best_pairs(metric, ids[mine], data[mine], q.vectors[who], k)
+                    found.append((who[one], mine[row], dist))
+            if not found:
+                continue
+            who, row, dist = (np.concatenate(x) for x in zip(*found))
+            if k is not None:  # a query's best of all its leaves here
+                order = np.lexsort((ids[row], dist, who))
+                head = np.searchsorted(who[order], who[order])
+                order = order[np.arange(len(order)) - head < k]
+                who, row, dist = who[order], row[order], dist[order]
+            yield _found(batch, q, who, row, dist, ("qid", "item_id", "dist"))
+
+    return items.select("item_id", "leaf", "embedding").mapInArrow(run, "qid bigint, item_id bigint, dist double")
+
+
+# ---- paging
 
 
 @dataclass
@@ -88,29 +314,14 @@ class SearchSession:
         self.pool.unpersist()
 
 
-def _counted(index: VectorIndex, queries: DataFrame, exclude: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(visit order with ``items`` in each leaf and ``cum`` up to it; the items
-    to return, with ``qid`` where exclusions differ by query)."""
-    order, items = visit_order(index, queries).select("qid", "leaf", "leaf_rank"), index.items
-    counted = order.join(index.leaf_sizes, "leaf")
-    if exclude is not None:
-        per_query = "qid" in exclude.columns
-        keys = ["qid", "leaf"] if per_query else ["leaf"]
-        out = exclude.select(*keys[:-1], "item_id").distinct()
-        gone = out.join(items.select("item_id", "leaf"), "item_id").groupBy(*keys).agg(F.count("*").alias("gone"))
-        counted = counted.join(gone, keys, "left").withColumn("n", F.col("n") - F.coalesce("gone", F.lit(0)))
-        if not per_query:
-            items = items.join(out, "item_id", "left_anti")
-    w = Window.partitionBy("qid").orderBy("leaf_rank").rowsBetween(Window.unboundedPreceding, 0)
-    return counted.withColumn("cum", F.sum("n").over(w)), items
-
-
 def _rounds(counted: DataFrame, k: int, search_exp: int, max_increments: int) -> DataFrame:
     """``qid, leaf, round``: round 0 is the first budget search_exp * 2**i with
     k items (or the last one allowed), then blocks of search_exp leaves.
 
     The budget is b * 2**i for the smallest i whose leaves hold k items, that
     is, whose last leaf is not before the first leaf that completes k."""
+    so_far = Window.partitionBy("qid").orderBy("leaf_rank").rowsBetween(Window.unboundedPreceding, 0)
+    counted = counted.withColumn("cum", F.sum("n").over(so_far))
     enough = F.min(F.when(F.col("cum") >= k, F.col("leaf_rank"))).over(Window.partitionBy("qid"))
     most = F.count("*").over(Window.partitionBy("qid"))
     need = F.coalesce(enough, most) / search_exp
@@ -123,44 +334,19 @@ def _rounds(counted: DataFrame, k: int, search_exp: int, max_increments: int) ->
     return placed.select("qid", "leaf", F.when(F.col("leaf_rank") <= F.col("budget"), 0).otherwise(after).cast("bigint").alias("round"))
 
 
-def _pool(index: VectorIndex, queries: DataFrame, leaves: DataFrame, items: DataFrame, exclude: DataFrame | None, most: int | None) -> DataFrame:
-    if index.counts is not None:  # sorted by leaf on disk: row groups of other leaves are skipped
-        leaves = leaves.persist()
-        wanted = [r.leaf for r in leaves.select("leaf").distinct().limit(NAMED_LEAVES + 1).collect()]
-        if len(wanted) <= NAMED_LEAVES:
-            items = items.filter(F.col("leaf").isin(wanted) & F.col("leaf").between(min(wanted, default=0), max(wanted, default=0)))
-    found = items.join(leaves.join(queries, "qid"), "leaf").select("qid", "round", "item_id", cost(index.config.metric, F.col("embedding"), F.col("qv")).alias("dist"))
-    if exclude is not None and "qid" in exclude.columns:
-        found = found.join(exclude.select("qid", "item_id"), ["qid", "item_id"], "left_anti")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("round", "dist", "item_id")).cast("bigint"))
-    if most is not None:
-        ranked = ranked.filter(F.col("rank") <= most)
-    return ranked.select("qid", "rank", "item_id", "dist", "round")
-
-
-def search(index: VectorIndex, queries: DataFrame, k: int, search_exp: int = 64, exclude: DataFrame | None = None, max_increments: int = -1) -> DataFrame:
-    """``qid, rank, item_id, dist`` of the k best in the first ``search_exp``
-    leaves; the budget doubles, ``max_increments`` times at most (-1: no bound),
-    until k items are found. ``exclude`` holds ``item_id``, or ``qid, item_id``."""
-    _check(k, search_exp)
-    counted, items = _counted(index, queries, exclude)
-    leaves = _rounds(counted, k, search_exp, max_increments).filter("round = 0")
-    return _pool(index, queries, leaves, items, exclude, k).select("qid", "rank", "item_id", "dist")
-
-
-def leaf_budget(index: VectorIndex, percent: int) -> int:
-    """How many leaves ``percent`` % of those with items are, rounded up; a
-    budget that grows with the table, so that recall doesn't fall."""
-    if not 1 <= percent <= 100:
-        raise ValueError("percent must be 1 to 100")
-    return max(1, -(-percent * index.leaf_sizes.count() // 100))
-
-
 def open_session(index: VectorIndex, queries: DataFrame, k: int, search_exp: int = 64, exclude: DataFrame | None = None, max_increments: int = -1, pages: int | None = None) -> SearchSession:
-    """A pool to page through: all rounds, or what ``pages`` pages need."""
+    """A pool to page through: all rounds, or what ``pages`` pages need. All
+    leaves are ranked for each query, since paging may reach any of them."""
     _check(k, search_exp)
-    counted, items = _counted(index, queries, exclude)
-    pool = _pool(index, queries, _rounds(counted, k, search_exp, max_increments), items, exclude, None if pages is None else pages * k)
+    per_query = exclude is not None and "qid" in exclude.columns
+    rounds = _rounds(_left(index, visit_order(index, queries), exclude), k, search_exp, max_increments)
+    items = index.items
+    if exclude is not None and not per_query:
+        items = items.join(exclude.select("item_id").distinct(), "item_id", "left_anti")
+    found = items.join(rounds.join(queries, "qid"), "leaf").select("qid", "round", "item_id", cost(index.config.metric, F.col("embedding"), F.col("qv")).alias("dist"))
+    if per_query:
+        found = found.join(exclude.select("qid", "item_id"), ["qid", "item_id"], "left_anti")
+    pool = _ranked(found, None if pages is None else pages * k, "round", "dist", "item_id")
     return SearchSession(pool.select("qid", "rank", "item_id", "dist").persist(), k)
 
 

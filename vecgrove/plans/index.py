@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.metrics import Metric, level_size, node_size, total_clusters
 from ..operators import representatives as R
 from ..operators.assign import descend
-from ..sources.embeddings import validate
+from ..sources.embeddings import measure
+from ..sources.scratch import settle
 
 INFO = "levels int, metric string, metric_code int, node_size bigint, total_clusters bigint, target_cluster_items bigint, dim int"
 
@@ -47,15 +48,14 @@ class VectorIndex:
     reps: DataFrame
     nodes: DataFrame
     items: DataFrame
-    #: Counts of a saved index, one or more rows a leaf; searches then read no
-    #: items but those of their leaves.
-    counts: DataFrame | None = None
+    #: ``leaf, n``, one or more rows a leaf that holds items.
+    counts: DataFrame
+    #: ``leaf, centroids``: each leaf's path from the first level down, flat.
+    paths: DataFrame
 
     @property
     def leaf_sizes(self) -> DataFrame:
         """``leaf, n`` of the leaves that hold items."""
-        if self.counts is None:
-            return self.items.groupBy("leaf").agg(F.count("*").alias("n"))
         return self.counts.groupBy("leaf").agg(F.sum("n").alias("n"))
 
     @property
@@ -71,50 +71,86 @@ class VectorIndex:
     # ---- growing
     def assign(self, vectors: DataFrame) -> DataFrame:
         """``item_id, leaf, embedding`` of new vectors in the unchanged tree."""
-        found = descend(vectors, self.nodes, self.config.metric, self.config.levels)
-        return vectors.join(found, "item_id").select("item_id", F.col("node").alias("leaf"), "embedding")
+        found = descend(vectors, self.nodes, self.config.metric, self.config.levels, carry=True)
+        return found.select("item_id", F.col("node").alias("leaf"), "embedding")
 
     def append(self, vectors: DataFrame) -> VectorIndex:
-        return replace(self, items=self.items.unionByName(self.assign(vectors)), counts=None)
+        new = settle(self.assign(vectors), "items")
+        return replace(self, items=self.items.unionByName(new), counts=self.counts.unionByName(count_leaves(new)))
 
     # ---- keeping
     def save(self, path: str, leaf_files: int | None = None) -> None:
         """Parquet below ``path``; items are dealt and sorted by leaf, so that a
         search reads the row groups of its leaves only."""
-        self.info.coalesce(1).write.mode("overwrite").parquet(f"{path}/info")
+        info = self.info.withColumns({"representatives": F.lit(self.config.representatives), "seed": F.lit(self.config.seed)})
+        info.coalesce(1).write.mode("overwrite").parquet(f"{path}/info")
         self.reps.write.mode("overwrite").parquet(f"{path}/reps")
         self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+        self.paths.write.mode("overwrite").parquet(f"{path}/paths")
         dealt = self.items.repartitionByRange(leaf_files, "leaf") if leaf_files else self.items.repartitionByRange("leaf")
         dealt.sortWithinPartitions("leaf", "item_id").write.mode("overwrite").parquet(f"{path}/items")
-        self._count(f"{path}/items").write.mode("overwrite").parquet(f"{path}/counts")
-
-    def _count(self, path: str) -> DataFrame:
-        stored = self.nodes.sparkSession.read.schema("item_id bigint, leaf bigint").parquet(path)
-        return stored.groupBy("leaf").agg(F.count("*").alias("n"))
+        self.leaf_sizes.write.mode("overwrite").parquet(f"{path}/counts")
 
     def append_to(self, path: str, vectors: DataFrame) -> None:
-        """Add new vectors to a saved index; the tree stays. The counts are
-        written anew from the items, so that an attempt that broke off between
-        the two leaves nothing wrong behind once it is followed by another."""
-        self.assign(vectors).repartitionByRange("leaf").sortWithinPartitions("leaf", "item_id").write.mode("append").parquet(f"{path}/items")
-        self._count(f"{path}/items").write.mode("overwrite").parquet(f"{path}/counts")
+        """Add new vectors to a saved index, and their counts; the tree stays.
+        If an attempt breaks off between the two, ``recount`` puts it right."""
+        new = settle(self.assign(vectors), "items")
+        new.repartitionByRange("leaf").sortWithinPartitions("leaf", "item_id").write.mode("append").parquet(f"{path}/items")
+        count_leaves(new).write.mode("append").parquet(f"{path}/counts")
+
+    @staticmethod
+    def recount(spark: SparkSession, path: str) -> None:
+        """Write the counts of a saved index anew from all its items."""
+        count_leaves(spark.read.schema("item_id bigint, leaf bigint").parquet(f"{path}/items")).write.mode("overwrite").parquet(f"{path}/counts")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> VectorIndex:
-        try:
-            r = spark.read.schema(INFO).parquet(f"{path}/info").first()
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                raise FileNotFoundError(path) from None
-            raise
-        config = IndexConfig(r.levels, r.target_cluster_items, r.metric)
+        """A saved index, together with what streams have added to it."""
+        r = _read(spark, f"{path}/info", f"{INFO}, representatives string, seed int")
+        if r is None:
+            raise FileNotFoundError(path)
+        r = r.first()
+        config = IndexConfig(r.levels, r.target_cluster_items, r.metric, r.representatives or "offset", r.seed or 0)
         read = lambda x: spark.read.parquet(f"{path}/{x}")
-        return VectorIndex(config, r.dim, r.node_size, r.total_clusters, read("reps"), read("nodes"), read("items"), read("counts"))
+        index = VectorIndex(config, r.dim, r.node_size, r.total_clusters, read("reps"), read("nodes"), read("items"), read("counts"), read("paths"))
+        streamed = _read(spark, f"{path}/stream", STREAMED)
+        return index if streamed is None else index.with_items(streamed)
+
+    def with_items(self, items: DataFrame) -> VectorIndex:
+        """The index with items that have their leaves already."""
+        items = items.select("item_id", "leaf", "embedding")
+        return replace(self, items=self.items.unionByName(items), counts=self.counts.unionByName(count_leaves(items)))
 
     def describe(self) -> str:
         return json.dumps(asdict(self.config) | {"dim": self.dim, "node_size": self.node_size, "total_clusters": self.total_clusters})
 
 
+#: What streams have added below a saved index.
+STREAMED = "item_id bigint, leaf bigint, embedding array<float>, batch bigint"
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The rows at ``path``, or None if there is nothing."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+
+
+def count_leaves(items: DataFrame) -> DataFrame:
+    return items.groupBy("leaf").agg(F.count("*").alias("n"))
+
+
+def _paths(nodes: DataFrame, levels: int) -> DataFrame:
+    paths = nodes.filter(F.col("level") == levels).select(F.col("node").alias("leaf"), F.col("parent").alias("up"), F.col("centroid").alias("centroids"))
+    for level in range(levels - 1, 0, -1):
+        above = nodes.filter(F.col("level") == level).select(F.col("node").alias("up"), F.col("parent").alias("next"), "centroid")
+        paths = paths.join(above, "up").select("leaf", F.col("next").alias("up"), F.concat("centroid", "centroids").alias("centroids"))
+    return paths.select("leaf", "centroids")
+
+
 def build_index(vectors: DataFrame, config: IndexConfig = IndexConfig(), reps: DataFrame | None = None) -> VectorIndex:
     """Choose representatives (or take ``reps``), grow the tree level by level
     by greedy descent, and put every vector into one leaf.
@@ -122,26 +158,22 @@ def build_index(vectors: DataFrame, config: IndexConfig = IndexConfig(), reps: D
     Level l holds the first ``min(node_size ** l, clusters)`` representatives;
     each has been dropped down the levels above it. The nodes of the finished
     levels are kept (persisted) between steps, so that no step computes those
-    before it again.
+    before it again; the items with their leaves are settled. Rows that share an
+    identifier are an item each.
     """
-    dim, items = validate(vectors), vectors.count()
+    dim, items = measure(vectors)
     if reps is None:
         clusters = total_clusters(items, config.target_cluster_items)
         reps = R.select_representatives(vectors, clusters, config.target_cluster_items, config.representatives, config.seed).persist()
-        found = reps.count()
-        if found != clusters and config.representatives == "offset":
-            raise ValueError(f"{found} representatives for {clusters} clusters: identifiers must run from 0 without gaps")
-        clusters = found
     else:
         reps = R.from_table(reps).persist()
-        clusters = reps.count()
+    clusters = reps.count()
     fan_out = node_size(clusters, config.levels)
     as_node = lambda level, rows, parent: rows.select(F.lit(level).alias("level"), F.col("rep").alias("node"), parent.cast("bigint").alias("parent"), F.col("embedding").alias("centroid"))
     nodes = as_node(1, reps.filter(F.col("rep") < fan_out), F.lit(None)).persist()
     for level in range(2, config.levels + 1):
-        mine = reps.filter(F.col("rep") < level_size(level, fan_out, clusters))
-        placed = descend(mine.select(F.col("rep").alias("item_id"), "embedding"), nodes, config.metric, level - 1)
-        below = mine.join(placed.select(F.col("item_id").alias("rep"), F.col("node").alias("above")), "rep")
-        nodes = nodes.unionByName(as_node(level, below, F.col("above"))).persist()
-    index = VectorIndex(config, dim, fan_out, clusters, reps, nodes, vectors.limit(0).withColumn("leaf", F.lit(0).cast("bigint")).select("item_id", "leaf", "embedding"))
-    return replace(index, items=index.assign(vectors))
+        mine = reps.filter(F.col("rep") < level_size(level, fan_out, clusters)).select(F.col("rep").alias("item_id"), "embedding")
+        placed = descend(mine, nodes, config.metric, level - 1, carry=True).withColumnsRenamed({"item_id": "rep", "node": "above"})
+        nodes = nodes.unionByName(as_node(level, placed, F.col("above"))).persist()
+    found = settle(descend(vectors, nodes, config.metric, config.levels, carry=True).select("item_id", F.col("node").alias("leaf"), "embedding"), "items")
+    return VectorIndex(config, dim, fan_out, clusters, reps, nodes, found, settle(count_leaves(found), "counts"), settle(_paths(nodes, config.levels), "paths"))

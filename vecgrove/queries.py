@@ -17,8 +17,8 @@ from .sources.embeddings import read_embeddings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-TCS, K, QUERY_IDS = 10, 10, (10, 77, 123)
-BATCH_EVERY, ASKED_EVERY, EXCLUDED, LRU_KEEP = 5, 50, (10, 44, 233, 272), 20
+TCS, K = 10, 10
+ASKED_EVERY, EXCLUDED, LRU_KEEP = 50, (10, 44, 233, 272), 20
 #: Share of the leaves that finds 0.9 of the true neighbours at each table size.
 LEAF_PERCENT, SHARES = 80, (10, 25, 50, 80, 100)
 _built: dict[tuple, VectorIndex] = {}
@@ -31,17 +31,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_embeddings(spark, f"{sf_dir}/embeddings.parquet")
 
 
-def queries_of(spark: SparkSession, sf_dir: str, condition) -> DataFrame:
-    return vectors(spark, sf_dir).filter(condition).select(F.col("item_id").alias("qid"), F.col("embedding").alias("qv"))
-
-
-def three(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries_of(spark, sf_dir, F.col("item_id").isin(*QUERY_IDS))
-
-
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row whose identifier is divisible by ``ASKED_EVERY``."""
-    return queries_of(spark, sf_dir, F.col("item_id") % ASKED_EVERY == 0)
+    """The queries: every row whose identifier is divisible by ``ASKED_EVERY``."""
+    return vectors(spark, sf_dir).filter(F.col("item_id") % ASKED_EVERY == 0).select(F.col("item_id").alias("qid"), F.col("embedding").alias("qv"))
 
 
 def index(spark: SparkSession, sf_dir: str, levels: int = 2, metric: str = "IP") -> VectorIndex:
@@ -69,6 +61,7 @@ def _cost(metric: str, a: str, b: str) -> str:
     return _value(metric, a, b) if metric == "L2" else f"(-({_value(metric, a, b)}))"
 
 
+ASKED = f"vec_id % {ASKED_EVERY} = 0"
 V = "v as (select vec_id, embedding::double[] e from embeddings)"
 
 
@@ -110,7 +103,7 @@ def _with(parts: list[str], select: str) -> str:
     return "with " + ",\n".join(parts) + "\n" + select
 
 
-def searching(levels: int, metric: str, which: str, budget: str = "", exclude: str = "") -> list[str]:
+def searching(levels: int, metric: str, exclude: str = "") -> list[str]:
     """CTEs up to ``pool``: qid, leaf_rank, vec_id, dist of all leaves."""
     joins, costs = f"n{levels} n{levels}_", []
     for level in range(levels, 0, -1):
@@ -118,24 +111,25 @@ def searching(levels: int, metric: str, which: str, budget: str = "", exclude: s
             joins += f" join n{level} n{level}_ on n{level + 1}_.parent = n{level}_.node"
         costs.insert(0, _cost(metric, f"n{level}_.cv", "qv"))
     out = tree(levels, metric)
-    out.append(f"q as (select vec_id qid, e qv from v where {which})")
+    out.append(f"q as (select vec_id qid, e qv from v where {ASKED})")
     out.append(f"d as (select qid, qv, n{levels}_.node leaf, [{', '.join(costs)}] path from q, {joins} where n{levels}_.node in (select leaf from items))")
     out.append("rk as (select qid, qv, leaf, list_filter(path, lambda x, i: x >= list_max(path[i:])) key, row_number() over (partition by qid order by list_filter(path, lambda x, i: x >= list_max(path[i:])), leaf) leaf_rank from d)")
     out.append(f"pool as (select qid, leaf_rank, vec_id, {_cost(metric, 'e', 'qv')} dist from rk join items using (leaf){exclude})")
     return out
 
 
-def _found(levels: int, metric: str, which: str, b: int | str, exclude: str = "") -> str:
-    return _with(searching(levels, metric, which, exclude=exclude), f"select * from (select qid, row_number() over (partition by qid order by dist, vec_id) rank, vec_id item_id, round(dist, 6) + 0.0 dist from pool where leaf_rank <= {b}) where rank <= {K}")
+def _found(levels: int, metric: str, exclude: str = "") -> str:
+    b = _share(LEAF_PERCENT)
+    return _with(searching(levels, metric, exclude), f"select * from (select qid, row_number() over (partition by qid order by dist, vec_id) rank, vec_id item_id, round(dist, 6) + 0.0 dist from pool where leaf_rank <= {b}) where rank <= {K}")
 
 
 def _share(percent: int | str) -> str:
     return f"(select (count(distinct leaf) * {percent} + 99) // 100 from items)"
 
 
-def rounds(k: int, b: int, most: int, exclude: str = "", levels: int = 2, metric: str = "IP", which: str | None = None) -> list[str]:
+def rounds(k: int, b: int, most: int) -> list[str]:
     """CTEs up to ``ranked``: the pool in rounds, as paging shows it."""
-    out = searching(levels, metric, which or f"vec_id in {QUERY_IDS}", exclude=exclude)
+    out = searching(2, "IP")
     out.append("cnt as (select qid, leaf_rank, count(vec_id) n from rk left join pool using (qid, leaf_rank) group by all)")
     out.append("cum as (select qid, leaf_rank, sum(n) over (partition by qid order by leaf_rank) cum from cnt)")
     out.append(f"steps as (select range i, {b} * pow(2, range)::bigint budget from range(0, {most + 1 if most >= 0 else 40}))")
@@ -157,25 +151,27 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
         if oracle:
             sql[name] = oracle
 
-    ids = f"vec_id in {QUERY_IDS}"
+    def wide(ix: VectorIndex, q: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
+        return rounded(S.search(ix, q, K, S.leaf_budget(ix, LEAF_PERCENT), exclude, 0), "dist")
+
     for m in ("IP", "L2", "COS"):
         low = m.lower()
         add(
             f"{low}_scores",
-            lambda s, d, m=m: rounded(S.all_scores(vectors(s, d), three(s, d), m), "value"),
-            _with([V], f"select q.vec_id qid, v.vec_id item_id, round({_value(m, 'v.e', 'q.e')}, 6) + 0.0 as value from v, v q where q.vec_id in {QUERY_IDS}"),
+            lambda s, d, m=m: rounded(S.all_scores(vectors(s, d), asked(s, d), m), "value"),
+            _with([V], f"select q.vec_id qid, v.vec_id item_id, round({_value(m, 'v.e', 'q.e')}, 6) + 0.0 as value from v, v q where q.{ASKED}"),
         )
         add(
             f"topk_{low}",
-            lambda s, d, m=m: rounded(S.brute_force(vectors(s, d), three(s, d), K, m), "dist"),
-            _with([V], f"select qid, rank, item_id, round(dist, 6) + 0.0 dist from (select q.vec_id qid, v.vec_id item_id, {_cost(m, 'v.e', 'q.e')} dist, row_number() over (partition by q.vec_id order by {_cost(m, 'v.e', 'q.e')}, v.vec_id) rank from v, v q where q.vec_id in {QUERY_IDS}) where rank <= {K}"),
+            lambda s, d, m=m: rounded(S.brute_force(vectors(s, d), asked(s, d), K, m), "dist"),
+            _with([V], f"select qid, rank, item_id, round(dist, 6) + 0.0 dist from (select q.vec_id qid, v.vec_id item_id, {_cost(m, 'v.e', 'q.e')} dist, row_number() over (partition by q.vec_id order by {_cost(m, 'v.e', 'q.e')}, v.vec_id) rank from v, v q where q.{ASKED}) where rank <= {K}"),
         )
         add(
             f"assign_{low}",
             lambda s, d, m=m: nearest(vectors(s, d), R.offset(vectors(s, d), TCS).select(F.col("rep").alias("node"), F.col("embedding").alias("centroid")), m),
             _with([V, REPS], f"select v.vec_id item_id, arg_min(rep, struct_pack(c := {_cost(m, 'v.e', 'rv')}, k := rep)) node from v, reps group by 1"),
         )
-        add(f"search_{low}", lambda s, d, m=m: rounded(S.search(index(s, d, 2, m), three(s, d), K, 4, max_increments=0), "dist"), _found(2, m, ids, 4))
+        add(f"search_{low}", lambda s, d, m=m: wide(index(s, d, 2, m), asked(s, d)), _found(2, m))
         add(
             f"node_border_{low}",
             lambda s, d, m=m: rounded(stats.borders(index(s, d, 2, m)), "border_cost"),
@@ -208,8 +204,7 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
     add("reps_offset", lambda s, d: flat(R.offset(vectors(s, d), TCS)), _with([V, REPS], "select rep, vec_id item_id, round(list_sum(rv), 5) + 0.0 total from reps"))
     seeded = f"select row_number() over (order by md5(vec_id::varchar || ':7'), vec_id) - 1 rep, vec_id item_id, e from v qualify rep < (select ceil(count(*) / {TCS}.0) from v)"
     add("reps_random_seeded", lambda s, d: flat(R.random(vectors(s, d), total_clusters(vectors(s, d).count(), TCS), 7)), _with([V], f"select rep, item_id, round(list_sum(e), 5) + 0.0 total from ({seeded})"))
-    add("reps_from_table", lambda s, d: flat(R.from_table(vectors(s, d).filter("item_id % 7 = 3"))), _with([V], "select row_number() over (order by vec_id) - 1 rep, vec_id item_id, round(list_sum(e), 5) + 0.0 total from v where vec_id % 7 = 3"))
-    add("reps_from_table_whole", lambda s, d: flat(R.from_table(vectors(s, d))), _with([V], "select row_number() over (order by vec_id) - 1 rep, vec_id item_id, round(list_sum(e), 5) + 0.0 total from v"))
+    add("reps_from_table", lambda s, d: flat(R.from_table(vectors(s, d))), _with([V], "select row_number() over (order by vec_id) - 1 rep, vec_id item_id, round(list_sum(e), 5) + 0.0 total from v"))
 
     def lloyd(s: SparkSession, d: str) -> DataFrame:
         v = vectors(s, d)
@@ -221,7 +216,29 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
         "select rep, pos::bigint pos, round(avg(x)::float::double, 4) + 0.0 x from x group by rep, pos",
     )
     add("reps_lloyd_step", lloyd, lloyd_sql)
-    add("reps_kmeans", lambda s, d: R.kmeans(vectors(s, d), 8, seed=1).select("rep", "item_id", F.size("embedding").alias("dim")))
+
+    def kmeans(s: SparkSession, d: str) -> DataFrame:
+        v = vectors(s, d)
+        return R.kmeans(v, total_clusters(v.count(), TCS), 1).select("rep", F.posexplode("embedding").alias("pos", "x")).select("rep", F.col("pos").cast("bigint").alias("pos"), (F.round(F.col("x").cast("double"), 4) + F.lit(0.0)).alias("x"))
+
+    # the table is one mini-batch here: a step from the seeded start
+    kmeans_sql = _with(
+        [
+            V,
+            f"st as (select row_number() over (order by md5(vec_id::varchar || ':1'), vec_id) - 1 rep, e rv from v qualify rep < (select ceil(count(*) / {TCS}.0) from v))",
+            f"a as (select v.vec_id, any_value(v.e) e, arg_min(rep, struct_pack(c := {_cost('L2', 'v.e', 'rv')}, k := rep)) rep from v, st group by 1)",
+            "x as (select rep, unnest(e) x, generate_subscripts(e, 1) - 1 pos from a)",
+            "m as (select rep, pos, avg(x) x from x group by all)",
+            "b as (select rep, unnest(rv) x, generate_subscripts(rv, 1) - 1 pos from st)",
+        ],
+        "select b.rep, b.pos::bigint pos, round(coalesce(m.x, b.x)::float::double, 4) + 0.0 x from b left join m using (rep, pos)",
+    )
+    add("reps_kmeans", kmeans, kmeans_sql)
+    add(
+        "ordinal_ids",
+        lambda s, d: read_embeddings(s, f"{d}/embeddings.parquet", order_by=["label", "vec_id"]).select("item_id", (F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 5) + F.lit(0.0)).alias("total")),
+        "select row_number() over (order by label, vec_id) - 1 item_id, round(list_sum(embedding::double[]), 5) + 0.0 total from embeddings",
+    )
 
     # grouping
     assigned = lambda s, d: nearest(vectors(s, d), R.offset(vectors(s, d), TCS).select(F.col("rep").alias("node"), F.col("embedding").alias("centroid")), "IP")
@@ -238,23 +255,20 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
     add("leaf_occupancy", lambda s, d: stats.occupancy(index(s, d)), _with(tree(2, "IP"), "select node leaf, count(vec_id) n_items from n2 left join items on leaf = node group by node"))
 
     # searches
-    add("leaf_visit_order", lambda s, d: S.visit_order(index(s, d), three(s, d)).select("qid", "leaf", "leaf_rank"), _with(searching(2, "IP", ids), "select qid, leaf, leaf_rank from rk"))
+    add("leaf_visit_order", lambda s, d: S.visit_order(index(s, d), asked(s, d)).select("qid", "leaf", "leaf_rank"), _with(searching(2, "IP"), "select qid, leaf, leaf_rank from rk"))
     for levels in (1, 3):
-        add(f"search_{levels}level" + "s" * (levels > 1), lambda s, d, n=levels: rounded(S.search(index(s, d, n), three(s, d), K, 4, max_increments=0), "dist"), _found(levels, "IP", ids, 4))
+        add(f"search_{levels}level" + "s" * (levels > 1), lambda s, d, n=levels: wide(index(s, d, n), asked(s, d)), _found(levels, "IP"))
     gone = f" where vec_id not in {EXCLUDED}"
     drop = lambda s: s.createDataFrame([(x,) for x in EXCLUDED], "item_id bigint")
-    add("search_exclude", lambda s, d: rounded(S.search(index(s, d), three(s, d), K, 4, drop(s), 0), "dist"), _found(2, "IP", ids, 4, gone))
+    add("search_exclude", lambda s, d: wide(index(s, d), asked(s, d), drop(s)), _found(2, "IP", gone))
     page = lambda parts, lo, hi: _with(parts, f"select qid, rank, vec_id item_id, round(dist, 6) + 0.0 dist from ranked where rank > {lo} and rank <= {hi}")
     first = lambda parts, k: _with(parts, f"select qid, rank, vec_id item_id, round(dist, 6) + 0.0 dist from ranked where round = 0 and rank <= {k}")
-    add("search_expand", lambda s, d: rounded(S.search(index(s, d), three(s, d), 60, 1), "dist"), first(rounds(60, 1, -1), 60))
-    add("search_capped", lambda s, d: rounded(S.search(index(s, d), three(s, d), 60, 1, max_increments=1), "dist"), first(rounds(60, 1, 1), 60))
-    add("search_page2", lambda s, d: rounded(S.open_session(index(s, d), three(s, d), K, 2).page(1), "dist"), page(rounds(K, 2, -1), K, 2 * K))
-    add("search_pages_concat", lambda s, d: rounded(S.open_session(index(s, d), three(s, d), K, 2).pool, "dist"), page(rounds(K, 2, -1), 0, 10**9))
-    many = f"vec_id % {BATCH_EVERY} = 0"
-    add("search_batch", lambda s, d: rounded(S.search(index(s, d), queries_of(s, d, F.col("item_id") % BATCH_EVERY == 0), K, 4, max_increments=0), "dist"), _found(2, "IP", many, 4))
-
+    add("search_expand", lambda s, d: rounded(S.search(index(s, d), asked(s, d), 60, 1), "dist"), first(rounds(60, 1, -1), 60))
+    add("search_capped", lambda s, d: rounded(S.search(index(s, d), asked(s, d), 60, 1, max_increments=1), "dist"), first(rounds(60, 1, 1), 60))
+    add("search_page2", lambda s, d: rounded(S.open_session(index(s, d), asked(s, d), K, 2).page(1), "dist"), page(rounds(K, 2, -1), K, 2 * K))
+    add("search_pages_concat", lambda s, d: rounded(S.open_session(index(s, d), asked(s, d), K, 2).pool, "dist"), page(rounds(K, 2, -1), 0, 10**9))
     def recall_by_budget(s: SparkSession, d: str) -> DataFrame:
-        q = queries_of(s, d, F.col("item_id") % BATCH_EVERY == 0).persist()
+        q = asked(s, d).persist()
         exact = S.brute_force(vectors(s, d), q, K, "IP").persist()
         out = None
         for b in (1, 4, 16, 64):
@@ -264,7 +278,7 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
 
     recall_sql = _with(
         [
-            *searching(2, "IP", many),
+            *searching(2, "IP"),
             f"ex as (select qid, vec_id from (select qid, v.vec_id, row_number() over (partition by qid order by {_cost('IP', 'v.e', 'qv')}, v.vec_id) r from v, q) where r <= {K})",
             f"fo as (select b, qid, vec_id from (select b, qid, vec_id, row_number() over (partition by b, qid order by dist, vec_id) r from pool, (values (1), (4), (16), (64)) t(b) where leaf_rank <= b) where r <= {K})",
             f"rc as (select b, ex.qid, count(fo.vec_id) / {K}.0 recall from (values (1), (4), (16), (64)) t(b) cross join ex left join fo using (b, qid, vec_id) group by all)",
@@ -273,35 +287,6 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
     )
     add("recall_at_k_by_budget", recall_by_budget, recall_sql)
 
-    # the score, top-k and search queries for every row that the job asks for
-    which, most = f"vec_id % {ASKED_EVERY} = 0", _share(LEAF_PERCENT)
-
-    def wide(ix: VectorIndex, q: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
-        return rounded(S.search(ix, q, K, S.leaf_budget(ix, LEAF_PERCENT), exclude, 0), "dist")
-
-    for m in ("IP", "L2", "COS"):
-        low = m.lower()
-        add(
-            f"{low}_scores_every50",
-            lambda s, d, m=m: rounded(S.all_scores(vectors(s, d), asked(s, d), m), "value"),
-            _with([V], f"select q.vec_id qid, v.vec_id item_id, round({_value(m, 'v.e', 'q.e')}, 6) + 0.0 as value from v, v q where q.{which}"),
-        )
-        add(
-            f"topk_{low}_every50",
-            lambda s, d, m=m: rounded(S.brute_force(vectors(s, d), asked(s, d), K, m), "dist"),
-            _with([V], f"select qid, rank, item_id, round(dist, 6) + 0.0 dist from (select q.vec_id qid, v.vec_id item_id, {_cost(m, 'v.e', 'q.e')} dist, row_number() over (partition by q.vec_id order by {_cost(m, 'v.e', 'q.e')}, v.vec_id) rank from v, v q where q.{which}) where rank <= {K}"),
-        )
-        add(f"search_{low}_every50", lambda s, d, m=m: wide(index(s, d, 2, m), asked(s, d)), _found(2, m, which, most))
-    add("leaf_visit_order_every50", lambda s, d: S.visit_order(index(s, d), asked(s, d)).select("qid", "leaf", "leaf_rank"), _with(searching(2, "IP", which), "select qid, leaf, leaf_rank from rk"))
-    for levels in (1, 3):
-        add(f"search_{levels}level" + "s" * (levels > 1) + "_every50", lambda s, d, n=levels: wide(index(s, d, n), asked(s, d)), _found(levels, "IP", which, most))
-    add("search_exclude_every50", lambda s, d: wide(index(s, d), asked(s, d), drop(s)), _found(2, "IP", which, most, gone))
-    add("search_expand_every50", lambda s, d: rounded(S.search(index(s, d), asked(s, d), 60, 1), "dist"), first(rounds(60, 1, -1, which=which), 60))
-    add("search_capped_every50", lambda s, d: rounded(S.search(index(s, d), asked(s, d), 60, 1, max_increments=1), "dist"), first(rounds(60, 1, 1, which=which), 60))
-    add("search_page2_every50", lambda s, d: rounded(S.open_session(index(s, d), asked(s, d), K, 2).page(1), "dist"), page(rounds(K, 2, -1, which=which), K, 2 * K))
-    add("search_pages_concat_every50", lambda s, d: rounded(S.open_session(index(s, d), asked(s, d), K, 2).pool, "dist"), page(rounds(K, 2, -1, which=which), 0, 10**9))
-    add("search_batch_wide", lambda s, d: wide(index(s, d), queries_of(s, d, F.col("item_id") % BATCH_EVERY == 0)), _found(2, "IP", many, most))
-
     def recall_by_share(s: SparkSession, d: str) -> DataFrame:
         q, ix, out = asked(s, d).persist(), index(s, d), None
         exact = S.brute_force(vectors(s, d), q, K, "IP").persist()
@@ -313,7 +298,7 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
     shares = f"(values {', '.join(f'({p})' for p in SHARES)}) t(p)"
     share_sql = _with(
         [
-            *searching(2, "IP", which),
+            *searching(2, "IP"),
             f"ex as (select qid, vec_id from (select qid, v.vec_id, row_number() over (partition by qid order by {_cost('IP', 'v.e', 'qv')}, v.vec_id) r from v, q) where r <= {K})",
             "bs as (select p, (n * p + 99) // 100 b from (select count(distinct leaf) n from items), " + shares + ")",
             f"fo as (select p, qid, vec_id from (select p, qid, vec_id, row_number() over (partition by p, qid order by dist, vec_id) r from pool, bs where leaf_rank <= b) where r <= {K})",
@@ -327,11 +312,18 @@ def _registry() -> tuple[dict[str, Query], dict[str, str]]:
         from dataclasses import replace
 
         whole, v = index(s, d), vectors(s, d)
-        grown = replace(whole, items=whole.items.limit(0)).append(v.filter("item_id % 2 = 0")).append(v.filter("item_id % 2 = 1"))
+        grown = replace(whole, items=whole.items.limit(0), counts=whole.counts.limit(0)).append(v.filter("item_id % 2 = 0")).append(v.filter("item_id % 2 = 1"))
         return grown.items.select("item_id", "leaf")
 
     add("append_batches", appended, _with(tree(2, "IP"), "select vec_id item_id, leaf from items"))
 
+    def repeated(s: SparkSession, d: str) -> DataFrame:
+        return index(s, d).append(vectors(s, d).withColumn("item_id", F.expr("item_id div 2"))).items.select("item_id", "leaf")
+
+    add("append_repeated_ids", repeated, _with(tree(2, "IP"), "select vec_id item_id, leaf from items union all select vec_id // 2, leaf from items"))
+    held = " union all ".join(f"select {n}::int \"level\", node, {str(n <= 2).lower()} loaded from n{n}" for n in (1, 2, 3))
+    add("cache_state", lambda s, d: stats.NodeCache(index(s, d, 3), prefetch=2).wait().state(), _with(tree(3, "IP"), held))
+
     def evict(s: SparkSession, d: str) -> DataFrame:
         events = s.read.parquet(f"{d}/events.parquet")
         return stats.eviction_plan(events, LRU_KEEP, "user_id", "event_id")

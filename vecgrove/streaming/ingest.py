@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.index import VectorIndex
+from ..plans.index import STREAMED, VectorIndex
 
 
 def ingest(stream: DataFrame, index: VectorIndex, path: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -24,8 +24,6 @@ def ingest(stream: DataFrame, index: VectorIndex, path: str, checkpoint: str, **
 
 
 def with_stream(index: VectorIndex, path: str) -> VectorIndex:
-    """The index together with what streams have added to it."""
-    from dataclasses import replace
-
-    added = index.items.sparkSession.read.parquet(f"{path}/stream").select("item_id", "leaf", "embedding")
-    return replace(index, items=index.items.unionByName(added), counts=None)
+    """The index together with what streams have added to it at ``path``; a
+    loaded index has it already."""
+    return index.with_items(index.items.sparkSession.read.schema(STREAMED).parquet(f"{path}/stream"))
