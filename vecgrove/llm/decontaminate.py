@@ -268,20 +268,41 @@ class Passages:
         # two halves make a band; a half that has no right neighbour stands alone
         joined = np.concatenate([(item[1:] == item[:-1]) & (text[1:] == text[:-1]) & (band[1:] == band[:-1] + 1), [False]])
         both = counts + np.where(joined, np.append(counts[1:], 0), 0)[: len(counts)]
-        pick_ = np.flatnonzero(both >= self.need[item])
-        for e in np.unique(self.edits[item[pick_]]).tolist():
-            mine = pick_[self.edits[item[pick_]] == e]
+        enough = np.flatnonzero(both >= self.need[item])
+
+        def keep(which: np.ndarray, edits: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+            for t, i, n, *found in zip(text[which].tolist(), item[which].tolist(), both[which].tolist(), edits.tolist(), begin.tolist(), end.tolist()):
+                if (t, i) not in out or tuple(found) < out[t, i][:3]:
+                    out[t, i] = (*found, n)
+
+        # as it stands: all q-grams of the passage are there, and a plain search tells
+        rest = np.ones(len(enough), bool)
+        for k in np.flatnonzero(both[enough] >= self.size[item[enough]] + 1 - self.q).tolist():
+            x = enough[k]
+            i, t, e = int(item[x]), int(text[x]), int(self.edits[item[x]])
+            begin = max(0, int(band[x]) * (e + 1))
+            window, mine = c[at[t] + begin : min(at[t + 1], at[t] + begin + 2 * (e + 1) + int(self.size[i]))].tobytes(), self.chars[i].tobytes()
+            place = window.find(mine)
+            while place > 0 and place % 4:  # a find between two code points
+                place = window.find(mine, place + 1)
+            if place >= 0:
+                rest[k] = False
+                keep(enough[k : k + 1], np.zeros(1, np.int64), np.array([begin + place // 4]), np.array([begin + place // 4 + int(self.size[i])]))
+        enough = enough[rest]
+        # bands of several widths side by side; a wider band finds no less
+        wide = 1 << np.ceil(np.log2(np.maximum(self.edits[item[enough]], 1))).astype(np.int64)
+        wide = np.where(self.edits[item[enough]] == 0, 0, wide)
+        for e in np.unique(wide).tolist():
+            mine = enough[wide == e]
             mine = mine[np.lexsort((item[mine], band[mine], text[mine]))]
             block = max(1, CELLS // (5 * e + 2))
             for k in range(0, len(mine), block):
                 x = mine[k : k + block]
-                x = x[align(self, item[x], c, at[text[x]], at[text[x] + 1], band[x] * (e + 1), e, places=False)[0]]
-                t = text[x]
-                # edits in the first characters put all shared q-grams to the right of the beginning
-                for p, cost, begin, end in zip(*(v.tolist() for v in align(self, item[x], c, at[t], at[t + 1], band[x] * (e + 1), e))):
-                    pair, got = (int(t[p]), int(item[x[p]])), (cost, begin, end, int(both[x[p]]))
-                    if pair not in out or got[:3] < out[pair][:3]:
-                        out[pair] = got
+                where = lambda x: (item[x], c, at[text[x]], at[text[x] + 1], band[x] * (self.edits[item[x]] + 1), e)  # noqa: B023, E731
+                x = x[align(self, *where(x), places=False)[0]]
+                p, cost, begin, end = align(self, *where(x))
+                few = cost <= self.edits[item[x[p]]]
+                keep(x[p[few]], cost[few], begin[few], end[few])
 
 
 def by_gram(ids: list, chars: list[np.ndarray], q: int, percent: int) -> list[Passages]:
@@ -340,7 +361,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
                 fs, path = filesystem(place)
                 with fs.open_input_stream(path) as f:
                     mine[place] = by_gram(*pickle.loads(f.read()), q, percent)
-            for batch in slices(batches, "text", 2_000_000):
+            for batch in slices(batches, "text", 6_000_000):
                 names, ties, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
                 chars = code_points(texts(batch, "text"))
                 for sized in mine[place]:
