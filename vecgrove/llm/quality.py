@@ -8,6 +8,8 @@ one row: no shuffle, no Python.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,21 @@ END_MARKS = r"""[.!?…。！？:;]["'”’»)\]]*\s*$"""
 INNER_END, PROSE_WORDS = r"""[.!?]["'”’»)\]]*\s""", 12
 SYMBOLS = "[#*$%&|<>]"
 SHOUTS = r"!!"
-MENU = r"(?i)^\W*(home|menu|login|log in|sign in|sign up|register|next|previous|back to top|click here|read more|share|tweet|skip to content)\b[^.]{0,40}$"
-BOILERPLATE = r"(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie policy|uses cookies|enable javascript|lorem ipsum|subscribe to our|powered by wordpress)"
+#: Beginnings of menu lines, in English, German, French and Spanish; a dot stands for a letter with a mark.
+MENU_WORDS = (
+    "home", "menu", "login", "log in", "sign in", "sign up", "register", "next", "previous", "back to top", "click here", "read more", "share", "tweet", "skip to content",
+    "startseite", "anmelden", "registrieren", "weiterlesen", "mehr lesen", "nach oben", "zum inhalt springen", "teilen", "impressum",
+    "accueil", "connexion", "se connecter", "lire la suite", "en savoir plus", "retour en haut", "aller au contenu", "partager",
+    "inicio", "iniciar sesi.n", "registrarse", "leer m.s", "volver arriba", "saltar al contenido", "compartir",
+)
+MENU = r"(?i)^\W*(" + "|".join(MENU_WORDS) + r")\b[^.]{0,40}$"
+#: What boilerplate lines hold, in lower case, in the same languages.
+BOILERPLATE = (
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "uses cookies", "enable javascript", "lorem ipsum", "subscribe to our", "powered by wordpress",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "verwendet cookies", "javascript aktivieren", "newsletter abonnieren",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "mentions légales", "utilise des cookies", "activer javascript", "abonnez-vous à",
+    "todos los derechos reservados", "términos de uso", "términos y condiciones", "política de privacidad", "aviso legal", "utiliza cookies", "activar javascript", "suscríbete a",
+)
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: A document may lose this share of its word characters.
 MAX_LOST_PERCENT = 30
@@ -78,17 +93,18 @@ def repeated_words(words: Column) -> Column:
 
 
 def line_verdict(line: Column) -> Column:
-    """Null for a line that stays, else the name of the first rule it fails.
-    Lines without a word always stay."""
+    """Null for a line that stays, else the name of a rule that it fails, the
+    cheap ones first. Lines without a word always stay. Words are counted only
+    where a rule comes down to their number."""
     n_words = F.size(F.split(F.trim(line), GAP))
-    symbols = F.regexp_count(line, F.lit(SYMBOLS))
     return (
         F.when(~line.rlike(f"[^{WORD_GAP}]"), F.lit(None).cast("string"))
-        .when(line.rlike(BOILERPLATE), F.lit("boilerplate"))
-        .when((F.size(F.split(line, r"\|")) > 3) | line.rlike(MENU), F.lit("navigation"))
+        .when(F.contains(line, F.lit("|")) & (F.size(F.split(line, r"\|")) > 3), F.lit("navigation"))
         .when(~line.rlike(END_MARKS) & ((n_words < PROSE_WORDS) | ~line.rlike(INNER_END)), F.lit("punctuation"))
-        .when(symbols * 4 > n_words, F.lit("punctuation"))
-        .when((F.size(F.split(line, SHOUTS)) - 1) * 4 > n_words, F.lit("punctuation"))
+        .when(line.rlike(SYMBOLS) & (F.regexp_count(line, F.lit(SYMBOLS)) * 4 > n_words), F.lit("punctuation"))
+        .when(F.contains(line, F.lit(SHOUTS)) & ((F.size(F.split(line, SHOUTS)) - 1) * 4 > n_words), F.lit("punctuation"))
+        .when(let(F.lower(line), lambda x: reduce(Column.__or__, (F.contains(x, F.lit(p)) for p in BOILERPLATE))), F.lit("boilerplate"))
+        .when(line.rlike(MENU), F.lit("navigation"))
     )
 
 

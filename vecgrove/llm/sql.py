@@ -42,8 +42,9 @@ def op2() -> str:
     q = quality
     words = f"len(string_split_regex(trim(x), '{_GAP}'))"
     count = lambda p: f"len(regexp_extract_all(x, {_quoted(p)}))"
+    boiler = "(" + " or ".join(f"contains(lower(x), {_quoted(p)})" for p in q.BOILERPLATE) + ")"
     fails = f"""regexp_matches(x, '{_WORD}') and (
-      regexp_matches(x, {_quoted(q.BOILERPLATE)}) or len(string_split(x, '|')) > 3 or regexp_matches(x, {_quoted(q.MENU)})
+      {boiler} or len(string_split(x, '|')) > 3 or regexp_matches(x, {_quoted(q.MENU)})
       or (not regexp_matches(x, {_quoted(q.END_MARKS)}) and ({words} < {q.PROSE_WORDS} or not regexp_matches(x, {_quoted(q.INNER_END)})))
       or {count(q.SYMBOLS)} * 4 > {words} or (len(string_split(x, '{q.SHOUTS}')) - 1) * 4 > {words})"""
     return f"""

@@ -16,8 +16,9 @@ import struct
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,8 @@ from .common import filesystem, pick, slices
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 #: Smallest payload, in bytes, of which later copies become revisits.
 LEAST = 100
+#: Records that follow each other are read together up to so many bytes.
+READ_BYTES = 4_000_000
 SALTS = 16
 
 
@@ -105,6 +108,19 @@ class Package:
             raise ValueError("range beyond the member")
         return self.file.read_at(size, self.begin[name] + at)
 
+    def pieces(self, name: str, ranges: Iterable[tuple[int, int]], most: int = READ_BYTES) -> Iterator[bytes]:
+        """The byte ranges of a stored member, in their order; neighbours come
+        by one read of up to ``most`` bytes (or of one range, if that is longer)."""
+        near: list[tuple[int, int]] = []
+        for at, size in chain(ranges, [(-1, 0)]):
+            follows = near and at == sum(near[-1])
+            if near and (not follows or at + size - near[0][0] > most):
+                begin = near[0][0]
+                raw = self.read(name, begin, sum(near[-1]) - begin)
+                yield from (raw[a - begin : a - begin + n] for a, n in near)
+                near = []
+            near.append((at, size))
+
 
 # ---- WARC
 
@@ -225,9 +241,8 @@ def read_archives(spark: SparkSession, places: list[str], payload: bool = True)
             for n in batch.column(0).to_pylist():
                 pack = Package(places[n])
                 rows, held = [], 0
-                for line in pack.read(INDEX).splitlines():
-                    where = json.loads(line)
-                    rows.append(one(pack.read(DATA, where["offset"], where["length"])))
+                for raw in pack.pieces(DATA, ((x["offset"], x["length"]) for x in map(json.loads, pack.read(INDEX).splitlines()))):
+                    rows.append(one(raw))
                     held += 200 + len(rows[-1][-1] or b"")
                     if held > 4_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
