@@ -2,7 +2,8 @@
 
 1. Every text becomes its set of word n-gram fingerprints. Equal sets form one
    class; only classes are compared.
-2. The n-grams have one global order, that of their fingerprints. Two sets as
+2. The n-grams have one global order, that of their fingerprints, in the sets
+   and in the tree. Two sets as
    similar as asked have l n-grams in common among the first ``size -
    ceil(t * size) + l`` of each. Counted over all classes, these beginnings give
    a second order, rare n-grams first, in which each beginning but its last
@@ -11,10 +12,13 @@
    and drops out, and with it the classes that share nothing else.
 3. Classes that share one of the n-grams left meet under the group's smallest
    one, the pivot. Each pair that can link has a pivot in common. Large groups
-   are cut into blocks, and pairs of blocks go to tasks.
-4. In a task the sets, their n-grams in one order, are stored in a prefix tree.
-   A probe walks down it; the overlap of a shared beginning is counted once, and
-   a subtree is left when what remains can't reach the overlap it needs. A task
+   are cut into blocks. Where links are not counted, a block's sets are first
+   compared with the pivot's, and only those that don't link with it go on to
+   ask all blocks; else pairs of blocks go to tasks.
+4. In a task the sets are stored in a prefix tree. A probe walks down it; the
+   overlap of a shared beginning is counted once, and a subtree is left when the
+   probe's items behind the path, or those that the longest set below still has,
+   can't make up the overlap it needs. A task
    returns a spanning forest of its links, not all pairs, and how many links
    each set has; a pair that meets in several tasks counts under its first pivot.
 5. Smallest labels travel along the links, with shortcuts, until all agree.
@@ -22,7 +26,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,16 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh_dir, kept, pick, settle, slices
-from .recompression import NO_ID, _delta, _doc_bucket, _Docs, _pack, _split, _unpack
+from .common import fresh_dir, pick, settle, slices
+from .flags import flag, flagged, load_flags
+from .packed import _pack, _split, _unpack
+from .recompression import NO_ID, _delta, _doc_bucket, _Docs
 from .words import mix, range_hash, words
 
 GRAM, NUM, DEN = 5, 75, 100
-#: Cells of a filter over classes or documents; it only saves work.
-SEEN_SLICES, SEEN_BITS = 32, 27
-SEEN_BYTES = (1 << SEEN_BITS) // 8 // SEEN_SLICES
-#: N-grams of the sets in one block.
-BLOCK = 2_000_000
+#: N-grams of the sets in one block, and in all sets for each group of a dealing.
+BLOCK, PART_GRAMS = 2_000_000, 5_000_000
+#: Pivots with several blocks that are sent to the workers; more are joined.
+SENT_PIVOTS = 100_000
 
 
 def gram_sets(batch: pa.RecordBatch, gram: int) -> Iterator[np.ndarray]:
@@ -78,10 +82,11 @@ def proof_size(n: int, num: int, den: int) -> int:
 
 
 class Tree:
-    """Sets as paths of item numbers (ascending, common items first); chains
-    without a branch are one node. ``items`` of node k: flat[begin[k]:end[k]]."""
+    """Sets as paths of item numbers, ascending in the one order of all n-grams;
+    chains without a branch are one node. Items of node k: flat[begin[k]:end[k]]."""
 
     def __init__(self, sets: list[np.ndarray]):
+        self.visited = 0
         order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u4").tobytes())
         self.parent, self.begin, self.end, self.depth, self.ends_here, self.kids = [-1], [0], [0], [0], [[]], [[]]
         flat, at, path, last = [], 0, [0], np.empty(0, np.int64)
@@ -122,26 +127,31 @@ class Tree:
             col.append(v)
         return len(self.parent) - 1
 
-    def probe(self, inside: np.ndarray, size: int, num: int, den: int) -> Iterator[tuple[int, int]]:
-        """(set, overlap) of the sets as similar to the probe as asked;
-        ``inside`` marks its items."""
-        # the first item number from which the probe has none left bounds what can still match
-        left_of = size
-        stack = [(0, 0)]
+    def probe(self, items: np.ndarray, inside: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
+        """(set, overlap) of the sets as similar to the probe as asked. ``items``
+        are the probe's, ascending; ``inside`` marks them. ``visited`` counts
+        the nodes whose items were looked at."""
+        size = len(items)
+        stack = [(0, 0, size)]
         while stack:
-            node, have = stack.pop()
+            node, have, left = stack.pop()
             if self.least[node] * num > size * den or self.most[node] * den < size * num:
                 continue
-            a, b = self.begin[node], self.end[node]
-            have += int(np.count_nonzero(inside[self.flat[a:b]]))
-            # overlap * (num + den) >= num * (size + other size), least for the smallest set below
-            most = have + min(left_of - have, self.most[node] - self.depth[node])
-            if most * (num + den) < num * (size + self.least[node]):
+            # overlap * (num + den) >= num * (size + other size), least for the smallest set below; what
+            # can still match are the probe's items behind the path, and the items from here to the largest set's end
+            need, a, b = num * (size + self.least[node]), self.begin[node], self.end[node]
+            if (have + min(left, self.most[node] - self.depth[node] + b - a)) * (num + den) < need:
                 continue
+            self.visited += 1
+            if a < b:
+                have += int(np.count_nonzero(inside[self.flat[a:b]]))
+                left = size - int(np.searchsorted(items, self.flat[b - 1], "right"))
+                if (have + min(left, self.most[node] - self.depth[node])) * (num + den) < need:
+                    continue
             for k in self.ends_here[node]:
                 if have * (num + den) >= num * (size + self.depth[node]):
                     yield k, have
-            stack += [(c, have) for c in self.kids[node]]
+            stack += [(c, have, left) for c in self.kids[node]]
 
 
 def tree_links(sets: list[np.ndarray], side: list[int] | None, num: int, den: int, earlier: list[frozenset] | None = None, degree: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -149,12 +159,9 @@ def tree_links(sets: list[np.ndarray], side: list[int] | None, num: int, den: in
     those of side 0, kept in the tree, and the probes of side 1). ``degree``
     takes up the number of links of each set, but for those of two sets that
     have one of ``earlier`` in common."""
-    vocab, number, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(vocab), np.int64)
-    rank[np.lexsort((vocab, -counts))] = np.arange(len(vocab))
+    vocab, number = np.unique(np.concatenate(sets), return_inverse=True)  # numbers follow the order of the n-grams
     ends = np.cumsum([0, *map(len, sets)])
-    number = rank[number]
-    paths = [np.sort(number[a:b]) for a, b in zip(ends, ends[1:])]
+    paths = [number[a:b] for a, b in zip(ends, ends[1:])]
     stored = [k for k in range(len(sets)) if side is None or side[k] == 0]
     tree, inside = Tree([paths[k] for k in stored]), np.zeros(len(vocab), bool)
     root = list(range(len(sets)))
@@ -170,7 +177,7 @@ def tree_links(sets: list[np.ndarray], side: list[int] | None, num: int, den: in
         if side is not None and side[k] == 0:
             continue
         inside[paths[k]] = True
-        for other, _ in tree.probe(inside, len(paths[k]), num, den):
+        for other, _ in tree.probe(paths[k], inside, num, den):
             o = stored[other]
             if degree is not None and (o < k or side is not None) and (earlier is None or earlier[k].isdisjoint(earlier[o])):
                 degree[k] += 1
@@ -185,62 +192,6 @@ def tree_links(sets: list[np.ndarray], side: list[int] | None, num: int, den: in
     return links
 
 
-# ---- tables of fixed size
-
-
-def _write(out_dir: str, name: str, data: bytes) -> str:
-    place = f"{out_dir}/{name}-{uuid.uuid4().hex}"
-    fs, path = filesystem(place)
-    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with fs.open_output_stream(path) as out:
-        out.write(data)
-    return place
-
-
-def _load(made: tuple[tuple[int, str], ...], slice_bytes: int) -> np.ndarray:
-    """Slices put together, one byte or eight flags a cell; kept by this worker."""
-    loaded = kept("jaccard")
-    if made not in loaded:
-        loaded.clear()
-        out = np.zeros((SEEN_SLICES, slice_bytes), np.uint8)
-        for k, place in made:
-            fs, path = filesystem(place)
-            with fs.open_input_stream(path) as f:
-                out[k] = np.frombuffer(f.read(), np.uint8)
-        loaded[made] = out.ravel()
-    return loaded[made]
-
-
-def _cells(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (mix(a.astype(np.uint64) ^ mix(b.astype(np.uint64))) >> np.uint64(64 - SEEN_BITS)).astype(np.int64)
-
-
-def flagged(bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the filter knows each pair of keys (sometimes of one it doesn't)."""
-    cell = _cells(a, b)
-    return ((bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1).astype(bool)
-
-
-def flag(keys: DataFrame, out_dir: str) -> tuple[tuple[int, str], ...]:
-    """Write a filter over the key pairs ``a, b`` as slices of fixed size."""
-    per_slice = SEEN_BYTES * 8
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell = np.unique(_cells(batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-            got = [(k, _pack(cell[x].astype("<i4"))) for k, x in _split(cell // per_slice, SEEN_SLICES)]
-            yield pa.RecordBatch.from_pydict({"part": pa.array([k for k, _ in got], pa.int32()), "blob": pa.array([b for _, b in got], pa.binary())})
-
-    def write(table: pa.Table) -> pa.Table:
-        k, bits = table.column("part")[0].as_py(), np.zeros(per_slice, np.uint8)
-        for blob in table.column("blob").to_pylist():
-            bits[_unpack(blob, "<i4")[0] % per_slice] = 1
-        return pa.table({"part": pa.array([k], pa.int32()), "place": [_write(out_dir, f"filter-{k}", np.packbits(bits).tobytes())]})
-
-    made = keys.mapInArrow(deal, "part int, blob binary").groupBy("part").applyInArrow(write, "part int, place string").collect()
-    return tuple(sorted((r.part, r.place) for r in made))
-
-
 # ---- Spark
 
 
@@ -259,7 +210,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and gives a null component. Other columns are not read.
     """
     spark = df.sparkSession
-    out_dir, n_out = fresh_dir(spark, "jaccard"), max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    out_dir = fresh_dir(spark, "jaccard")
     rows = pick(df, doc_id=id_col, text=text_col).select(
         F.col("doc_id").cast("bigint"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
@@ -267,13 +218,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # sets in outline
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept("jaccard").clear()
         for batch in slices(batches, "text"):
             info = [(*set_print(g), len(g)) for g in gram_sets(batch, gram)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(c, pa.int64()) for c in zip(*info))], names=["doc_id", "doc", "tie", "class_1", "class_2", "n"])
 
     docs = settle(rows.select("doc_id", "doc", "tie", "text").mapInArrow(outline, "doc_id bigint, doc bigint, tie bigint, class_1 bigint, class_2 bigint, n bigint"), "outline")
     classes = settle(docs.filter("n > 0").groupBy("class_1", "class_2").agg(F.min(F.struct("doc", "tie")).alias("first"), F.first("n").alias("n")), "classes")
+    n_out = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(docs.agg(F.sum("n")).first()[0] or 0) // PART_GRAMS), 1)
 
     # beginnings
     def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,38 +332,70 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     packed = "part int, blob binary"
     begun = rows.select("text").mapInArrow(beginnings, packed)
     for step in (stars, choose, meet):
-        begun = begun.groupBy("part").applyInArrow(step, packed)
-    pairs = settle(begun.groupBy("part").applyInArrow(unique_pairs, "p1 bigint, p2 bigint, class_1 bigint, class_2 bigint"), "pairs")
+        begun = begun.repartition(n_out, "part").groupBy("part").applyInArrow(step, packed)
+    pairs = settle(begun.repartition(n_out, "part").groupBy("part").applyInArrow(unique_pairs, "p1 bigint, p2 bigint, class_1 bigint, class_2 bigint"), "pairs")
     member = pairs.union(pairs.select("p1", "p2", F.col("p1").alias("class_1"), F.col("p2").alias("class_2")).distinct()).join(classes, ["class_1", "class_2"])
-    blocks = member.groupBy("p1", "p2").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    member = settle(member.join(blocks, ["p1", "p2"]), "members")
+    large = settle(member.groupBy("p1", "p2").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1"), "blocks")
+    large = F.broadcast(large) if large.count() <= SENT_PIVOTS else large
+    member = settle(member.join(large, ["p1", "p2"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), "members")
 
     # the sets of the members, from the first document of each class
-    seen = flag(member.select(F.col("first.doc").alias("a"), F.col("first.tie").alias("b")).distinct(), out_dir)
+    wanted = member.select(F.col("first.doc").alias("doc"), F.col("first.tie").alias("tie")).distinct()
+    seen = flag(wanted, out_dir)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _load(seen, SEEN_BYTES)
+        table = None if seen is None else load_flags("jaccard", seen)
         for batch in slices(batches, "text"):
-            hit = np.flatnonzero(flagged(bits, batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            hit = np.arange(batch.num_rows) if seen is None else np.flatnonzero(flagged(table, batch.column(0).to_numpy(), batch.column(1).to_numpy()))
             if len(hit):
                 part = batch.take(pa.array(hit))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([g.tobytes() for g in gram_sets(part, gram)], pa.binary())], names=["doc", "tie", "grams"])
 
-    sets = rows.select("doc", "tie", "text").mapInArrow(sets_of, "doc bigint, tie bigint, grams binary").groupBy("doc", "tie").agg(F.first("grams").alias("grams"))
-    # the pivots of a class that come before the one it meets others under
+    def with_pivot(table: pa.Table) -> pa.Table:
+        """The members of a block, with the pivot where they link with it."""
+        mine = table.column("is_pivot").to_numpy()
+        pivot = np.frombuffer(table.column("grams")[int(np.flatnonzero(mine)[0])].as_py(), np.uint64)
+        doc, tie = (table.column(x).to_numpy()[mine][0] for x in ("doc", "tie"))
+        table = table.filter(pa.array(~mine))
+        links = np.zeros(table.num_rows, bool)
+        for k, grams in enumerate(np.frombuffer(b, np.uint64) for b in table.column("grams").to_pylist()):
+            shared = np.count_nonzero(pivot[np.minimum(np.searchsorted(pivot, grams), len(pivot) - 1)] == grams)
+            links[k] = shared * (num + den) >= num * (len(pivot) + len(grams))
+        out = table.select(["p1", "p2", "own", "doc", "tie", "n", "blocks"])
+        return out.append_column("u_doc", pa.array(np.full(len(links), doc), mask=~links)).append_column("u_tie", pa.array(np.full(len(links), tie), mask=~links))
+
+    first_rows = rows.select("doc", "tie", "text") if seen else rows.select("doc", "tie", "text").join(wanted, ["doc", "tie"], "left_semi")
+    sets = first_rows.mapInArrow(sets_of, "doc bigint, tie bigint, grams binary").groupBy("doc", "tie").agg(F.first("grams").alias("grams"))
+    member = member.withColumn("own", F.pmod(F.xxhash64("class_1", "class_2"), F.col("blocks")).cast("int")).withColumns({"doc": F.col("first.doc"), "tie": F.col("first.tie")})
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    to_pivot = None
     if count_links:
+        # the pivots of a class that come before the one it meets others under
         pivot = F.unhex(F.concat(F.lpad(F.hex("p1"), 16, "0"), F.lpad(F.hex("p2"), 16, "0")))
         several = member.select("class_1", "class_2", pivot.alias("pivot")).groupBy("class_1", "class_2").agg(F.collect_set("pivot").alias("pivots")).filter(F.size("pivots") > 1)
         member = member.join(several, ["class_1", "class_2"], "left").withColumn("earlier", F.filter("pivots", lambda x: x < pivot)).drop("pivots")
+        dealt = member.select("p1", "p2", "doc", "tie", "earlier", "own", every(F.col("blocks")).alias("other"))
+        side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") > F.col("other"), 1).otherwise(0)
+        dealt = dealt.select("p1", "p2", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "doc", "tie", "earlier")
     else:
-        member = member.withColumn("earlier", F.lit(None).cast("array<binary>"))
-    dealt = member.withColumn("own", F.pmod(F.xxhash64("class_1", "class_2"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("p1", "p2", "first", "earlier", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("p1", "p2", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), F.col("first.doc").alias("doc"), F.col("first.tie").alias("tie"), "earlier")
+        # in groups of several blocks all are compared with the pivot; only those that don't link with it meet all the others
+        none, is_pivot = F.lit(None).cast("array<binary>").alias("earlier"), (F.col("class_1") == F.col("p1")) & (F.col("class_2") == F.col("p2"))
+        dealt = member.filter("blocks = 1").select("p1", "p2", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("side"), "doc", "tie", none)
+        large = member.filter("blocks > 1")
+        if not large.isEmpty():
+            sets = settle(sets, "sets")
+            meet_pivot = large.filter(~is_pivot).select("p1", "p2", "own", "doc", "tie", "n", "blocks", F.lit(False).alias("is_pivot"))
+            meet_pivot = meet_pivot.union(large.filter(is_pivot).select("p1", "p2", every(F.col("blocks")).alias("own"), "doc", "tie", "n", "blocks", F.lit(True)))
+            to_pivot = settle(meet_pivot.join(sets, ["doc", "tie"]).groupBy("p1", "p2", "own").applyInArrow(with_pivot, "p1 bigint, p2 bigint, own int, doc bigint, tie bigint, n bigint, blocks int, u_doc bigint, u_tie bigint"), "pivots")
+            apart = to_pivot.filter("u_doc is null")
+            probes = apart.groupBy("p1", "p2").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("probes"))
+            stored = to_pivot.join(probes, ["p1", "p2"]).select("p1", "p2", F.col("own").alias("i"), every(F.col("probes")).alias("j"), F.lit(0).alias("side"), "doc", "tie", none)
+            asking = apart.join(probes, ["p1", "p2"]).select("p1", "p2", every(F.col("blocks")).alias("i"), F.pmod(F.xxhash64("doc", "tie", F.lit(1)), F.col("probes")).cast("int").alias("j"), F.lit(1).alias("side"), "doc", "tie", none)
+            dealt = dealt.union(stored).union(asking)
 
     def join(table: pa.Table) -> pa.Table:
         found = [np.frombuffer(b, np.uint64) for b in table.column("grams").to_pylist()]
-        side = table.column("side").to_pylist() if table.column("i")[0] != table.column("j")[0] else None
+        side = table.column("side").to_pylist() if table.column("side")[0].as_py() >= 0 else None
         doc, tie = table.column("doc").to_numpy(), table.column("tie").to_numpy()
         degree = np.zeros(len(found), np.int64)
         known = ([frozenset(x or ()) for x in table.column("earlier").to_pylist()], degree) if count_links else ()
@@ -423,7 +406,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pa.table({"u_doc": doc[a], "u_tie": tie[a], "v_doc": doc[b], "v_tie": tie[b], "n_links": np.append(np.zeros(len(pairs), np.int64), degree[own])})
 
     met = settle(dealt.join(sets, ["doc", "tie"]).groupBy("p1", "p2", "i", "j").applyInArrow(join, "u_doc bigint, u_tie bigint, v_doc bigint, v_tie bigint, n_links bigint"), "links")
-    links, counted = met.filter("n_links = 0"), met.filter("n_links > 0").groupBy(F.struct(F.col("u_doc").alias("doc"), F.col("u_tie").alias("tie")).alias("node")).agg(F.sum("n_links").alias("n_links"))
+    links = met.filter("n_links = 0")
+    if to_pivot is not None:
+        links = links.unionByName(to_pivot.filter("u_doc is not null").select("u_doc", "u_tie", F.col("doc").alias("v_doc"), F.col("tie").alias("v_tie"), F.lit(0).cast("bigint").alias("n_links")))
+    counted = met.filter("n_links > 0").groupBy(F.struct(F.col("u_doc").alias("doc"), F.col("u_tie").alias("tie")).alias("node")).agg(F.sum("n_links").alias("n_links"))
     label = components(links.select(F.struct(F.col("u_doc").alias("doc"), F.col("u_tie").alias("tie")).alias("u"), F.struct(F.col("v_doc").alias("doc"), F.col("v_tie").alias("tie")).alias("v")))
     named = settle(classes.withColumnRenamed("first", "node").join(label, "node", "left").join(counted, "node", "left").select("class_1", "class_2", F.coalesce("label", "node").alias("component"), "n_links", F.col("node.doc").alias("class_doc")), "named")
     result = docs.join(named, ["class_1", "class_2"], "left").withColumn("class_doc", F.when(F.col("n") > 0, F.col("class_doc"))).withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.struct("doc", "tie")))
