@@ -28,20 +28,23 @@ def _with_text(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others lose the lines that fail a rule."""
+    """Rejected documents go; the others lose the lines that fail a rule. Rows
+    are judged one by one, so identifiers don't matter; null and empty texts go."""
     return _with_text(assess(docs, carry=True).filter("kept"), docs.columns, "cleaned")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs and of long lines go, and documents of
-    nothing else."""
+    nothing else. A null identifier comes first; rows that repeat both identifier
+    and text are one document and fare alike."""
     rows = dedup_lines(docs, carry=True, long_words=LONG_WORDS).filter((F.col("n_removed") == 0) | F.col("cleaned").rlike(r"[^\x20\x09-\x0D]"))
     return _with_text(rows, docs.columns, "cleaned")
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each near-duplicate group stays; of rows that
-    repeat both identifier and text, one."""
+    repeat both identifier and text, one. A null identifier comes first;
+    documents without words link with nothing and stay."""
     found = near_duplicates(docs, count_links=False)
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("tie") == F.col("component_tie"))).select(F.col("doc_id").alias("first_id"), F.col("tie").alias("first_tie")).distinct()
     text = F.coalesce("text", F.lit(""))
