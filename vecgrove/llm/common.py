@@ -14,7 +14,7 @@ from ..sources.scratch import fresh_dir, settle  # noqa: F401
 #: The bytes that separate words: space and TAB..CR, nothing else.
 WORD_GAP = r"\x20\x09-\x0D"
 #: Text whose derived rows meet in one group of an Arrow step.
-PART_BYTES = 32_000_000
+PART_BYTES = 16_000_000
 #: Hadoop's names of stores that pyarrow knows by another.
 _SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
@@ -34,6 +34,23 @@ def kept(owner: str) -> dict:
     return _kept.setdefault(owner, {})
 
 
+def release() -> None:
+    """Give memory that is free back to the machine, after a step that held much:
+    worker processes live on."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def blobs(table: pa.Table) -> list[memoryview]:
+    """The binary values of the column ``blob``, without copies."""
+    return [memoryview(x.as_buffer()) for x in table.column("blob")]
+
+
 def filesystem(url: str):
     """(pyarrow filesystem, path in it) for a URI or a local path."""
     from pyarrow import fs

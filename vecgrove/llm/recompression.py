@@ -28,7 +28,7 @@ number of groups follows from the size of the input.
 
 from __future__ import annotations
 
-import struct
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_for, pick, slices
+from .common import blobs, fresh_dir, parts_for, pick, release, settle, slices
+from .flags import flag, flagged, load_flags
+from .packed import _pack, _split, _unpack  # noqa: F401
 from .words import mix, range_hash, words
 
 WINDOW = 20
 #: Windows of one symbol in one task's batch from which they are dealt by window.
-HOT = 64
+HOT = 128
+#: Bytes of text worked through at once.
+SLICE_BYTES = 1_500_000
 NO_ID = -(1 << 63)
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _FAR = 1 << 40
 
 
@@ -135,25 +140,6 @@ def window_symbols(values: np.ndarray, owner: np.ndarray, width: int, segment: i
 # ---- packed arrays
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    import zstandard
-
-    raw = [np.ascontiguousarray(a) for a in arrays]
-    head = struct.pack(f"<{len(raw)}q", *(a.nbytes for a in raw))
-    return head + zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in raw))
-
-
-def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    import zstandard
-
-    sizes, at, out = struct.unpack_from(f"<{len(kinds)}q", blob), 0, []
-    raw = zstandard.ZstdDecompressor().decompress(blob[8 * len(kinds) :], max_output_size=max(1, sum(sizes)))
-    for n, kind in zip(sizes, kinds):
-        out.append(np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at))
-        at += n
-    return out
-
-
 def _delta(x: np.ndarray) -> np.ndarray:
     return np.diff(x.astype(np.int64), prepend=0).astype(np.int32)
 
@@ -185,15 +171,6 @@ def _repeats(symbol: np.ndarray, print_: np.ndarray, idx: np.ndarray, pos: np.nd
     return order, place != np.repeat(place[head], np.diff(np.append(head, len(order))))
 
 
-def _split(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, indices) of each bucket in use, indices ascending."""
-    order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(n + 1))
-    for k in range(n):
-        if ends[k] < ends[k + 1]:
-            yield k, order[ends[k] : ends[k + 1]]
-
-
 def _doc_bucket(doc: np.ndarray, tie: np.ndarray, n: int) -> np.ndarray:
     return (mix(doc.astype(np.uint64) ^ mix(tie.astype(np.uint64))) % np.uint64(n)).astype(np.int64)
 
@@ -203,10 +180,10 @@ def _doc_bucket(doc: np.ndarray, tie: np.ndarray, n: int) -> np.ndarray:
 
 class _Windows:
     """Windows as they travel: occurrences of symbols (a stretch of windows of
-    one document that follow each other), 48 bits of print for each window, and
-    the names of symbols to be dealt by window."""
+    one document that follow each other) with 40 bits of the name, 48 bits of
+    print for each window, and the names of symbols to be dealt by window."""
 
-    KINDS = ("<i8", "<i4", "<u8", "<i4", "<i4", "<i4", "<u4", "<u2", "<u8")
+    KINDS = ("<i8", "<i4", "<u4", "u1", "<i4", "<i4", "<i4", "<u4", "<u2", "<u8")
 
     @staticmethod
     def pack(doc: np.ndarray, tie: np.ndarray, idx: np.ndarray, pos: np.ndarray, symbol: np.ndarray, print_: np.ndarray, hot: np.ndarray) -> bytes:
@@ -215,28 +192,30 @@ class _Windows:
         head = np.flatnonzero(new)
         used, own = np.unique(idx[head], return_inverse=True)
         size = np.diff(np.append(head, len(idx))).astype("<i4")
-        return _pack(np.diff(doc[used], prepend=0), tie[used].astype("<i4"), symbol[head], _delta(own), _delta(pos[head]), size, (print_ >> np.uint64(16)).astype("<u4"), print_.astype("<u2"), hot.astype("<u8"))
+        return _pack(np.diff(doc[used], prepend=0), tie[used].astype("<i4"), (symbol[head] >> np.uint64(8)).astype("<u4"), symbol[head].astype("u1"), _delta(own), _delta(pos[head]), size, (print_ >> np.uint64(16)).astype("<u4"), print_.astype("<u2"), hot.astype("<u8"))
 
-    def __init__(self, blobs: list[bytes]):
+    def __init__(self, packed: list[memoryview]):
         """Put packed windows together. ``symbol, idx, pos, size`` by occurrence,
-        ``print`` by window, ``at`` where the windows of an occurrence begin."""
-        parts = [_unpack(b, *self.KINDS) for b in blobs]
+        ``high, low`` by window, ``at`` where the windows of an occurrence begin."""
+        parts = [_unpack(b, *self.KINDS) for b in packed]
         self.docs, at, idx = _Docs([(np.cumsum(p[0]), p[1]) for p in parts]), 0, []
         for p in parts:
-            idx.append(self.docs.number[at + np.cumsum(p[3], dtype=np.int64)])
+            idx.append(self.docs.number[at + np.cumsum(p[4], dtype=np.int64)])
             at += len(p[0])
-        self.idx, self.symbol = np.concatenate(idx), np.concatenate([p[2] for p in parts])
-        self.pos = np.concatenate([np.cumsum(p[4], dtype=np.int64) for p in parts])
-        self.size = np.concatenate([p[5] for p in parts]).astype(np.int64)
-        self.print = (np.concatenate([p[6] for p in parts]).astype(np.uint64) << np.uint64(16)) | np.concatenate([p[7] for p in parts])
-        self.hot = np.unique(np.concatenate([p[8] for p in parts]))
+        of = lambda k: np.concatenate([p[k] for p in parts])
+        self.idx, self.symbol = np.concatenate(idx), (of(2).astype(np.uint64) << np.uint64(8)) | of(3)
+        self.high, self.low = of(7), of(8)  # of the prints
+        self.pos = np.concatenate([np.cumsum(p[5], dtype=np.int64) for p in parts])
+        self.size = np.concatenate([p[6] for p in parts]).astype(np.int64)
+        self.hot = np.unique(np.concatenate([p[9] for p in parts]))
         self.at = np.cumsum(self.size) - self.size
 
     def of(self, which: np.ndarray) -> tuple[np.ndarray, ...]:
         """(symbol, print, document, place) of the windows of these occurrences."""
         size = self.size[which]
         within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        return np.repeat(self.symbol[which], size), self.print[np.repeat(self.at[which], size) + within], np.repeat(self.idx[which], size), np.repeat(self.pos[which], size) + within
+        at = np.repeat(self.at[which], size) + within
+        return np.repeat(self.symbol[which], size), (self.high[at].astype(np.uint64) << np.uint64(16)) | self.low[at], np.repeat(self.idx[which], size), np.repeat(self.pos[which], size) + within
 
 
 def _owner(symbol: np.ndarray, n: int) -> np.ndarray:
@@ -260,7 +239,7 @@ def _rows(made: list[tuple[int, bytes]]) -> dict[str, pa.Array]:
 # ---- repeats
 
 
-def repeated_spans(rows: DataFrame, width: int = WINDOW, batch_windows: int = 2_000_000) -> DataFrame:
+def repeated_spans(rows: DataFrame, width: int = WINDOW, batch_windows: int = 1_000_000) -> DataFrame:
     """``doc, tie, spans`` (int32 pairs of word places, packed) of the stretches
     covered by windows that also start earlier; rows ``doc, tie, text``."""
     n_out = parts_for(rows)
@@ -278,7 +257,7 @@ def repeated_spans(rows: DataFrame, width: int = WINDOW, batch_windows: int = 2_
         def flush():
             known = _Docs([(np.concatenate(docs), np.concatenate(ties))])
             symbol, print_, idx, pos = (np.concatenate(x) for x in zip(*held))
-            print_, idx = print_ >> np.uint64(16), known.number[idx]
+            symbol, print_, idx = symbol >> np.uint64(24), print_ >> np.uint64(16), known.number[idx]
             # windows that are here more than once: the earliest goes on, the others are repeats already
             both = symbol ^ mix(print_)
             order = np.argsort(both)
@@ -302,8 +281,8 @@ def repeated_spans(rows: DataFrame, width: int = WINDOW, batch_windows: int = 2_
                 made.append((k, send(np.empty(0, np.int64), hot[x])))
             return pa.RecordBatch.from_pydict(_rows(made))
 
-        for batch in slices(batches, "text"):
-            values, at = words(batch.column(batch.schema.get_field_index("text")))
+        for batch in slices(batches, "text", SLICE_BYTES):
+            values, at = words(batch.column(batch.schema.get_field_index("text")), block=SLICE_BYTES // 2)
             docs.append(batch.column(0).to_numpy(zero_copy_only=False))
             ties.append(batch.column(1).to_numpy(zero_copy_only=False))
             owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
@@ -317,11 +296,13 @@ def repeated_spans(rows: DataFrame, width: int = WINDOW, batch_windows: int = 2_
                 docs, ties, held, n_docs, n = [], [], [], 0, 0
         if n:
             yield flush()
+        held.clear()
+        release()
 
     def reveal(table: pa.Table) -> pa.Table:
         if table.column("part")[0].as_py() >= n_out:
             return table
-        met = _Windows(table.column("blob").to_pylist())
+        met = _Windows(blobs(table))
         order = np.argsort(met.symbol, kind="stable")
         name = met.symbol[order]
         same = name[1:] == name[:-1]
@@ -334,19 +315,21 @@ def repeated_spans(rows: DataFrame, width: int = WINDOW, batch_windows: int = 2_
         symbol, print_, idx, pos = met.of(np.sort(order[is_hot]))
         for k, x in _split(_spread(symbol, print_, n_out), n_out):
             made.append((n_out + k, _Windows.pack(met.docs.doc, met.docs.tie, idx[x], pos[x], symbol[x], print_[x], np.empty(0, np.uint64))))
+        del met, symbol, print_, idx, pos, order, name
+        release()
         return pa.table(_rows(made))
 
     def verify(table: pa.Table) -> pa.Table:
         if table.column("part")[0].as_py() >= 2 * n_out:
             return table
-        met = _Windows(table.column("blob").to_pylist())
+        met = _Windows(blobs(table))
         symbol, print_, idx, pos = met.of(np.arange(len(met.symbol)))
         of, repeated = _repeats(symbol, print_, idx, pos)
         mine = of[repeated]
         return pa.table(_rows(back(met.docs, idx[mine], pos[mine])))
 
     def cover(table: pa.Table) -> pa.Table:
-        parts = [_unpack(b, "<i8", "<i4", "<i4", "<i4") for b in table.column("blob").to_pylist()]
+        parts = [_unpack(b, "<i8", "<i4", "<i4", "<i4") for b in blobs(table)]
         known, at, idx = _Docs([(np.cumsum(p[0]), p[1]) for p in parts]), 0, []
         for p in parts:
             idx.append(known.number[at + np.cumsum(p[2], dtype=np.int64)])
@@ -383,30 +366,44 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     rows = rows.withColumn("tie", F.shiftright(F.xxhash64("text"), 32).cast("int"))
     spans = repeated_spans(rows.select("doc", "tie", "text"), width)
-    n = parts_for(rows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        find = re.compile(r"[^\x20\x09-\x0D]+").findall
-        for batch in slices(batches, "text"):
-            size, gone, kept, where = [], [], [], []
-            for text, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                found = find(text)
-                size.append(len(found))
-                pairs = np.frombuffer(packed or b"", "<i4").tolist()
-                left, at = [], 0
-                for a, b in zip(pairs[::2], pairs[1::2]):
-                    left += found[at:a]
-                    at = b
-                left += found[at:]
-                gone.append(len(found) - len(left))
-                kept.append(" ".join(left))
-                where.append(pairs)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(where, pa.list_(pa.int32()))],
-                names=["doc_id", "n_words", "n_removed", "kept", "spans"],
-            )
-
-    joined = rows.repartition(n, "doc", "tie").join(spans.repartition(n, "doc", "tie"), ["doc", "tie"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept string, spans array<int>")
+
+    def clean(ids: pa.Array, found: list[str | None], packed: list[bytes | None]) -> pa.RecordBatch:
+        size, gone, kept, where = [], [], [], []
+        for words_, spans in zip(map(_WORD.findall, found), packed):
+            pairs = np.frombuffer(spans or b"", "<i4").tolist()
+            left, at = [], 0
+            for a, b in zip(pairs[::2], pairs[1::2]):
+                left += words_[at:a]
+                at = b
+            left += words_[at:]
+            size.append(len(words_))
+            gone.append(len(words_) - len(left))
+            kept.append(" ".join(left))
+            where.append(pairs)
+        return pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(where, pa.list_(pa.int32()))], names=["doc_id", "n_words", "n_removed", "kept", "spans"])
+
+    out = "doc_id bigint, n_words bigint, n_removed bigint, kept string, spans array<int>"
+    n, spans = parts_for(rows), settle(spans, "spans")
+    seen = flag(spans.select("doc", "tie"), fresh_dir(df.sparkSession, "spans"))
+
+    def has_spans(batch: pa.RecordBatch) -> np.ndarray:
+        """For all the filter knows, whether a row's document has spans."""
+        return flagged(load_flags("recompression", seen), batch.column(1).to_numpy(), batch.column(2).to_numpy())
+
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE_BYTES):
+            yield batch.filter(pa.array(has_spans(batch)))
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE_BYTES):
+            batch = batch.filter(pa.array(~has_spans(batch)))
+            yield clean(batch.column(0), batch.column(3).to_pylist(), [None] * batch.num_rows)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE_BYTES):
+            yield clean(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist())
+
+    rows = rows.select("doc_id", "doc", "tie", "text")
+    moved = rows if seen is None else rows.mapInArrow(touched, "doc_id bigint, doc bigint, tie int, text string")  # only these texts move
+    result = moved.repartition(n, "doc", "tie").join(spans.repartition(n, "doc", "tie"), ["doc", "tie"], "left").select("doc_id", "text", "spans").mapInArrow(joined, out)
+    return result if seen is None else result.unionByName(rows.mapInArrow(untouched, out))
