@@ -111,6 +111,7 @@ def test_longest_run_over_buckets(spark, monkeypatch):
     from vecgrove.llm import line_dedup
 
     monkeypatch.setattr(line_dedup, "BUCKET_BITS", 1)
+    monkeypatch.setattr(line_dedup, "GROUP_BITS", 1)
     lines = [f"line {k}" for k in range(7)]
     df = spark.createDataFrame([(k, "\n".join(lines)) for k in range(5)], "doc_id bigint, text string")
     got = by_id(line_dedup.dedup_lines(df))
@@ -142,6 +143,43 @@ def test_line_dedup_of_long_single_lines(docs, rows, min_lines):
 # ---- 2
 
 
+def plain_verdict(line):
+    """Whether a line stays, by the rules as they are stated."""
+    from vecgrove.llm import quality as q
+
+    n = len(WORDS.findall(line))
+    if not n:
+        return True
+    if line.count("|") > 2 or any(x in line.lower() for x in q.BOILERPLATE) or re.search(q.MENU, line):
+        return False
+    if not re.search(r"""[.!?…。！？:;]["'”’»)\]]*\s*$""", line) and (n < 12 or not re.search(r"""[.!?]["'”’»)\]]*\s""", line)):
+        return False
+    return sum(line.count(c) for c in "#*$%&|<>") * 4 <= n and line.count("!!") * 4 <= n
+
+
+def test_quality_of_labelled_documents(spark):
+    """Of the documents that pass the base rules, the clean ones stay and the
+    junk goes, in every language."""
+    from vecgrove.llm.quality import assess
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    judged = assess(docs, carry=True).filter("not base_failed").join(labels, "doc_id").groupBy("carried.lang", "quality").agg({"kept": "count"}).collect()
+    kept = assess(docs, carry=True).filter("kept").join(labels, "doc_id").groupBy("carried.lang", "quality").count().collect()
+    n, k = ({(r[0], r[1]): r[2] for r in x} for x in (judged, kept))
+    assert {lang for lang, _ in n} == {"en", "de", "fr", "es"}
+    for lang in ("en", "de", "fr", "es"):
+        assert k[lang, 1] >= 0.98 * n[lang, 1] and k.get((lang, 0), 0) <= 0.02 * n[lang, 0]
+
+
+def test_quality_in_four_languages(spark):
+    from vecgrove.llm.quality import assess
+
+    prose = " ".join(f"word{k}" for k in range(60)) + "."
+    lines = ["Alle Rechte vorbehalten.", "Tous droits RÉSERVÉS.", "Todos los derechos reservados.", "Weiterlesen!", "Lire la suite!", "Iniciar sesión!", "Our privacy policy."]
+    got = by_id(assess(spark.createDataFrame([(k, prose + "\n" + x) for k, x in enumerate(lines)], "doc_id bigint, text string")))
+    assert all(got[k].cleaned == prose and got[k].kept for k in range(len(lines)))
+
+
 def test_quality(docs, rows, nothing):
     from vecgrove.llm.quality import assess
 
@@ -157,7 +195,11 @@ def test_quality(docs, rows, nothing):
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(cover))
         assert r.base_failed == (len(w) < 50 or 100 * len(cover) > 50 * len(w))
-        assert not (r.base_failed and r.kept)
+        verdict = [plain_verdict(x) for x in text.split("\n")]
+        left = [x for x, v in zip(text.split("\n"), verdict) if v]
+        lost = sum(map(len, w)) - sum(len(y) for x in left for y in WORDS.findall(x))
+        assert (r.n_lines, r.n_failed_lines, r.lost_chars, r.cleaned) == (len(verdict), verdict.count(False), lost, "\n".join(left))
+        assert r.kept == (not r.base_failed and 100 * lost <= 30 * r.word_chars)
     assert assess(nothing).count() == 0
     assert not re.search("Python|Pandas|Arrow", assess(docs)._jdf.queryExecution().executedPlan().toString())
 
@@ -197,16 +239,32 @@ def components(rows, gram=5):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("block", [2_000_000, 300])
-def test_jaccard_join(docs, rows, nothing, monkeypatch, block):
-    from vecgrove.llm import jaccard_join
+@pytest.mark.parametrize("block,bits,counted", [(2_000_000, 30, True), (300, 30, False), (100, 10, False)])
+def test_jaccard_join(docs, rows, nothing, monkeypatch, block, bits, counted):
+    """Also in small blocks, and with a join in place of the filter."""
+    from vecgrove.llm import flags, jaccard_join
 
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs).collect()}
+    monkeypatch.setattr(flags, "MOST_BITS", bits)
+    monkeypatch.setattr(jaccard_join, "PART_GRAMS", 300)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs, count_links=counted).collect()}
     want = components(rows)
     assert got == want
     assert sum(i != c for i, (_, c) in want.items()) > 5
-    assert jaccard_join.near_duplicates(nothing).count() == 0
+    assert jaccard_join.near_duplicates(nothing, count_links=counted).count() == 0
+
+
+def test_jaccard_chain_in_blocks(spark, monkeypatch):
+    """A chain, most of which doesn't link with the pivot, in many blocks."""
+    from vecgrove.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", 150)
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join(words[3 * k : 3 * k + 60]) for k in range(16)] + [" ".join(words[140:200])]
+    want = {i: c for i, (_, c) in components(list(enumerate(texts))).items()}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(df, count_links=False).collect()}
+    assert got == want and len(set(want.values())) < len(texts)
 
 
 @pytest.mark.parametrize("block", [2_000_000, 300])
@@ -272,6 +330,22 @@ def test_prefix_tree():
         assert [got.get(k, k) for k in range(len(sets))] == [find(k) for k in range(len(sets))]
 
 
+def test_prefix_tree_leaves_subtrees():
+    """The probe's items behind the path bound the walk: below a node after
+    which it has too few left, nothing is visited."""
+    from vecgrove.llm.jaccard_join import Tree
+
+    head = list(range(10))
+    sets = [np.array(head + [100 + 20 * a + j for j in range(5)] + [1000 + 10 * b + j for j in range(5)]) for a in range(6) for b in range(6)]
+    sets += [np.array(head + [10 + j for j in range(9)] + [2000])]
+    tree, probe, inside = Tree(sorted(sets, key=list)), np.arange(20), np.zeros(3000, bool)
+    inside[probe] = True
+    found = list(tree.probe(probe, inside, 75, 100))
+    assert [n for _, n in found] == [19]
+    # root, head, its seven branches; none of the 36 leaves below six of them
+    assert len(tree.parent) == 2 + 7 + 36 and tree.visited == 9
+
+
 # ---- 4 and 8
 
 
@@ -469,22 +543,22 @@ def test_decontamination_of_templates(monkeypatch):
     word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
     opening = word(50)
     items = [opening + word(50) for _ in range(2000)]
-    texts = [opening + word(58) for _ in range(997)] + ["x" + items[7] + "y", "zz" + items[1234][:70] + "!" + items[1234][70:], opening + items[9]]
+    texts = [opening + word(58) for _ in range(397)] + ["x" + items[7] + "y", "zz" + items[1234][:70] + "!" + items[1234][70:], opening + items[9]]
     c, at = D.code_points(texts)
     chars = [D.code_points([x])[0] for x in items]
     began = time.time()
     (sized,) = D.by_gram(list(range(2000)), chars, 12, 5)
     found = sized.find(c, at)
     assert time.time() - began < 60
-    want = {(997, 7), (998, 1234), (999, 9)}
-    assert {k: v[0] for k, v in found.items() if k in want} == {(997, 7): 0, (998, 1234): 1, (999, 9): 0}
+    want = {(397, 7), (398, 1234), (399, 9)}
+    assert {k: v[0] for k, v in found.items() if k in want} == {(397, 7): 0, (398, 1234): 1, (399, 9): 0}
     for t, i in set(found) - want:  # by chance near
         assert distance_within(items[i], texts[t]) <= 5
     monkeypatch.setattr(D, "CELLS", 500)
     monkeypatch.setattr(D, "POSTINGS", 3000)
-    last = slice(int(at[995]), int(at[1000]))
-    few = sized.find(c[last], at[995:] - at[995])
-    assert few == {(t - 995, i): v for (t, i), v in found.items() if t >= 995}
+    last = slice(int(at[395]), int(at[400]))
+    few = sized.find(c[last], at[395:] - at[395])
+    assert few == {(t - 395, i): v for (t, i), v in found.items() if t >= 395}
 
 
 def test_decontamination_of_edits_at_the_beginning():
@@ -538,7 +612,8 @@ def test_recompression(docs, rows, nothing, width):
 
 def test_recompression_of_hot_symbols(spark, docs, rows, monkeypatch):
     """The same answer where symbols count as hot from two windows on, with
-    small batches and many groups; and none if no symbol is shared."""
+    small batches and many groups, with and without a filter."""
+    from vecgrove.llm import flags
     from vecgrove.llm import recompression as R
 
     want = {r.doc_id: (r.kept, r.n_removed) for r in R.remove_repeats(docs).collect()}
@@ -546,8 +621,9 @@ def test_recompression_of_hot_symbols(spark, docs, rows, monkeypatch):
     whole = R.repeated_spans
     monkeypatch.setattr(R, "repeated_spans", lambda df, width: whole(df, width, batch_windows=300))
     monkeypatch.setattr(R, "parts_for", lambda df: 7)
-    for hot in (1, 10**9):
+    for hot, bits in ((1, 30), (10**9, 10)):
         monkeypatch.setattr(R, "HOT", hot)
+        monkeypatch.setattr(flags, "MOST_BITS", bits)
         assert {r.doc_id: (r.kept, r.n_removed) for r in R.remove_repeats(docs).collect()} == want
 
 
@@ -631,6 +707,10 @@ def test_package_reads_zip64(tmp_path, monkeypatch):
     p = Package(str(tmp_path / "a.zip"))
     assert set(p.members) == {"one.txt", "zwei/é.txt", "packed"}
     assert p.read("one.txt", 3, 4) == b"3456" and p.read("zwei/é.txt") == b"abcdefghij" * 30
+    reads, plain = [], p.read
+    monkeypatch.setattr(p, "read", lambda *a: reads.append(a) or plain(*a))
+    assert list(p.pieces("one.txt", [(0, 3), (3, 4), (7, 30), (50, 2), (40, 1), (41, 1)], 10)) == [b"012", b"3456", b"789" + b"0123456789" * 2 + b"0123456", b"01", b"0", b"1"]
+    assert [a[1:] for a in reads] == [(0, 7), (7, 30), (50, 2), (40, 2)] and list(p.pieces("one.txt", [])) == []
     for bad in (lambda: p.read("packed"), lambda: p.read("one.txt", 199, 5)):
         with pytest.raises(ValueError):
             bad()
@@ -689,6 +769,76 @@ def test_kneser_ney(spark, docs, rows, nothing, tmp_path):
     assert empty.tokens == 0 and all(math.isfinite(r.score) for r in score(docs, empty).collect())
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_kneser_ney_of_any_order(spark, docs, rows, nothing, tmp_path, order):
+    """Against a plain recursive model; order 2 equals the bigram model."""
+    from vecgrove.llm.kneser_ney import score, train
+    from vecgrove.llm.ngram_orders import train_order
+
+    texts = {i: ["<s>"] * (order - 1) + [*WORDS.findall((t or "").translate(LOWER)), "</s>"] for i, t in rows}
+    every = [texts[r.doc_id] for r in docs.collect()]
+    a = {order: Counter(tuple(t[k : k + order]) for t in every for k in range(len(t) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        a[k] = Counter(g[1:] for g in a[k + 1])
+    plain, d, context = Counter(), {}, {}
+    for g, n in a[order].items():
+        plain[g[-1]] += n
+    for k in a:
+        n1, n2, n3, n4 = (sum(v == x for v in a[k].values()) for x in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 and n2 and n3 else 0
+        d[k] = (0, *(min(max(x, 0), j) for j, x in enumerate((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3), 1))) if y else (0, 0.5, 0.5, 0.5)
+        context[k] = defaultdict(list)
+        for g, v in a[k].items():
+            context[k][g[:-1]].append(v)
+
+    def p(g):
+        below = p(g[1:]) if len(g) > 1 else 1 / (len(plain) + 1)
+        seen = context[len(g)].get(g[:-1])
+        if not seen:
+            return below
+        v, k = a[len(g)][g], d[len(g)]
+        return (v - k[min(v, 3)]) / sum(seen) + sum(k[min(x, 3)] for x in seen) / sum(seen) * below
+
+    model = train_order(docs, f"file://{tmp_path}/m", order)
+    assert (model.tokens, model.distinct, model.types[-1]) == (sum(plain.values()), len(plain), len(a[order]))
+    got = by_id(score(docs, model))
+    for i, t in texts.items():
+        want = sum(math.log10(p(tuple(t[k : k + order]))) for k in range(len(t) - order + 1))
+        assert math.isclose(got[i].score, want, rel_tol=1e-9) and got[i].n_tokens == len(t) - order + 1
+    if order == 2:
+        same = by_id(score(docs, train(docs, f"file://{tmp_path}/b")))
+        assert all(math.isclose(same[i].score, got[i].score, rel_tol=1e-9) and same[i].base_score == got[i].base_score for i in texts)
+    assert train(docs, f"file://{tmp_path}/t", order=3).order == 3
+    empty = train_order(nothing, f"file://{tmp_path}/n", order)
+    assert empty.tokens == 0 and all(math.isfinite(r.score) for r in score(docs, empty).collect())
+    with pytest.raises(ValueError):
+        train(docs, f"file://{tmp_path}/z", order=0)
+
+
+def test_kneser_ney_maps_a_copy_of_remote_shards(tmp_path, monkeypatch):
+    from pyarrow import fs
+    from vecgrove.llm import kneser_ney as K
+    from vecgrove.llm.common import kept
+
+    monkeypatch.setattr(K, "filesystem", lambda url: (fs.LocalFileSystem(), url.replace("store://", str(tmp_path))))
+    place = K._save("store:///d", "x", np.arange(5, dtype="<u8"), np.arange(5, dtype="<i8") * 2)
+    kept("kneser_ney").clear()
+    keys, values = K._mapped(place, "<u8", "<i8")
+    assert keys.tolist() == list(range(5)) and values.tolist() == [0, 2, 4, 6, 8]
+    assert isinstance(keys.base, np.memmap) or isinstance(keys, np.memmap)
+    assert K._mapped(place, "<u8", "<i8")[0] is keys
+    kept("kneser_ney").clear()
+
+
+def test_paths_of_other_stores():
+    from vecgrove.llm.common import filesystem
+
+    assert filesystem("/a/b")[1] == "/a/b" and filesystem("file:///a/b")[1] == "/a/b" and filesystem("file:/a")[1] == "/a"
+    for scheme in ("s3", "s3a", "s3n"):
+        store, path = filesystem(f"{scheme}://bucket/some/key?region=us-east-1")
+        assert store.type_name == "s3" and path == "bucket/some/key"
+
+
 # ---- 5
 
 
@@ -737,3 +887,67 @@ def test_sharding(spark, docs, nothing, tmp_path):
     write_sharded(docs, names, f"{tmp_path}/s", parts=2)
     back = spark.read.parquet(f"{tmp_path}/s")
     assert sorted((r.doc_id, r.shard_name) for r in back.collect()) == sorted((r.key, r.shard_name) for r in got)
+
+
+# ---- very long texts and missing identifiers
+
+
+@pytest.fixture(scope="module")
+def wide(spark):
+    """A text of several MB, twice, and rows without identifier."""
+    lines = [" ".join(f"w{k}x{j}" for j in range(118)) + f" line {k}." for k in range(3_000)]
+    long = "\n".join(lines)
+    rows = [(1, long), (2, long), (None, "a few words without identifier"), (None, None), (None, "other words " + lines[77])]
+    return lines, long, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+
+
+def test_long_texts_keep_their_lines(wide):
+    from vecgrove.llm.line_dedup import dedup_lines
+    from vecgrove.llm.quality import assess
+
+    lines, long, df = wide
+    got = {(r.doc_id, r.n_lines): r.n_removed for r in dedup_lines(df).collect()}
+    assert got == {(1, 3_000): 0, (2, 3_000): 3_000, (None, 1): 0}
+    for r in assess(df).collect():
+        if r.doc_id is not None:
+            assert (r.n_words, r.n_lines, r.n_failed_lines, r.kept) == (120 * 3_000, 3_000, 0, True)
+    assert sorted(r.n_words for r in assess(df).filter("doc_id is null").collect()) == [0, 5, 122]
+
+
+def test_long_texts_join_and_repeat(spark, wide):
+    from vecgrove.llm.decontaminate import leaks
+    from vecgrove.llm.jaccard_join import near_duplicates
+    from vecgrove.llm.recompression import remove_repeats
+
+    lines, long, df = wide
+    for counted in (True, False):
+        got = {(r.doc_id, r.n_shingles): r.component_id for r in near_duplicates(df, count_links=counted).collect()}
+        assert got == {(1, 120 * 3_000 - 4): 1, (2, 120 * 3_000 - 4): 1, (None, 1): None, (None, 0): None, (None, 118): None}
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in remove_repeats(df).collect())
+    assert got == [(0, 0, 0), (0, 5, 0), (0, 122, 0), (1, 360_000, 120), (2, 360_000, 360_000)]  # the null identifier comes first
+    bench = spark.createDataFrame([(None, lines[-1]), (8, lines[77]), (9, None)], "item_id bigint, text string")
+    got = sorted(((r.doc_id or 0, r.item_id or 0, r.edits) for r in leaks(df, bench).collect()))
+    assert got == [(0, 8, 0), (1, 0, 0), (1, 8, 0), (2, 0, 0), (2, 8, 0)]
+
+
+def test_long_texts_are_encoded_and_scored(spark, wide, tmp_path):
+    from vecgrove.llm.bpe import encode_decode
+    from vecgrove.llm.kneser_ney import score, train
+    from vecgrove.llm.sstable import read_shards, write_shards
+    from vecgrove.llm.warc import mark_revisits, read_archives, write_archives
+
+    lines, long, df = wide
+    path, tok = tokenizer("byte_bpe_50k.json")
+    want = tok.encode(long, add_special_tokens=False).ids
+    got = encode_decode(df, path).collect()
+    assert sorted(len(r.ids) for r in got if r.doc_id is None)[0] == 0
+    assert all(r.ids == want and r.decoded == long for r in got if r.doc_id is not None) and len(got) == 5
+    path, tok = tokenizer("word_bpe_49k.json")
+    want = [*tok.encode(long, add_special_tokens=False).ids, 2]
+    got = sorted(read_shards(spark, write_shards(df, path, f"file://{tmp_path}/s")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, None, 1, 2] and all(np.frombuffer(r.ids, "<u4").tolist() == want for r in got[3:])
+    scored = score(df, train(df, f"file://{tmp_path}/m")).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.n_known) for r in scored) == [(0, 1, 1), (0, 6, 6), (0, 123, 123), (1, 360_001, 360_001), (2, 360_001, 360_001)]
+    pages = df.selectExpr("doc_id page_id", "'u' url", "text html")
+    got = read_archives(spark, write_archives(mark_revisits(pages), f"file://{tmp_path}/w")).collect()
+    assert sorted((r.page_id or 0, r.payload_bytes, r.record_type) for r in got if r.payload_bytes > 1000) == [(1, len(long), "response"), (2, len(long), "revisit")]

@@ -42,6 +42,20 @@ def test_stages(spark, tmp_path):
     assert all(r.n_tokens == len(r.ids) for r in got)
 
 
+def test_decontamination_goes_by_identifier_and_text(spark, tmp_path):
+    """A leaking row takes along neither rows that share its identifier nor
+    those that have none, like it."""
+    import corpus_pipeline as P
+
+    passage = "the quick brown fox jumps over the lazy dog while nobody is looking at it at all"
+    spark.createDataFrame([(1, passage)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"see: {passage}"), (None, "nothing to see here"), (None, None), (4, passage), (4, "another text"), (4, passage), (5, "clean"), (5, "clean")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = P.decontamination(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id or 0, r.text or "") for r in got.collect())) == [(0, ""), (0, "nothing to see here"), (4, "another text"), (5, "clean"), (5, "clean")]
+
+
 def test_empty_table(spark, tmp_path):
     import corpus_pipeline as P
 
