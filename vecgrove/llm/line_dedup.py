@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import running_total
@@ -27,15 +27,49 @@ from .common import WORD_GAP, pick, settle
 MIN_LINES = 2
 #: So many words make one line a run by itself, where asked for.
 LONG_WORDS = 20
-#: Rows of the suffix array that may meet in one task: 2 to this power.
-BUCKET_BITS = 16
+#: Rows of the suffix array that may meet in one task, and rows of buckets, as
+#: powers of 2. One row for 2 ** (sum) suffixes comes to the driver.
+BUCKET_BITS, GROUP_BITS = 13, 12
 NO_ID = -(1 << 63)
 
 
 def _with_edges(df: DataFrame, edges: list[tuple], schema: str) -> DataFrame:
     """Join the few values that each range partition takes over from those
     before it (as many rows as partitions)."""
-    return df.join(F.broadcast(df.sparkSession.createDataFrame(edges, schema)), "p")
+    return df.join(F.broadcast(_rows(df.sparkSession, edges, schema)), "p")
+
+
+def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of numbers, as SQL values: no Python worker unpacks it."""
+    fields = [x.split() for x in schema.split(", ")]
+    as_sql = lambda v, kind: f"cast({'null' if v is None else str(v).lower()} as {kind})"
+    if not rows:
+        return _rows(spark, [(None,) * len(fields)], schema).limit(0)
+    values = ", ".join("(" + ", ".join(as_sql(v, kind) for v, (_, kind) in zip(r, fields)) + ")" for r in rows)
+    return spark.sql(f"select * from values {values} as t({', '.join(n for n, _ in fields)})")
+
+
+def carry_over(buckets: DataFrame) -> DataFrame:
+    """``bucket, before, next_head``: the last ``begin`` of the buckets before
+    each and the ``head`` of the one after it, for ``bucket, begin, head``.
+
+    Buckets are worked through in groups; what lies before and after a group,
+    one row a group, goes over the driver."""
+    group = F.shiftright("bucket", GROUP_BITS)
+    held = settle(buckets.withColumn("p", group), "buckets")
+    summary = held.groupBy("p").agg(F.max("begin").alias("begin"), F.min_by("head", "bucket").alias("head")).orderBy("p").collect()
+    last, edges = None, []
+    for k, r in enumerate(summary):
+        edges.append((r.p, last, summary[k + 1].head if k + 1 < len(summary) else None))
+        last = r.begin if r.begin is not None else last
+    w = Window.partitionBy("p").orderBy("bucket")
+    inside = held.select(
+        "p", "bucket",
+        F.last("begin", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("begin_before"),
+        F.lead("head").over(w).alias("head_after"),
+    )
+    full = _with_edges(inside, edges, "p bigint, group_before bigint, group_after bigint")
+    return full.select("bucket", F.coalesce("begin_before", "group_before").alias("before"), F.coalesce("head_after", "group_after").alias("next_head"))
 
 
 def ranked(rows: DataFrame, base: Column | None) -> DataFrame:
@@ -155,14 +189,7 @@ def repeated_runs(rows: DataFrame, min_lines: int = MIN_LINES, long_lines: bool
         F.max(F.when(F.col("lcp") < min_lines, F.col("sa"))).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("begin"),
         F.lead("lcp").over(by).alias("after"),
     )
-    carried = (
-        cut.groupBy("bucket").agg(F.max("begin").alias("begin"), F.min_by("lcp", "sa").alias("head"))
-        .select(
-            "bucket",
-            F.last("begin", ignorenulls=True).over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-            F.lead("head").over(Window.orderBy("bucket")).alias("next_head"),
-        )
-    )
+    carried = carry_over(cut.groupBy("bucket").agg(F.max("begin").alias("begin"), F.min_by("lcp", "sa").alias("head")))
     run = F.greatest("lcp", F.coalesce("after", "next_head"))
     cut = settle(cut.join(carried, "bucket").select("g", "e", "bucket", run.alias("run"), F.coalesce("begin", "before").alias("begin")), "intervals")
     part = cut.groupBy("begin", "bucket").agg(F.min("g").alias("first"))
