@@ -6,6 +6,8 @@ tokens has its bigrams dealt by both words. The model is stored as shards of
 sorted fingerprint arrays with their counts beside them in the shared folder;
 workers map the files into memory and look up whole batches by binary search.
 
+For other orders see ``ngram_orders``::
+
     P(w|v)  = max(c(vw) - D(c), 0) / c(v) + gamma(v) * Pc(w)
     Pc(w)   = max(n(w) - D'(n), 0) / T + gamma' / (V + 1)
 
@@ -17,6 +19,8 @@ share of one word that was never seen.
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, kept, pick, slices
-from .recompression import _pack, _split, _unpack
+from .common import filesystem, kept, parts_for, pick, slices
+from .ngram_orders import OrderModel, order_log10, train_order
+from .packed import _pack, _split, _unpack
 from .words import mix, words
 
 END, BEGIN = np.uint64(0x0E0D), np.uint64(0xB0D)
@@ -85,18 +90,20 @@ def _save(out_dir: str, name: str, *arrays: np.ndarray) -> str:
 
 
 def _mapped(place: str, *kinds) -> list[np.ndarray]:
-    """Arrays of a shard, mapped into memory (read, where the shared folder
-    is no file system of this machine)."""
+    """Arrays of a shard, mapped into memory. Where the shared folder is no file
+    system of this machine, the worker maps a copy of its own, made once in its
+    temporary folder; nobody else reads that, and a lost one is made again."""
     opened = kept("kneser_ney")
     if place not in opened:
-        if place.startswith("file:") or "://" not in place:
-            raw = np.memmap(filesystem(place)[1], np.uint8, "r")
-        else:
-            if len(opened) > 8:
-                opened.clear()
-            fs, path = filesystem(place)
-            with fs.open_input_stream(path) as f:
-                raw = np.frombuffer(f.read(), np.uint8)
+        fs, path = filesystem(place)
+        if not (place.startswith("file:") or "://" not in place):
+            if "copies" not in opened:
+                opened["copies"] = tempfile.TemporaryDirectory(prefix="lm-")
+            mine = f"{opened['copies'].name}/{path.rsplit('/', 1)[1]}"
+            with fs.open_input_stream(path) as source, open(mine, "wb") as out:
+                shutil.copyfileobj(source, out, 1 << 22)
+            path = mine
+        raw = np.memmap(path, np.uint8, "r")
         at, out = 8 * len(kinds), []
         for size, kind in zip(raw[:at].view("<i8").tolist(), kinds):
             out.append(raw[at : at + size].view(kind))
@@ -136,13 +143,18 @@ def _discount(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(c, 3)]
 
 
-def train(df: DataFrame, out_dir: str, text_col: str = "text", batch_tokens: int = 4_000_000) -> Model:
+def train(df: DataFrame, out_dir: str, text_col: str = "text", batch_tokens: int = 4_000_000, order: int = 2) -> Model | OrderModel:
     """Count the texts of ``df`` and write the model below ``out_dir``.
 
+    Bigrams are counted here, as packed arrays; other orders, at several times
+    the cost, in ``ngram_orders``.
+
     A null or empty text is an end alone. An empty table gives an empty model.
     """
+    if order != 2:
+        return train_order(df, out_dir, order, text_col)
     rows = pick(df, text=text_col).selectExpr("cast(text as string) text")
-    n_out = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n_out = parts_for(rows)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held):
@@ -172,7 +184,7 @@ def train(df: DataFrame, out_dir: str, text_col: str = "text", batch_tokens: int
             }
         )
 
-    made = rows.mapInArrow(count_words, "part int, blob binary").groupBy("part").applyInArrow(merge_words, "part int, place string, n bigint, distinct bigint, texts bigint, top array<bigint>, top_n array<bigint>").collect()
+    made = rows.mapInArrow(count_words, "part int, blob binary").repartition(n_out, "part").groupBy("part").applyInArrow(merge_words, "part int, place string, n bigint, distinct bigint, texts bigint, top array<bigint>, top_n array<bigint>").collect()
     total = sum(r.n for r in made)
     distinct, texts = sum(r.distinct for r in made), sum(r.texts for r in made)
     counted = {r.part: r.place for r in made}
@@ -248,8 +260,8 @@ def train(df: DataFrame, out_dir: str, text_col: str = "text", batch_tokens: int
         info = [part, *(int((n == k).sum()) for k in (1, 2, 3, 4)), *(int(x[start].sum()) for x in ahead[1:])]
         return pa.table({"part": pa.array([part], pa.int32()), "place": [_save(out_dir, "words", keys, rows)], "info": pa.array([info], pa.list_(pa.int64()))})
 
-    pairs = rows.mapInArrow(count_pairs, "part int, blob binary").groupBy("part").applyInArrow(merge_pairs, "part int, blob binary, place string, info array<bigint>")
-    made = pairs.groupBy("part").applyInArrow(merge_stats, "part int, place string, info array<bigint>").collect()
+    pairs = rows.mapInArrow(count_pairs, "part int, blob binary").repartition(n_out, "part").groupBy("part").applyInArrow(merge_pairs, "part int, blob binary, place string, info array<bigint>")
+    made = pairs.repartition(n_out, "part").groupBy("part").applyInArrow(merge_stats, "part int, place string, info array<bigint>").collect()
     own = [r for r in made if r.part >= 0]
     shards = [r for r in made if r.part < 0]
     word_at, pair_at = {r.part: r.place for r in own}, {r.info[0]: r.place for r in shards}
@@ -313,7 +325,7 @@ def log10_probabilities(model: Model, tok: np.ndarray, begins: np.ndarray) -> tu
     return np.log10(p)[which], c[w]
 
 
-def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, model: Model | OrderModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_tokens, n_known, train_tokens,
     base_score, score``.
 
@@ -326,7 +338,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8_000_000):
             tok, begins, at = tokens(batch)
-            logs, counts = log10_probabilities(model, tok, begins)
+            logs, counts = (order_log10 if isinstance(model, OrderModel) else log10_probabilities)(model, tok, begins)
             base = np.log10((counts + 1) / (model.tokens + model.distinct + 1))
             add = lambda x: np.add.reduceat(x, at[:-1])  # noqa: E731  every text has a token
             yield pa.RecordBatch.from_arrays(
