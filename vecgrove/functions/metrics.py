@@ -126,6 +126,103 @@ def best_pairs(metric: Metric, ids: np.ndarray, data: np.ndarray, asked: np.ndar
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 
 
+#: Stands for no identifier, and sorts last.
+NO_ID = np.iinfo(np.int64).max
+
+
+def _narrow(metric: Metric, x: np.ndarray, query: bool) -> np.ndarray:
+    """Rows in single precision whose products (a query's with an item's) order
+    items as their costs do: for L2 the squared length of the item less twice
+    the product, for COS of rows of length 1, negated."""
+    x = x.astype(np.float64)
+    if metric is Metric.L2:
+        last = np.ones((len(x), 1)) if query else (x * x).sum(1)[:, None]
+        return np.hstack([-2 * x if query else x, last]).astype(np.float32)
+    if metric is Metric.COS:
+        size = np.linalg.norm(x, axis=1)[:, None]
+        x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+    return (-x if query else x).astype(np.float32)
+
+
+def _off(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """More than a product of rows of ``left`` with any of ``right`` is off, for
+    each row of ``left``."""
+    size = [np.sqrt(np.square(x, dtype=np.float64).sum(1)) for x in (left, right)]
+    return 2e-7 * (left.shape[1] + 8) * size[0] * size[1].max(initial=0.0) + 1e-9
+
+
+def _upto(rough: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the cells that don't exceed their row's edge."""
+    edge = np.nextafter(edge.astype(np.float32), np.float32(np.inf))
+    return np.divmod(np.flatnonzero(~(rough > edge[:, None])), max(1, rough.shape[1]))
+
+
+def nearest_rows(metric: Metric, data: np.ndarray, nodes: np.ndarray, narrow: np.ndarray | None = None, cells: int = 4_000_000) -> np.ndarray:
+    """The row of ``nodes`` with the least cost for each row of ``data``, of
+    equal ones the first. Products in single precision leave few to compare.
+    ``narrow``: the nodes as ``_narrow`` has them."""
+    out = np.empty(len(data), np.int64)
+    right, left = _narrow(metric, nodes, False) if narrow is None else narrow, _narrow(metric, data, True)
+    off, step = 2 * _off(left, right), max(1, cells // max(1, len(nodes)))
+    for at in range(0, len(data), step):
+        rough = left[at : at + step] @ right.T
+        row, node = _upto(rough, rough.min(axis=1) + off[at : at + step])
+        exact = pair_costs(metric, data[at : at + step], nodes, row, node)
+        order = np.lexsort((node, exact, row))
+        out[at : at + step] = node[order][np.searchsorted(row, np.arange(len(rough)))]
+    return out
+
+
+class Best:
+    """The ``k`` cheapest items of each query among all that were added, ties by
+    identifier; its size depends on the number of queries alone. Products in
+    single precision leave out what a query can't use."""
+
+    def __init__(self, metric: Metric, asked: np.ndarray, k: int, cells: int = 4_000_000):
+        self.metric, self.asked, self.k = metric, asked, k
+        self.step = max(2 * k, cells // max(1, len(asked)))
+        self.cost, self.ids = np.full((len(asked), k), np.inf), np.full((len(asked), k), NO_ID)
+        self._left = _narrow(metric, asked, True)
+        self._square = np.square(asked, dtype=np.float64).sum(1)
+
+    def add(self, ids: np.ndarray, data: np.ndarray, may: np.ndarray | None = None, group: np.ndarray | None = None) -> None:
+        """``may[query, group[row]]`` tells which rows count for a query."""
+        for at in range(0, len(data), self.step):
+            part = slice(at, at + self.step)
+            self._part(ids[part], data[part], may, None if may is None else group[part])
+
+    def _part(self, ids: np.ndarray, data: np.ndarray, may: np.ndarray | None, group: np.ndarray | None) -> None:
+        right, k = _narrow(self.metric, data, False), self.k
+        rough, off, last = self._left @ right.T, _off(self._left, right), self.cost[:, -1]
+        edge = (last * last - self._square if self.metric is Metric.L2 else last) + off
+        edge += 1e-6 * np.abs(np.where(np.isfinite(edge), edge, 0.0))
+        new = np.flatnonzero(np.isinf(last))
+        if len(new) and len(data) > k:
+            mine = rough[new] if may is None else np.where(may[np.ix_(new, group)], rough[new], np.inf)
+            edge[new] = np.partition(mine, k - 1, axis=1)[:, k - 1] + 2 * off[new]
+        query, row = _upto(rough, edge)
+        if may is not None:
+            keep = may[query, group[row]]
+            query, row = query[keep], row[keep]
+        exact = pair_costs(self.metric, self.asked, data, query, row)
+        keep = ~(exact > last[query])
+        query, row, exact = query[keep], row[keep], exact[keep]
+        who, place = np.unique(query, return_inverse=True)
+        if not len(who):
+            return
+        of = np.concatenate([np.repeat(np.arange(len(who)), k), place])
+        cost, ids = np.concatenate([self.cost[who].ravel(), exact]), np.concatenate([self.ids[who].ravel(), ids[row]])
+        order = np.lexsort((ids, cost, of))
+        first = np.searchsorted(of[order], np.arange(len(who)))
+        order = order[np.arange(len(order)) - first[of[order]] < k]
+        self.cost[who], self.ids[who] = cost[order].reshape(-1, k), ids[order].reshape(-1, k)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of ``asked``, identifier or ``NO_ID``, cost)."""
+        query, place = np.nonzero((self.ids != NO_ID) | np.isfinite(self.cost))
+        return query, self.ids[query, place], self.cost[query, place]
+
+
 # ---- sizing
 
 

@@ -7,7 +7,8 @@ leaves by them gives the walk's order for all queries at once, without a queue.
 Queries come in blocks of a bounded size and are sent to the workers. Tasks
 score leaves and items by matrix products and pass on no more than a query can
 use: the leaves of its budget, and its k best items. Where a budget holds too few
-items, only the queries in need ask again with twice the budget.
+items, only the queries in need ask again with twice the budget. Budgets of many
+leaves travel as the place of their last leaf (``visits.py``).
 """
 
 from __future__ import annotations
@@ -21,16 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import Metric, best_pairs, cost, cost_matrix
+from ..functions.metrics import NO_ID, Best, Metric, best_pairs, cost, cost_matrix
 from ..plans.index import VectorIndex
 from ..sources.scratch import settle
 from .assign import matrix
+from .visits import Asked, Tree, ends, sort_keys
 
 #: Queries are sent to the workers in blocks of about so many.
 QUERY_BLOCK = 10_000
 #: Leaves of a saved index are named in the scan's filter up to this number.
 NAMED_LEAVES = 1_000
-#: Pairs of query and leaf that are sent to the workers; more are joined.
+#: Pairs of query and leaf that are sent to the workers; beyond, the ends of budgets are.
 SENT_PAIRS = 1_000_000
 
 
@@ -39,19 +41,6 @@ def _check(k: int, search_exp: int = 1) -> None:
         raise ValueError("k and search_exp must be at least 1")
 
 
-@dataclass(frozen=True)
-class Asked:
-    """A block of queries on the driver: identifiers, and vectors as rows."""
-
-    ids: np.ndarray
-    vectors: np.ndarray
-
-    @staticmethod
-    def of(table: pa.Table) -> Asked:
-        ids = table.column("qid").to_numpy()
-        return Asked(ids, matrix(table.column("qv")) if len(ids) else np.empty((0, 0), np.float32))
-
-
 def _blocks(queries: DataFrame) -> list[tuple[Asked, DataFrame]]:
     """The queries in blocks of a bounded size, on the driver and as a table."""
     asked = queries.select(F.col("qid").cast("bigint").alias("qid"), F.col("qv").cast("array<float>").alias("qv"))
@@ -126,20 +115,6 @@ def leaf_paths(index: VectorIndex) -> DataFrame:
     return index.paths.join(index.leaf_sizes, "leaf").select("leaf", "n", "centroids")
 
 
-def _keys(costs: list[np.ndarray]) -> np.ndarray:
-    """Sort keys from path costs (a matrix a level, queries by leaves): the
-    costs that no later one of the path exceeds, in order; what is left over
-    is filled up with -inf, so that the shorter key comes first."""
-    path = np.stack(costs)
-    later = np.maximum.accumulate(path[::-1])[::-1]
-    counts = path >= later
-    place = np.cumsum(counts, axis=0) - 1
-    key = np.full(path.shape, -np.inf)
-    level, query, leaf = np.nonzero(counts)
-    key[place[level, query, leaf], query, leaf] = path[level, query, leaf]
-    return key
-
-
 def visit_order(index: VectorIndex, queries: DataFrame, limit: int | None = None) -> DataFrame:
     """``qid, leaf, key, leaf_rank``, and ``n``, the leaf's items: the order in
     which a walk visits leaves, or its first ``limit``. Of equal costs the
@@ -160,7 +135,7 @@ def _visits(index: VectorIndex, asked: Asked, limit: int | None) -> DataFrame:
             for batch in (whole.slice(k, step) for k in range(0, whole.num_rows, step)):
                 leaf = batch.column(0).to_numpy()
                 path = matrix(batch.column(2)).reshape(len(leaf), levels, -1)
-                key = _keys([cost_matrix(metric, q.vectors, path[:, level]) for level in range(levels)])
+                key = sort_keys([cost_matrix(metric, q.vectors, path[:, level]) for level in range(levels)])
                 if limit is None or len(leaf) <= limit:
                     query, row = np.divmod(np.arange(len(q.ids) * len(leaf)), len(leaf))
                 else:
@@ -231,8 +206,13 @@ def search(index: VectorIndex, queries: DataFrame, k: int, search_exp: int = 64,
     until k items are found. ``exclude`` holds ``item_id``, or ``qid, item_id``."""
     _check(k, search_exp)
     per_query = exclude is not None and "qid" in exclude.columns
+    trees: list[Tree] = []
 
     def block(asked: Asked, queries: DataFrame) -> DataFrame:
+        if len(asked.ids) * search_exp > SENT_PAIRS and not per_query and Tree.fits(index):
+            if not trees:
+                trees.append(Tree.of(index, index.leaf_sizes if exclude is None or max_increments == 0 else _left(index, index.leaf_sizes, exclude)))
+            return _wide(index, trees[0], exclude, asked, k, search_exp, max_increments)
         leaves = _budgeted(index, asked, k, search_exp, exclude, max_increments)
         few = len(asked.ids) * search_exp <= SENT_PAIRS
         pairs = leaves.limit(SENT_PAIRS + 1).toArrow() if few else None
@@ -251,6 +231,38 @@ def search(index: VectorIndex, queries: DataFrame, k: int, search_exp: int = 64,
     return _ranked(found, k, "dist", "item_id").select("qid", "rank", "item_id", "dist")
 
 
+def _wide(index: VectorIndex, tree: Tree, exclude: DataFrame | None, asked: Asked, k: int, search_exp: int, max_increments: int) -> DataFrame:
+    """``qid, item_id, dist``: the ``k`` best of each task's items in the budgets.
+    Items are dealt by leaf, so that few leaves meet the queries at a time."""
+    items = index.items.select("item_id", "leaf", "embedding")
+    if exclude is not None:
+        items = items.join(exclude.select("item_id").distinct(), "item_id", "left_anti").select("item_id", "leaf", "embedding")
+    cores = items.sparkSession.sparkContext.defaultParallelism
+    sent = items.sparkSession.sparkContext.broadcast((asked, tree, ends(index, tree, asked, k, search_exp, max_increments)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, t, last = sent.value
+        best = Best(t.metric, q.vectors, k)
+        for batch in batches:
+            ids, of, data = _numbers(batch.column(0)), batch.column(1).to_numpy(), matrix(batch.column(2))
+            order = np.argsort(of, kind="stable")
+            for mine in (order[at : at + best.step] for at in range(0, len(order), best.step)):
+                leaves, group = np.unique(of[mine], return_inverse=True)
+                best.add(ids[mine], data[mine], last.within(t, q.vectors, np.searchsorted(t.leaf, leaves)), group)
+        yield _kept(best, q)
+
+    return items.repartitionByRange(cores, "leaf", "item_id").mapInArrow(run, "qid bigint, item_id bigint, dist double")
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.fill_null(NO_ID).to_numpy()
+
+
+def _kept(best: Best, asked: Asked) -> pa.RecordBatch:
+    query, ids, dist = best.rows()
+    return pa.RecordBatch.from_arrays([pa.array(asked.ids[query], pa.int64()), pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(dist, pa.float64())], names=("qid", "item_id", "dist"))
+
+
 def _of_leaves(index: VectorIndex, items: DataFrame, leaves: np.ndarray) -> DataFrame:
     """The items of few leaves: stored items are sorted by leaf, so that row
     groups of other leaves are skipped."""
