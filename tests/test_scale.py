@@ -69,3 +69,23 @@ def test_running_best_is_the_best_of_all(metric):
             assert best.cost[k].tolist() == exact[k, order].tolist()
     nearest = M.nearest_rows(metric, q, data, cells=13 * 10)
     assert nearest.tolist() == exact.argmin(axis=1).tolist()
+
+
+def test_pages_need_no_more_than_they_show(spark, monkeypatch):
+    v = table(spark, 300, copies=40)
+    index, q = build_index(v, IndexConfig(2, 8, "IP")), asked(v)
+    twice = S.open_session(index, q.unionByName(q.filter("qid = 7")), 4, 2).pool  # an identifier twice
+    assert twice.filter("qid = 7").count() == 600 and twice.filter("qid = 7").distinct().count() == 600
+    drop = v.filter("item_id in (0, 7, 9)").select("item_id")
+    for exclude, most in ((None, -1), (drop, -1), (None, 1)):
+        one = S.open_session(index, q, 4, 2, exclude, most)
+        assert "Window" not in plan(one.page(1)) and one._kept.count() <= 2 * 4 * 43
+        shown = {p: rows(one.page(p)) for p in (0, 1, 5)}
+        full = rows(one.pool)
+        with monkeypatch.context() as m:
+            m.setattr(S, "TABLE_BYTES", 0)
+            plain = S.open_session(index, q, 4, 2, exclude, most)
+            assert "Window" in plan(plain.pool) and [x[:3] for x in rows(plain.pool)] == [x[:3] for x in full]
+        for p, x in shown.items():
+            assert x == [r for r in full if 4 * p < r[1] <= 4 * p + 4]
+        one.close()
