@@ -89,3 +89,12 @@ def test_pages_need_no_more_than_they_show(spark, monkeypatch):
         for p, x in shown.items():
             assert x == [r for r in full if 4 * p < r[1] <= 4 * p + 4]
         one.close()
+
+
+def test_exact_search_sends_on_k_items_a_task(spark):
+    v = table(spark, 3000, copies=100).repartition(1)
+    found = S.brute_force(v, asked(v, 20), 3, "L2")
+    moved = found._jdf.queryExecution().optimizedPlan()
+    expected = S.brute_force(v.repartition(3), asked(v, 20), 3, "L2")
+    assert rows(found) == rows(expected)
+    assert "Repartition 4" in moved.toString()

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.metrics import NO_ID, Best, Metric, best_pairs, cost, cost_matrix, row_costs
 from ..plans.index import VectorIndex
 from ..sources.scratch import settle
-from .assign import matrix
+from .assign import matrix, spread
 from .visits import Asked, Tree, ends, sort_keys
 
 #: Queries are sent to the workers in blocks of about so many.
@@ -69,8 +69,8 @@ def _ranked(pairs: DataFrame, k: int | None, *order: str) -> DataFrame:
 
 def brute_force(vectors: DataFrame, queries: DataFrame, k: int, metric: str | Metric = "L2") -> DataFrame:
     """``qid, rank, item_id, dist`` of the exact k nearest; ``dist`` is the cost
-    (similarities negated), ties by identifier. Each batch of vectors keeps its
-    own best k of a query before the shuffle."""
+    (similarities negated), ties by identifier. Each task keeps the best k of a
+    query among its vectors, however many batches it reads."""
     _check(k)
     metric = Metric.parse(metric)
 
@@ -78,12 +78,13 @@ def brute_force(vectors: DataFrame, queries: DataFrame, k: int, metric: str | Me
         sent = vectors.sparkSession.sparkContext.broadcast(asked)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Best(metric, sent.value.vectors, k)
             for batch in batches:
                 if batch.num_rows and len(sent.value.ids):
-                    best = best_pairs(metric, batch.column(0).to_numpy(), matrix(batch.column(1)), sent.value.vectors, k)
-                    yield _found(batch, sent.value, *best, ("qid", "item_id", "dist"))
+                    best.add(_numbers(batch.column(0)), matrix(batch.column(1)))
+            yield _kept(best, sent.value)
 
-        return vectors.select("item_id", "embedding").mapInArrow(run, "qid bigint, item_id bigint, dist double")
+        return spread(vectors.select("item_id", "embedding")).mapInArrow(run, "qid bigint, item_id bigint, dist double")
 
     return _ranked(_in_blocks(queries, block), k, "dist", "item_id").select("qid", "rank", "item_id", "dist")
 
