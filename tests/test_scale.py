@@ -98,3 +98,22 @@ def test_exact_search_sends_on_k_items_a_task(spark):
     expected = S.brute_force(v.repartition(3), asked(v, 20), 3, "L2")
     assert rows(found) == rows(expected)
     assert "Repartition 4" in moved.toString()
+
+
+@pytest.mark.parametrize("metric", ["IP", "L2", "COS"])
+def test_scores_of_all_pairs_are_dealt_over_tasks(spark, monkeypatch, metric):
+    v = table(spark, 600, copies=50).repartition(1)
+    q = asked(v, 20)
+    assert S.all_scores(v, q, metric).rdd.getNumPartitions() == 4  # cores
+    monkeypatch.setattr(S, "TASK_PAIRS", 3000)
+    found = S.all_scores(v, q, metric)
+    assert found.rdd.getNumPartitions() == 6
+    data = np.array([r.embedding for r in v.orderBy("item_id").collect()])
+    got = {(r.qid, r.item_id): r.value for r in found.collect()}
+    assert len(got) == found.count() == 600 * 30
+    for (one, item), value in got.items():
+        a, b = data[one], data[item]
+        want = {"IP": a @ b, "L2": np.linalg.norm(a - b), "COS": a @ b / np.linalg.norm(a) / np.linalg.norm(b)}[metric]
+        assert abs(value - want) < 1e-12 * (1 + abs(want))
+    assert got[0, 49] == 0 or metric != "L2"
+    assert S.all_scores(v, q.limit(0), metric).count() == 0

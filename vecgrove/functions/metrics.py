@@ -101,6 +101,25 @@ def pair_costs(metric: Metric, a: np.ndarray, b: np.ndarray, which_a: np.ndarray
     return np.round(out, 12)
 
 
+def value_matrix(metric: Metric, data: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The metric's own values for data (rows) and queries (columns), in double
+    precision and not rounded. L2 of rows so near that a matrix product would
+    lose digits comes from their differences."""
+    a, b = data.astype(np.float64), asked.astype(np.float64)
+    value = a @ b.T
+    if metric is Metric.IP:
+        return value
+    if metric is Metric.COS:
+        size = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)
+        return np.divide(value, size, out=np.zeros_like(value), where=size > 0)
+    both = (a * a).sum(1)[:, None] + (b * b).sum(1)
+    value = both - 2 * value
+    near = np.nonzero(~(value > 1e-4 * both))
+    value = np.sqrt(np.maximum(value, 0))
+    value[near] = pair_costs(metric, data, asked, *near)
+    return value
+
+
 def row_costs(metric: Metric, query: np.ndarray, data: np.ndarray, rows: np.ndarray, step: int = 4_000) -> np.ndarray:
     """Costs of one query and ``rows`` of the data, as ``pair_costs`` has them."""
     y, out = query.astype(np.float64), np.empty(len(rows))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import NO_ID, Best, Metric, best_pairs, cost, cost_matrix, row_costs
+from ..functions.metrics import NO_ID, Best, Metric, best_pairs, cost, cost_matrix, row_costs, value_matrix
 from ..plans.index import VectorIndex
 from ..sources.scratch import settle
 from .assign import matrix, spread
@@ -33,6 +33,8 @@ QUERY_BLOCK = 10_000
 NAMED_LEAVES = 1_000
 #: Pairs of query and leaf that are sent to the workers; beyond, the ends of budgets are.
 SENT_PAIRS = 1_000_000
+#: Scores of all pairs: how many a task makes (about 1 GB written), and holds.
+TASK_PAIRS, HELD_PAIRS = 100_000_000, 1_000_000
 #: Items that a task of a session holds.
 TABLE_BYTES = 512 * 1024 * 1024
 
@@ -90,20 +92,27 @@ def brute_force(vectors: DataFrame, queries: DataFrame, k: int, metric: str | Me
 
 
 def all_scores(vectors: DataFrame, queries: DataFrame, metric: str | Metric) -> DataFrame:
-    """``qid, item_id, value``: the metric's value for every pair."""
+    """``qid, item_id, value``: the metric's value for every pair. Vectors are
+    dealt over tasks of about ``TASK_PAIRS`` pairs, and a task holds ``HELD_PAIRS``
+    of them at a time; no pair moves."""
     metric = Metric.parse(metric)
+    dealt = spread(vectors.select("item_id", "embedding"), vectors.count() * queries.count() // TASK_PAIRS)
 
     def block(asked: Asked, _: DataFrame) -> DataFrame:
         sent = vectors.sparkSession.sparkContext.broadcast(asked)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q = sent.value
+            if not len(q.ids):
+                return
+            step = max(1, HELD_PAIRS // len(q.ids))
             for whole in batches:
-                step = max(1, 1_000_000 // max(1, len(sent.value.ids)))
                 for batch in (whole.slice(k, step) for k in range(0, whole.num_rows, step)):
-                    query, row, value = best_pairs(metric, batch.column(0).to_numpy(), matrix(batch.column(1)), sent.value.vectors, None)
-                    yield _found(batch, sent.value, query, row, value if metric is Metric.L2 else -value, ("qid", "item_id", "value"))
+                    value = value_matrix(metric, matrix(batch.column(1)), q.vectors)
+                    row, query = np.divmod(np.arange(value.size), len(q.ids))
+                    yield _found(batch, q, query, row, value.ravel(), ("qid", "item_id", "value"))
 
-        return vectors.select("item_id", "embedding").mapInArrow(run, "qid bigint, item_id bigint, value double")
+        return dealt.mapInArrow(run, "qid bigint, item_id bigint, value double")
 
     return _in_blocks(queries, block)
 
