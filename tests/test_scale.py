@@ -40,6 +40,19 @@ def test_large_budgets_are_not_listed_leaf_by_leaf(spark, monkeypatch, levels, m
         assert rows(found) == expected
 
 
+def test_the_tree_is_sent_once(spark, monkeypatch):
+    v = table(spark, 400)
+    index, q = build_index(v, IndexConfig(2, 8, "IP")), asked(v)
+    monkeypatch.setattr(S, "SENT_PAIRS", 10)
+    monkeypatch.setattr(S, "QUERY_BLOCK", 20)
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or send(self, value))
+    in_blocks = rows(S.search(index, q, 5, 20, max_increments=0))
+    assert sum(isinstance(x, S.Tree) for one in sent for x in (one if isinstance(one, tuple) else (one,))) == 1
+    monkeypatch.setattr(S, "QUERY_BLOCK", 10_000)
+    assert in_blocks == rows(S.search(index, q, 5, 20, max_increments=0))
+
+
 def test_sort_keys_keep_the_suffix_maxima():
     rng = np.random.default_rng(3)
     costs = [rng.integers(0, 4, (2, 5)).astype(float) for _ in range(4)]

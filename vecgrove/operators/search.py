@@ -18,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -217,12 +218,13 @@ def search(index: VectorIndex, queries: DataFrame, k: int, search_exp: int = 64,
     until k items are found. ``exclude`` holds ``item_id``, or ``qid, item_id``."""
     _check(k, search_exp)
     per_query = exclude is not None and "qid" in exclude.columns
-    trees: list[Tree] = []
+    trees: list[Broadcast[Tree]] = []  # sent once, whatever the number of blocks
 
     def block(asked: Asked, queries: DataFrame) -> DataFrame:
         if len(asked.ids) * search_exp > SENT_PAIRS and not per_query and Tree.fits(index):
             if not trees:
-                trees.append(Tree.of(index, index.leaf_sizes if exclude is None or max_increments == 0 else _left(index, index.leaf_sizes, exclude)))
+                tree = Tree.of(index, index.leaf_sizes if exclude is None or max_increments == 0 else _left(index, index.leaf_sizes, exclude))
+                trees.append(index.nodes.sparkSession.sparkContext.broadcast(tree))
             return _wide(index, trees[0], exclude, asked, k, search_exp, max_increments)
         leaves = _budgeted(index, asked, k, search_exp, exclude, max_increments)
         few = len(asked.ids) * search_exp <= SENT_PAIRS
@@ -242,17 +244,17 @@ def search(index: VectorIndex, queries: DataFrame, k: int, search_exp: int = 64,
     return _ranked(found, k, "dist", "item_id").select("qid", "rank", "item_id", "dist")
 
 
-def _wide(index: VectorIndex, tree: Tree, exclude: DataFrame | None, asked: Asked, k: int, search_exp: int, max_increments: int) -> DataFrame:
+def _wide(index: VectorIndex, tree: Broadcast[Tree], exclude: DataFrame | None, asked: Asked, k: int, search_exp: int, max_increments: int) -> DataFrame:
     """``qid, item_id, dist``: the ``k`` best of each task's items in the budgets.
     Items are dealt by leaf, so that few leaves meet the queries at a time."""
     items = index.items.select("item_id", "leaf", "embedding")
     if exclude is not None:
         items = items.join(exclude.select("item_id").distinct(), "item_id", "left_anti").select("item_id", "leaf", "embedding")
     cores = items.sparkSession.sparkContext.defaultParallelism
-    sent = items.sparkSession.sparkContext.broadcast((asked, tree, ends(index, tree, asked, k, search_exp, max_increments)))
+    sent = items.sparkSession.sparkContext.broadcast((asked, ends(index, tree, asked, k, search_exp, max_increments)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, t, last = sent.value
+        (q, last), t = sent.value, tree.value
         best = Best(t.metric, q.vectors, k)
         for batch in batches:
             ids, of, data = _numbers(batch.column(0)), batch.column(1).to_numpy(), matrix(batch.column(2))
@@ -382,7 +384,7 @@ def open_session(index: VectorIndex, queries: DataFrame, k: int, search_exp: int
         items = items.join(exclude.select("item_id").distinct(), "item_id", "left_anti").select("item_id", "leaf", "embedding")
 
     def by_query(most: int | None) -> DataFrame:
-        tree = Tree.of(index, _left(index, index.leaf_sizes, exclude))
+        tree = items.sparkSession.sparkContext.broadcast(Tree.of(index, _left(index, index.leaf_sizes, exclude)))
         return _in_blocks(queries, lambda asked, _: _paged(tree, items, asked, k, search_exp, max_increments, most))
 
     def joined(most: int | None) -> DataFrame:
@@ -396,17 +398,17 @@ def open_session(index: VectorIndex, queries: DataFrame, k: int, search_exp: int
     return SearchSession(lambda shown: (by_query if whole else joined)(None if shown is None else shown * k), k, pages)
 
 
-def _paged(tree: Tree, items: DataFrame, asked: Asked, k: int, search_exp: int, max_increments: int, most: int | None) -> DataFrame:
+def _paged(tree: Broadcast[Tree], items: DataFrame, asked: Asked, k: int, search_exp: int, max_increments: int, most: int | None) -> DataFrame:
     """``qid, rank, item_id, dist`` of all rounds, or of the first ``most`` items
     of each query. A task for each core reads all items, which are dealt to each,
     and ranks them for its part of the queries: no pair of query and item moves."""
     starts = asked.starts()
     numbers = len(starts) - 1
     parts = max(1, min(numbers, items.sparkSession.sparkContext.defaultParallelism))
-    sent = items.sparkSession.sparkContext.broadcast((asked, tree))
+    sent = items.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, t = sent.value
+        q, t = sent.value, tree.value
         held = [x for x in batches if x.num_rows]
         if not numbers or not held:
             return

@@ -14,6 +14,7 @@ from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,15 +128,15 @@ def _before(key: np.ndarray, leaf: np.ndarray, last: np.ndarray, last_leaf: np.n
     return less | (same & (leaf <= last_leaf[:, None])) | (leaf == last_leaf[:, None])
 
 
-def each_query(index: VectorIndex, tree: Tree, asked: Asked, of: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def each_query(index: VectorIndex, tree: Broadcast[Tree], asked: Asked, of: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Rows from ``of(number of the identifier, key, leaf, n)`` for each
     identifier among the queries, where key has a column for each of the
     leaves (and each row, where rows share the identifier)."""
     spark, starts = index.nodes.sparkSession, asked.starts()
-    sent = spark.sparkContext.broadcast((asked, tree))
+    sent = spark.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, t = sent.value
+        q, t = sent.value, tree.value
         for batch in batches:
             for number, key in t.keys_of(q, starts, batch.column(0).to_numpy()):
                 times = key.shape[1] // max(1, len(t.leaf))
@@ -157,10 +158,10 @@ class Ends:
         return _before(tree.keys(asked, leaves), tree.leaf[leaves], self.key, self.leaf)
 
 
-def ends(index: VectorIndex, tree: Tree, asked: Asked, k: int, search_exp: int, max_increments: int) -> Ends:
+def ends(index: VectorIndex, tree: Broadcast[Tree], asked: Asked, k: int, search_exp: int, max_increments: int) -> Ends:
     """Where the first budget search_exp * 2**i with ``k`` items ends, or the
     last one allowed; a row for each row of ``asked``."""
-    levels = len(tree.up)
+    levels = index.config.levels
 
     def of(number: int, key: np.ndarray, leaf: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         i = 0
